@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality_rules
+from . import packing, pii, quality_rules, simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +36,27 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies on this machine; only queries ask, operators take a path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", simhash_dedup.hexed("fp").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
+    "op6_packing": op6_packing,
+    "op7_simhash": op7_simhash,
 }
 
 SQL = {}
