@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality_rules, simhash_dedup, vector_dedup
+from . import packing, pii, pu_classifier, quality_rules, simhash_dedup, sp_wfst, url_templates, vector_dedup
+from .common import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -56,12 +58,28 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", simhash_dedup.hexed("fp").alias("fingerprint"), "component_id")
 
 
+def op8_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_wfst.digest(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+
+
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_classifier.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return url_templates.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), labels)
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
     "op5_pivot_index": op5_pivot_index,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_wfst": op8_wfst,
+    "op9_pu_quality": op9_pu_quality,
+    "op10_url_templates": op10_url_templates,
 }
 
 SQL = {}
