@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import GAP, words
 
-POSITIVES = 8000
-UNLABELLED = 16000
+POSITIVES = 4000
+UNLABELLED = 8000
 HIDDEN = 24
 STEPS = 300
 RATE = 0.03
