@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, pu_classifier, quality_rules, simhash_dedup, sp_wfst, url_templates, vector_dedup
+from . import line_dedup, packing, pii, pu_classifier, quality_rules, simhash_dedup, sp_wfst, url_templates, vector_dedup
 from .common import ship
 
 
@@ -45,6 +45,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
@@ -74,6 +78,7 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
+    "op4_fuzzy_lines": op4_fuzzy_lines,
     "op5_pivot_index": op5_pivot_index,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,

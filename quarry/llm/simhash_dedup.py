@@ -89,11 +89,11 @@ def _tree(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _runs(radius: int):
-    """Reads (key, fp) sorted by both; gives verified links (a, b), and (fp, null) for each member of a bucket over DIRECT."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Reads (key, fp) sorted by both; gives verified links (a, b, null), and (fp, null, key) for each member of a bucket over DIRECT."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
     def batch(a, b):
-        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], schema=schema)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ck, cx, big = None, np.empty(0, np.uint64), False  # the run that may go on in the next batch
@@ -110,7 +110,7 @@ def _runs(radius: int):
             cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
             start, stop = np.r_[0, cuts], np.r_[cuts, len(key)]
             links: list[tuple[int, int]] = []
-            hot: list[np.ndarray] = []
+            hot: list[tuple[int, np.ndarray]] = []
             first, last = 0, len(start) - 1
             if ck is not None and key[0] != ck:
                 links += [] if big else closed(cx)
@@ -118,11 +118,11 @@ def _runs(radius: int):
             if ck is not None:
                 part = fp[start[0] : stop[0]]
                 if big:
-                    hot.append(part)
+                    hot.append((ck, part))
                 else:
                     cx = np.concatenate([cx, part])
                 if not big and len(cx) > DIRECT:
-                    hot.append(cx)
+                    hot.append((ck, cx))
                     cx, big = np.empty(0, np.uint64), True
                 if last > 0:
                     links += [] if big else closed(cx)
@@ -138,19 +138,20 @@ def _runs(radius: int):
                     yield batch(*pairs)
                 for i, j in zip(s[e - s > 2].tolist(), e[e - s > 2].tolist()):
                     if j - i > DIRECT:
-                        hot.append(fp[i:j])
+                        hot.append((key[i], fp[i:j]))
                     else:
                         links += closed(fp[i:j])
                 ck, cx, big = key[-1], fp[start[last] :].copy(), False
                 if len(cx) > DIRECT:
-                    hot.append(cx)
+                    hot.append((ck, cx))
                     cx, big = np.empty(0, np.uint64), True
             if links:
                 ab = np.array(links, np.uint64).view(np.int64)
                 yield batch(ab[:, 0], ab[:, 1])
             if hot:
-                a = np.concatenate(hot).view(np.int64)
-                yield batch(a, pa.nulls(len(a), pa.int64()))
+                a = np.concatenate([x for _, x in hot]).view(np.int64)
+                k = np.concatenate([np.full(len(x), k, np.int64) for k, x in hot])
+                yield pa.record_batch([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(k)], schema=schema)
         if ck is not None and not big and (links := closed(cx)):
             ab = np.array(links, np.uint64).view(np.int64)
             yield batch(ab[:, 0], ab[:, 1])
@@ -176,9 +177,9 @@ def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     )
     keyed = distinct.select(F.explode(halves).alias("key"), "fp")
     found = scratch.cut(
-        keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_runs(RADIUS), "a long, b long"), "links"
+        keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_runs(RADIUS), "a long, b long, key long"), "links"
     )
-    edges = found.where("b is not null")
+    edges = found.where("b is not null").select("a", "b")
     hot = found.where("b is null").select(F.col("a").alias("fp")).distinct()
     if hot.limit(1).count():
         # The whole ball of radius 2: sharing a variant proves RADIUS bits or fewer, so all hang from the least.
