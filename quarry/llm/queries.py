@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, pii, pu_classifier, quality_rules, simhash_dedup, sp_wfst, url_templates, vector_dedup
+from . import chat_quotes, line_dedup, packing, pii, pu_classifier, quality_rules, simhash_dedup, sp_wfst, url_templates, vector_dedup
 from .common import ship
 
 
@@ -45,6 +45,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_quotes.link(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -78,6 +82,7 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
+    "op3_quotation_links": op3_quotation_links,
     "op4_fuzzy_lines": op4_fuzzy_lines,
     "op5_pivot_index": op5_pivot_index,
     "op6_packing": op6_packing,
@@ -143,3 +148,29 @@ SELECT d.doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIG
   coalesce(n_phone, 0)::BIGINT AS n_phone, 0::BIGINT AS n_iban, 0::BIGINT AS n_ssn, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN j ON d.doc_id = j.doc_id
 """
+
+# Recursion over replies; the tables at hand quote little or nothing, so the operator is also tested against plain Python on planted quotes.
+SQL["op3_quotation_links"] = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn::BIGINT AS turn, role, coalesce(text, '') AS t, row_number() OVER () AS rid FROM conversations),
+s AS (SELECT rid, conv_id, turn, p, string_split(t, chr(10))[p] AS raw FROM (SELECT *, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS p FROM m)),
+l AS (SELECT rid, conv_id, turn, p, length(regexp_replace(regexp_extract(raw, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
+        CASE WHEN regexp_matches(raw, '^[ \t]*>') THEN regexp_replace(raw, '^(?:[ \t]*>)+[ \t]?', '') ELSE raw END AS line FROM s),
+n AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY rid ORDER BY p), 0) AS nxt,
+        p - row_number() OVER (PARTITION BY rid, level ORDER BY p) AS run FROM l),
+b AS (SELECT rid, sum((level > 0)::INT)::BIGINT AS nq, max(level)::BIGINT AS ml,
+        string_agg(line, chr(10) ORDER BY p) FILTER (level = 0 AND NOT (nxt > 0 AND regexp_matches(line,
+          '(?i)^\s*(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$'))) AS own FROM n GROUP BY rid),
+w AS (SELECT m.*, nq, ml, CASE WHEN nq > 0 THEN regexp_replace(coalesce(own, ''), '^\s+|\s+$', '', 'g') ELSE t END AS body FROM m JOIN b USING (rid)),
+o AS (SELECT conv_id, turn, trim(regexp_replace(lower(u), '\s+', ' ', 'g')) AS k
+      FROM (SELECT conv_id, turn, unnest([body] || string_split_regex(body, '\n\s*\n') || string_split(body, chr(10))) AS u FROM w)),
+f AS (SELECT conv_id, k, min(turn) AS src FROM o WHERE k <> '' GROUP BY ALL),
+q AS (SELECT conv_id, turn, level, line AS u FROM n WHERE level > 0
+      UNION ALL SELECT conv_id, turn, level, string_agg(line, chr(10) ORDER BY p) FROM n WHERE level > 0 GROUP BY rid, conv_id, turn, level, run HAVING count(*) > 1),
+a AS (SELECT conv_id, turn, level, trim(regexp_replace(lower(u), '\s+', ' ', 'g')) AS k FROM q),
+r AS (SELECT a.conv_id, a.turn, src, level, sum(length(a.k)) AS chars FROM a JOIN f ON a.conv_id = f.conv_id AND a.k = f.k AND src < a.turn GROUP BY ALL),
+e AS (SELECT conv_id, turn, src AS parent FROM r QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, chars DESC, src DESC) = 1),
+c AS (SELECT conv_id, turn, parent AS up, 1 AS depth FROM e UNION ALL SELECT c.conv_id, c.turn, e.parent, depth + 1 FROM c JOIN e ON e.conv_id = c.conv_id AND e.turn = c.up),
+d AS (SELECT conv_id, turn, min(up) AS top, max(depth) AS depth FROM c GROUP BY ALL)
+SELECT w.conv_id, w.turn, w.role, body, nq AS n_quoted_lines, ml AS max_level, parent AS parent_turn, coalesce(top, w.turn) AS thread_turn, coalesce(depth, 0)::BIGINT AS depth
+FROM w LEFT JOIN e ON w.conv_id = e.conv_id AND w.turn = e.turn LEFT JOIN d ON w.conv_id = d.conv_id AND w.turn = d.turn
+"""
