@@ -35,10 +35,20 @@ def ascii_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
 
 
+def _bind(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def dedupe_first(xs: Column) -> Column:
-    """Elements whose lower-case form did not appear before, first casing kept."""
-    low = F.transform(xs, lambda x: F.lower(x))
-    return F.filter(xs, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    """Elements whose lower-case form did not appear before, first casing kept. Sorts, so long arrays cost n log n."""
+    by_form = F.array_sort(F.transform(xs, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
+
+    def first(s: Column) -> Column:
+        kept = F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["low"] != x["low"]))
+        return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["x"].alias("x")))), lambda y: y["x"])
+
+    return _bind(by_form, first)
 
 
 def is_identifier_like(t: Column, extra: str = "") -> Column:

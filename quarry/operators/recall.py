@@ -53,6 +53,10 @@ def read_prompt(spark, text: str) -> Prompt | None:
     return Prompt(terms, match)
 
 
+def _has(tokens, term: str):
+    return F.exists(tokens, lambda x: T.token_matches_loose(x, F.lit(term)))
+
+
 def candidates(turns: DataFrame, prompt: Prompt, project: str, live: str | None = None, tokenizer=T.tokens) -> DataFrame:
     """The best matches in the project, of other sessions, with ``n_matched`` of all terms and whether an anchor is among them."""
     where = F.col("project") == project
@@ -60,7 +64,7 @@ def candidates(turns: DataFrame, prompt: Prompt, project: str, live: str | None
         where = where & (F.col("session_id") != live)
     best = search.match_scores(turns, prompt.match, any_of=True, tokenizer=tokenizer, where=where).orderBy("score", "session_id", "seq").limit(CANDIDATES)
     toks = T.turn_tokens(F.lower("text"))
-    hit = [F.exists(toks, lambda x, t=t: T.token_matches_loose(x, F.lit(t.lower()))) for t in prompt.terms]
+    hit = [_has(toks, t.lower()) for t in prompt.terms]
     n = reduce(lambda a, b: a + b, [h.cast("int") for h in hit])
     anchor = reduce(lambda a, b: a | b, [h & T.is_anchor(F.lit(t)) for h, t in zip(hit, prompt.terms)])
     return best.withColumns({"n_matched": n, "anchored": anchor})
@@ -97,14 +101,13 @@ def hidden_facts(facts: DataFrame, prompt_text: str, project: str, shown: list[s
     m = search.match_scores(facts, terms, any_of=True, tokenizer=tokenizer, where=active, text_cols=cols)
     toks = T.turn_tokens(F.lower(F.concat_ws(" ", *cols)))
     names = T.turn_tokens(F.lower(F.concat_ws(" ", "title", "name")))
-    has = lambda xs, t: F.exists(xs, lambda x: T.token_matches_loose(x, F.lit(t)))
-    m = m.withColumns({f"h{i}": has(toks, t) for i, t in enumerate(terms)})
+    m = m.withColumns({f"h{i}": _has(toks, t) for i, t in enumerate(terms)})
     dfs = m.agg(*[F.count_if(F.col(f"h{i}")) for i in range(len(terms))]).first()
     rare = [i for i in range(len(terms)) if 0 < dfs[i] <= RARE_DF]
     if not rare:
         return empty
     n = reduce(lambda a, b: a + b, [F.col(f"h{i}").cast("int") for i in rare])
-    named = reduce(lambda a, b: a | b, [F.col(f"h{i}") & has(names, terms[i]) for i in rare])
+    named = reduce(lambda a, b: a | b, [F.col(f"h{i}") & _has(names, terms[i]) for i in rare])
     ident = reduce(lambda a, b: a | b, [F.col(f"h{i}") & T.is_identifier(F.lit(terms[i])) for i in rare])
     out = m.where((n >= prompt.required) & named & ident & ~F.col("leaf_path").isin(list(shown)))
     out = out.withColumn("best", F.min("score").over(Window.partitionBy())).where((F.col("best") >= 0) | (F.col("score") <= F.col("best") / FLOOR))

@@ -190,7 +190,7 @@ def fuzzy(df: DataFrame, terms: Sequence[str], limit: int = 15, any_of: bool = F
     if not long:
         return exact.limit(0)
     words = F.array_distinct(F.concat(T.turn_tokens(low), F.filter(F.split(low, r"[^\p{IsAlphabetic}\p{N}]+"), lambda x: x != "")))
-    near = {t: F.exists(words, lambda w, t=t: T.within_one_edit(w, F.lit(t))) for t in long}
+    near = {t: _has_near(words, t) for t in long}
     has = {t: low.contains(t) for t in terms}
     if any_of:
         cond = reduce(lambda a, b: a | b, [near.get(t, has[t]) for t in terms])
@@ -200,6 +200,10 @@ def fuzzy(df: DataFrame, terms: Sequence[str], limit: int = 15, any_of: bool = F
     return out.orderBy(*order).limit(min(limit, RELAXED_LIMIT))
 
 
+def _has_near(words: Column, term: str) -> Column:
+    return F.exists(words, lambda w: (F.abs(F.length(w) - len(term)) <= 1) & T.within_one_edit(w, F.lit(term)))
+
+
 def occurrences(text: Column, part: str) -> Column:
     """Places where ``part`` begins in ``text``, overlapping ones included."""
     import re

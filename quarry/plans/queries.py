@@ -441,11 +441,11 @@ def facts_index_selection(spark, sf_dir):
 
 
 @query(
-    _bm25_sql("facts", FACTS_SQL, [["steel"], ["brass"]], "leaf_path, status", "(tf0 > 0 OR tf1 > 0) AND status = 'active'", text="title || ' | ' || hook || ' | ' || description")
+    _bm25_sql("facts", FACTS_SQL, [["widget"], ["economy"]], "leaf_path, status", "(tf0 > 0 OR tf1 > 0) AND status = 'active'", text="title || ' | ' || hook || ' | ' || description")
     + " SELECT leaf_path, round(score, 6) AS score FROM scored"
 )
 def facts_search(spark, sf_dir):
-    m = search.match_scores(tables.facts(spark, sf_dir), ["steel", "brass"], any_of=True, tokenizer=T.ascii_tokens, text_cols=("title", "hook", "description"))
+    m = search.match_scores(tables.facts(spark, sf_dir), ["widget", "economy"], any_of=True, tokenizer=T.ascii_tokens, text_cols=("title", "hook", "description"))
     return FA.with_status(m).select("leaf_path", _score())
 
 
