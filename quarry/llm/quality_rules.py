@@ -137,5 +137,11 @@ def ablation(led: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def filter_documents(df: DataFrame, policy: str = "v1") -> DataFrame:
-    """The rows that pass a policy, with their own columns."""
-    return ledger(df.withColumn("_keep", F.struct("*"))).where(passes(policy)).select("_keep.*")
+    """The rows that pass a policy, with their own columns.
+
+    A filter on a computed column is pushed below the projection that computes it, which would write every
+    measurement out again inside the next; it does not pass a generator, so one stands between.
+    """
+    led = ledger(df.withColumn("_keep", F.struct("*")))
+    judged = led.select(F.explode(F.array(F.struct("failed", "_keep"))).alias("_x")).select("_x.failed", "_x._keep")
+    return judged.where(passes(policy)).select("_keep.*")
