@@ -8,8 +8,8 @@ own condition: an arc from piece a to piece b costs 0 where BPE leaves the strin
 infinity where some merge would cross their border. Because merges have one order everywhere, a path is
 the BPE result if and only if each piece and each adjacent pair is, so exactly one path per prefix has
 a finite cost, and the shortest path in the tropical semiring is found left to right with one live state a
-position. No piece holds a space mark after another character (checked when compiling), so texts
-factor into words and each distinct word is composed once.
+position. No arc spans two characters that stand side by side in no piece, so inputs factor there (at
+spaces and line ends, mostly between letters and marks), and each distinct part is composed once.
 
 Defined results: null text is empty and has no ids. Any text survives decode(encode(text)). Characters
 outside the vocabulary become byte pieces. Repeated rows, ties and extra columns pass through; a
@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Entries of a worker's word and pair memories.
-MEMORY = 400_000
+MEMORY = 600_000
+
+
+_WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
 class Transducer:
@@ -51,13 +54,21 @@ class Transducer:
                 self.raw[i] = s.replace(MARK, " ").encode()
         if len(self.byte) != 256:
             raise ValueError("the vocabulary has no byte fallback")
-        if any(MARK in s.lstrip(MARK) for s in self.piece):
-            raise ValueError("a piece spans words")
+        if any(MARK in s.lstrip(MARK) or "\n" in s and len(s) > 1 for s in self.piece):
+            raise ValueError("a piece spans words or lines")
+        #: Characters that stand side by side in some piece.
+        self.beside = {s[k : k + 2] for s in self.piece for k in range(len(s) - 1)}
+        #: Longest piece that ends in these three characters; shorter ends have pieces of two characters at most.
+        self.reach: dict[str, int] = {}
+        for s in self.piece:
+            if len(s) > 2:
+                self.reach[s[-3:]] = max(len(s), self.reach.get(s[-3:], 0))
         self.text = {i: s for s, i in self.piece.items()}
         self.longest = max(map(len, self.piece))
         self.is_byte = np.zeros(n, bool)
         self.is_byte[list(self.byte.values())] = True
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, list[int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.own: dict[int, bool] = {}
 
@@ -94,9 +105,9 @@ class Transducer:
         n = len(w)
         last: list[int] = [-1] * (n + 1)  # piece that ends here; -1 start, -2 a character in bytes
         size = [0] * (n + 1)
-        piece, follows = self.piece, self.follows
+        piece, follows, reach = self.piece, self.follows, self.reach
         for e in range(1, n + 1):
-            for length in range(min(self.longest, e), 0, -1):
+            for length in range(min(reach.get(w[e - 3 : e], 2) if e > 2 else e, e), 0, -1):
                 t = piece.get(w[e - length : e])
                 if t is None:
                     continue
@@ -116,21 +127,30 @@ class Transducer:
             e -= size[e]
         return out[::-1]
 
+    def _word(self, w: str) -> bytes:
+        """Ids of a word as bytes: of each of its parts, cut where no piece holds both neighbours."""
+        beside, at, ids = self.beside, 0, []
+        for k in range(1, len(w) + 1):
+            if k == len(w) or w[k - 1 : k + 1] not in beside:
+                part = w[at:k]
+                got = self.parts.get(part)
+                if got is None:
+                    got = self.path(part)
+                    if len(self.parts) < MEMORY and len(part) < 64:
+                        self.parts[part] = got
+                ids += got
+                at = k
+        b = np.array(ids, "<u2").tobytes()
+        if len(self.words) < MEMORY and len(w) < 64:
+            self.words[w] = b
+        return b
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint16)
         s = MARK + text.replace(" ", MARK)
-        parts = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", s)
-        out = []
-        known = self.words.get
-        for w in parts:
-            b = known(w)
-            if b is None:
-                b = np.array(self.path(w), "<u2").tobytes()
-                if len(self.words) < MEMORY and len(w) < 64:
-                    self.words[w] = b
-            out.append(b)
-        return np.frombuffer(b"".join(out), "<u2")
+        known, word = self.words.get, self._word
+        return np.frombuffer(b"".join([known(w) or word(w) for w in _WORDS.findall(s)]), "<u2")
 
     def decode(self, ids) -> str:
         raw = self.raw
