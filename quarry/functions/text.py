@@ -35,7 +35,7 @@ def ascii_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
 
 
-def _bind(value: Column, f) -> Column:
+def bind(value: Column, f) -> Column:
     """``f`` of a value that is evaluated once."""
     return F.element_at(F.transform(F.array(value), f), 1)
 
@@ -48,7 +48,7 @@ def dedupe_first(xs: Column) -> Column:
         kept = F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["low"] != x["low"]))
         return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["x"].alias("x")))), lambda y: y["x"])
 
-    return _bind(by_form, first)
+    return bind(by_form, first)
 
 
 def is_identifier_like(t: Column, extra: str = "") -> Column:

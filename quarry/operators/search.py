@@ -23,13 +23,17 @@ RELAXED_LIMIT = 50
 
 
 def phrase_count(tokens: Column, phrase: Sequence[str]) -> Column:
-    """Occurrences of consecutive tokens."""
+    """Occurrences of consecutive tokens; the token array is evaluated once."""
     if len(phrase) == 1:
         return F.size(F.filter(tokens, lambda t: t == phrase[0]))
     k = len(phrase)
     want = F.array(*[F.lit(p) for p in phrase])
-    at = F.when(F.size(tokens) < k, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.size(tokens) - k + 1))
-    return F.size(F.filter(at, lambda i: (F.get(tokens, i - 1) == phrase[0]) & (F.slice(tokens, i, k) == want)))
+
+    def count(ts: Column) -> Column:
+        at = F.when(F.size(ts) < k, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.size(ts) - k + 1, F.lit(1))))
+        return F.size(F.filter(at, lambda i: (F.get(ts, i - 1) == phrase[0]) & (F.slice(ts, i, k) == want)))
+
+    return T.bind(tokens, count)
 
 
 def phrases_of(df: DataFrame, terms: Sequence[str], tokenizer: Callable[[Column], Column]) -> list[list[str]]:
@@ -48,11 +52,16 @@ def idf(n_rows: int, n_with: int) -> float:
 
 def counted(df: DataFrame, phrases: list[list[str]], tokenizer: Callable[[Column], Column], text_cols: Sequence[str] = ("text",)) -> DataFrame:
     """``df`` with ``_dl`` tokens and ``_tf``, occurrences per phrase, summed over the text columns."""
-    cols = {f"_tok{i}": tokenizer(F.coalesce(F.col(c), F.lit(""))) for i, c in enumerate(text_cols)}
-    d = df.withColumns(cols)
-    dl = reduce(lambda a, b: a + b, [F.size(c) for c in cols])
-    tf = F.array(*[reduce(lambda a, b: a + b, [phrase_count(F.col(c), p) for c in cols]) for p in phrases])
-    return d.withColumns({"_dl": dl, "_tf": tf}).drop(*cols)
+    every = F.array(*[tokenizer(F.coalesce(F.col(c), F.lit(""))) for c in text_cols])
+
+    def count(ts: Column) -> Column:
+        parts = [F.get(ts, F.lit(i)) for i in range(len(text_cols))]
+        dl = reduce(lambda a, b: a + b, [F.size(x) for x in parts])
+        return F.struct(dl.alias("dl"), F.array(*[reduce(lambda a, b: a + b, [phrase_count(x, p) for x in parts]) for p in phrases]).alias("tf"))
+
+    # Filters do not pass a generator, so what they test is not computed again below it.
+    d = df.withColumn("_c", F.explode(F.array(T.bind(every, count))))
+    return d.withColumns({"_dl": F.col("_c.dl"), "_tf": F.col("_c.tf")}).drop("_c")
 
 
 def statistics(c: DataFrame, k: int) -> tuple[int, float, list[int]]:
