@@ -82,3 +82,23 @@ def test_related(turns):
     got = {r.low: r.n_sessions for r in related.terms(turns, "cache-prod").collect()}
     assert got == {"rollout": 2} or set(got) == {"rollout"}
     assert {r.session_id for r in related.sessions(turns, "cache-prod").collect()} == {"aaaa-bbbb-1111", "cccc"}
+
+
+def test_snippets(spark, turns):
+    from quarry.functions.snippet import snippet, snippet_of
+
+    marked = "«TICKET-123» «cache-prod» «rollout» finished, latency back to normal"
+    assert snippet_of(TEXTS[3], [["ticket", "123"], ["cache", "prod"], ["rollout"]], 20) == marked
+    long = "a " * 30 + "needle pin " + "b " * 30
+    got = snippet_of(long, [["needle"], ["pin"]], 4)
+    assert got == "…«needle» «pin» b b…"
+    assert turns.where("seq = 5").select(snippet(F.col("text"), [["ticket", "123"], ["cache", "prod"], ["rollout"]], 20)).first()[0] == marked
+
+
+def test_hidden_facts(spark):
+    rows = [("cache-prod.md", "cache-prod rollout", "TICKET-123 cache-prod rollout plan"), ("other.md", "unrelated things", "nothing here"), ("seen.md", "cache-prod rollout again", "TICKET-123 cache-prod rollout")]
+    f = spark.createDataFrame([(p, t, t, h, "", "p", "active", None) for p, t, h in rows] + [(f"x{i}.md", "w", "w", "w", "", "p", "active", None) for i in range(30)],
+        "leaf_path string, title string, name string, hook string, description string, project string, status string, superseded_at string")
+    got = recall.hidden_facts(f, "how did we handle the cache-prod TICKET-123 rollout?", "p", ["seen.md"]).collect()
+    assert [r.leaf_path for r in got] == ["cache-prod.md"]
+    assert recall.hidden_facts(f, "short", "p").count() == 0
