@@ -408,15 +408,41 @@ s AS (SELECT low, n_sessions, coalesce(df, 0)::BIGINT AS df, (1 + ln(n_sessions)
 SELECT low, n_sessions, df, round(score, 6) AS score FROM s ORDER BY s.score DESC, n_sessions DESC, low LIMIT 20"""
 
 
-@query()
+_ANCHOR2 = "erlich"
+
+
+@query(
+    f"""WITH {TURNS_SQL}, tk AS (SELECT *, regexp_extract_all(lower(text), '[a-z0-9]+') AS k FROM turns),
+a AS (SELECT session_id, arg_min(ts, seq) AS ts FROM tk WHERE list_contains(k, '{_ANCHOR2}') GROUP BY 1 ORDER BY ts DESC, session_id LIMIT 300),
+t AS (SELECT DISTINCT session_id, lower(x) AS low FROM (SELECT session_id, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._-]*')) AS x FROM turns WHERE session_id IN (SELECT session_id FROM a)) WHERE {_DISTINCTIVE}),
+f AS (SELECT * FROM t WHERE regexp_matches(low, '[a-z]') AND NOT (starts_with(low, '{_ANCHOR2}') OR starts_with('{_ANCHOR2}', low))),
+c AS (SELECT low, count(*) AS n_sessions, regexp_extract_all(low, '[a-z0-9]+') AS ts FROM f GROUP BY low HAVING count(*) >= 2 ORDER BY n_sessions DESC, low LIMIT 1500),
+u AS (SELECT turn_id, k, unnest(list_distinct(k)) AS h FROM tk),
+df AS (SELECT low, count(DISTINCT turn_id) AS df FROM u JOIN c ON h = ts[1] WHERE len(ts) = 1 OR len(list_filter(range(1, len(k) + 1), lambda i: k[i:i+len(ts)-1] = ts)) > 0 GROUP BY low),
+s AS (SELECT low FROM (SELECT low, n_sessions, (1 + ln(n_sessions)) * greatest(0, ln((SELECT count(*) FROM turns)::DOUBLE / greatest(coalesce(df, 0), n_sessions, 1))) AS score FROM c LEFT JOIN df USING (low)) ORDER BY score DESC, n_sessions DESC, low LIMIT 20),
+n AS (SELECT session_id, count(*) AS n FROM f WHERE low IN (SELECT low FROM s) GROUP BY 1)
+SELECT a.session_id, ts, coalesce(n, 0)::BIGINT AS n_shared FROM a LEFT JOIN n ON a.session_id = n.session_id ORDER BY n_shared DESC, ts DESC, a.session_id LIMIT 10"""
+)
 def related_sessions(spark, sf_dir):
-    return related.sessions(tables.turns(spark, sf_dir), "the", 10, tokenizer=T.ascii_tokens)
+    return related.sessions(tables.turns(spark, sf_dir), _ANCHOR2, 10, tokenizer=T.ascii_tokens)
 
 
-@query()
+_ASKED = ("erlich", "schsch", "work", "erheit", "hetion")
+_MET = " + ".join(f"(len(list_filter(tt, lambda x: starts_with(x, '{w}') OR starts_with('{w}', x))) > 0)::INT" for w in _ASKED)
+_ANCHORED = " OR ".join(f"len(list_filter(tt, lambda x: starts_with(x, '{w}') OR starts_with('{w}', x))) > 0" for w in _ASKED if len(w) >= 6)
+
+
+@query(
+    _bm25_sql("turns", TURNS_SQL, [[w] for w in _ASKED], "session_id, seq, ts, text, project", "tf0 + tf1 + tf2 + tf3 + tf4 > 0 AND project = 'p1' AND session_id <> '1'")
+    + f""", top AS (SELECT *, list_transform(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_-]+'), lambda x: x <> ''), lambda x: replace(x, '_', '-')) AS tt FROM scored ORDER BY score, session_id, seq LIMIT 30),
+q AS (SELECT *, min(score) OVER () AS best FROM top WHERE {_MET} >= 2 AND ({_ANCHORED})),
+r AS (SELECT *, score - 0.15 * least(abs(best), 10) * pow(0.5, (epoch(TIMESTAMP '2024-06-01') - epoch(replace(ts[1:19], 'T', ' ')::TIMESTAMP)) / 86400 / 30) AS rank FROM q WHERE best >= 0 OR score <= best / 1.6)
+SELECT session_id, seq, ts, text, round(score, 6) AS score, round(rank, 6) AS rank FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY rank, seq) = 1) x ORDER BY x.rank, session_id LIMIT 3"""
+)
 def recall_lines(spark, sf_dir):
-    prompt = "how did we handle the LICENSED work with tion-er and password rollout?"
-    return recall.run(tables.turns(spark, sf_dir), prompt, "p1", "2024-06-01T00:00:00Z", live="1", tokenizer=T.ascii_tokens)
+    prompt = "how did the erlich and schsch work with erheit hetion?"
+    out = recall.run(tables.turns(spark, sf_dir), prompt, "p1", "2024-06-01T00:00:00Z", live="1", tokenizer=T.ascii_tokens)
+    return out.select("session_id", "seq", "ts", "text", _score(), F.round("rank", 6).alias("rank"))
 
 
 # Facts.
