@@ -18,8 +18,10 @@ DUPLICATE_PCT = 35
 STALE_DAYS = 60
 BUDGET = 23000
 MAX_LINES = 200
-HEADER = "# Memory index\n"
-STALE_CUES = r"(?i)\b(in progress|in-progress|in flight|wip|pending|todo|blocked|next step|not yet|awaiting|unresolved)\b"
+HEADER = "# Memory Index\n\n"
+# Words of unfinished work, and lines that may follow a displaced frontmatter key.
+STALE_CUES = r"(?i)\b(pending|wip|in[- ]progress|queued|uncommitted|unmerged|still open|to do|todo|tbd|next step|follow[- ]up|not yet)\b"
+_AFTER_SPLICE = re.compile(r"^(?:---\s*$|\s+[A-Za-z_][\w-]*:|(?:metadata|originSessionId|node_type|name|type|description|pinned|tags):)")
 
 
 # Leaf files.
@@ -54,9 +56,10 @@ def index_pointers(lines: DataFrame) -> DataFrame:
 
 
 def guess_type(stem: Column) -> Column:
-    out = F.lit("project")
+    """The type that a file name begins with, else reference."""
+    out = F.lit("reference")
     for t in TYPES:
-        out = F.when(F.lower(stem).rlike(f"^{t}[_-]"), F.lit(t)).otherwise(out)
+        out = F.when(stem.startswith(t), F.lit(t)).otherwise(out)
     return out
 
 
@@ -228,12 +231,12 @@ def jaccard_pairs(df: DataFrame, id_col: str, terms: Column, pct: int = DUPLICAT
 
 @F.pandas_udf(BooleanType())
 def _spliced(bodies: pd.Series) -> pd.Series:
-    """Whether a second frontmatter seems pasted into the body: two keyed lines in a row outside of fences."""
-    key = re.compile(r"^(name|description|type|originSessionId|pinned|tags):\s")
+    """Whether another frontmatter seems spliced into the body: it begins with ---, or shows a displaced tail."""
 
     def bad(b: str) -> bool:
         ls = unfenced_lines(b or "")
-        return any(key.match(x) and key.match(y) and key.match(x)[1] != key.match(y)[1] for x, y in zip(ls, ls[1:]))
+        tail = any(x.startswith(("metadata:", "originSessionId:")) and _AFTER_SPLICE.match(y) for x, y in zip(ls, ls[1:]))
+        return ls[:1] != [] and ls[0].rstrip() == "---" or tail
 
     return bodies.map(bad)
 

@@ -29,7 +29,7 @@ def derive(turns: DataFrame) -> DataFrame:
     d = turns.where((F.coalesce(F.col("is_meta"), F.lit(0)) == 0) & (F.coalesce(F.col("is_sidechain"), F.lit(0)) == 0)).select("session_id", "seq", "text")
     found = lambda pat: F.regexp_extract_all("text", F.lit(pat), 1)
     tools = d.select("session_id", F.explode(F.array_distinct(F.transform(found("⚙ ([A-Za-z0-9_]+)"), lambda x: F.lower(x)))).alias("value")).distinct()
-    exts = d.select("session_id", F.explode(F.transform(found(r"\.([A-Za-z0-9]{1,8})(?![A-Za-z0-9])"), lambda x: F.lower(x))).alias("value"))
+    exts = d.select("session_id", F.explode(F.transform(found(r"\.([A-Za-z0-9]{1,8})"), lambda x: F.lower(x))).alias("value"))
     exts = exts.where(F.col("value").isin(EXTENSIONS)).groupBy("session_id", "value").agg(F.count(F.lit(1)).alias("n"))
     words = d.select("session_id", "seq", F.posexplode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9][A-Za-z0-9._-]*"), 0)).alias("pos", "word"))
     # Frequencies count trimmed words; candidates are untrimmed words, one per lower-case form, with their first casing.

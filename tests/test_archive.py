@@ -139,7 +139,7 @@ def leaf(name, description, body="", type_="project", extra=""):
 def test_facts_doctor_links_and_index(spark):
     files = [
         ("a.md", leaf("alpha", "cache rollout latency budget plan", "see [[beta]] and [[Gone]] [[alpha]]\n```\n[[infence]]\n```\n")), ("b.md", leaf("beta", "cache rollout latency budget notes", "[[a]]")),
-        ("c.md", "no front"), ("d.md", "---\nname: x\n"), ("e.md", leaf("alpha", "other words entirely", type_="odd")), ("f.md", leaf("fresh", "unrelated", "name: a\ntype: b\n")),
+        ("c.md", "no front"), ("d.md", "---\nname: x\n"), ("e.md", leaf("alpha", "other words entirely", type_="odd")), ("f.md", leaf("fresh", "unrelated", "text\nmetadata:\n  name: a\n")),
     ]
     leaves = FA.parse_leaves(spark.createDataFrame(files, "leaf_path string, content string"))
     graph = sorted((r.src, r.target, r.dst) for r in FA.link_graph(leaves).collect() if r.src != "zz")
@@ -157,7 +157,7 @@ def test_index_budget_skips_and_goes_on(spark):
     facts = spark.createDataFrame(rows, schema.FACTS)
     got = {r.leaf_path: r.included for r in FA.select_index(facts, budget=len(FA.HEADER) + 60).collect()}
     assert got == {"0.md": True, "1.md": False, "2.md": True, "3.md": True}
-    assert FA.render_index(FA.select_index(facts, budget=10_000)).first().content.count("\n") == 1 + 4
+    assert FA.render_index(FA.select_index(facts, budget=10_000)).first().content.count("\n") == 2 + 4
 
 
 def test_upsert_and_import(spark):
