@@ -69,6 +69,14 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def blocks(df: DataFrame, keys: list[str], size: str, member: str, block: int) -> DataFrame:
+    """Each row once per pair (i, j) of blocks it takes part in; blk is its own block."""
+    q = F.greatest(F.lit(1), F.ceil(F.col(size) / block)).cast("int")
+    d = df.withColumn("q", q).withColumn("blk", F.pmod(F.xxhash64(member), F.col("q").cast("long")).cast("int"))
+    both = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda o: F.struct(F.least("blk", o).alias("i"), F.greatest("blk", o).alias("j")))
+    return d.withColumn("ij", F.explode(both)).withColumns({"i": F.col("ij.i"), "j": F.col("ij.j")}).drop("ij", "q")
+
+
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: (node, root), root the smallest node reachable.
 

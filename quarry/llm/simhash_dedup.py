@@ -10,6 +10,12 @@ large to compare inside one task go that way, so no bucket is cut short.
 Everything runs on distinct fingerprints, so copies cost one row each. A bucket's links are reduced to a
 spanning tree before they leave the task: output is linear in the bucket.
 
+``deduplicate`` asks for more than RADIUS finds: texts link there if the Jaccard similarity of their shingle
+sets is SIMILARITY or more, at which fingerprints differ in about ten bits. Candidates share one of BANDS keys
+of ROWS minimum hashes each (a pair at 0.8 does with probability 0.9999, a more similar one almost surely) and
+are verified on their whole shingle sets. Equal sets are one class; buckets of the same members are compared once,
+buckets over BLOCK members as pairs of blocks in tasks of their own, so no bucket is cut short.
+
 Defined results: a text without words (null, empty, blank) has fingerprint zero and links like any
 other. Fewer words than a shingle: the whole sequence is one shingle. Repeated rows stay repeated and
 share a component. Rows with a null id keep their fingerprint and take the component of their
@@ -27,12 +33,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, blocks, components
 
 RADIUS = 4
 #: Buckets up to this many distinct fingerprints are compared inside their task.
 DIRECT = 8192
 SEED = 42
+SIMILARITY = 0.8
+BANDS, ROWS = 30, 6
+#: Members of a bucket whose shingle sets are compared in one task.
+BLOCK = 256
+#: Odd multipliers of the minimum hashes and of their keys.
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -211,9 +223,109 @@ def hexed(col: str = "fp"):
     return F.lpad(F.lower(F.hex(col)), 16, "0")
 
 
+def band_keys(x: np.ndarray) -> np.ndarray:
+    """The BANDS keys of a set of hashes; an empty set has none."""
+    if not len(x):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(x), 4096):
+        np.minimum(least, (_ODD[0][:, None] * x[k : k + 4096]).min(axis=1), out=least)
+    return (least * _ODD[1]).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _sketch(width: int, sets: bool):
+    """(id, text) to (id, h, keys); with ``sets`` (cid, h, text) to (cid, shingle set) where the set's hash is h."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for at in range(0, rb.num_rows, 1024):
+                part = rb.slice(at, 1024)
+                xs = [np.unique(shingle_hashes(t.as_py(), width)) for t in part.column(part.num_columns - 1)]
+                digest = [xxhash.xxh3_128_digest(x.tobytes()) for x in xs]
+                if sets:
+                    keep = [k for k, h in enumerate(part.column(1).to_pylist()) if h == digest[k]]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array([xs[k].tobytes() for k in keep], pa.binary())], names=["cid", "sh"])
+                else:
+                    keys = pa.array([band_keys(x) for x in xs], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), keys], names=["id", "h", "keys"])
+
+    return go
+
+
+def _alike(least: float):
+    """Runs of equal (key, i, j), sorted: (cid, blk, sh) to links (a, b) of a spanning forest."""
+
+    def one(cid, blk, sets, across):
+        size = np.array([len(x) for x in sets])
+        out, left = [], np.arange(len(cid))
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                v = queue.pop()
+                fits = np.minimum(size[left], size[v]) >= least * np.maximum(size[left], size[v]) - 1e-9
+                if across:
+                    fits &= blk[left] != blk[v]
+                at = left[fits]
+                if not len(at):
+                    continue
+                x = np.concatenate([sets[w] for w in at])
+                hit = sets[v][np.minimum(np.searchsorted(sets[v], x), size[v] - 1)] == x
+                both = np.add.reduceat(hit, np.r_[0, np.cumsum(size[at])[:-1]], dtype=np.int64)
+                got = at[both >= least * (size[at] + size[v] - both) - 1e-9]
+                out += [(cid[v], cid[w]) for w in got]
+                queue += got.tolist()
+                left = left[~np.isin(left, got)]
+        return out
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+
+        def close():
+            blk = np.array([r[0] for r in held.values()])
+            links = one(list(held), blk, [np.frombuffer(r[1], np.uint64) for r in held.values()], key[1] != key[2]) if len(held) > 1 else []
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for rb in batches:
+            for k, i, j, cid, blk, sh in zip(*(c.to_pylist() for c in rb.columns)):
+                if (k, i, j) != key:
+                    if held:
+                        yield from close()
+                    key, held = (k, i, j), {}
+                held[cid] = (blk, sh)
+        if held:
+            yield from close()
+
+    return go
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, component_id) per row with an id: the least id of the texts linked by shingle similarity."""
+    scratch = Scratch(df.sparkSession, "similar")
+    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema["id"].dataType.simpleString()
+    rows = scratch.cut(docs.mapInArrow(_sketch(width, False), f"id {kind}, h binary, keys array<bigint>"), "sketches")
+    one = rows.groupBy("h").agg(F.min("id").alias("first"), F.first("keys").alias("keys"))
+    # The class number is the place in a written table, so it stays the same for all that read it.
+    one = scratch.cut(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    keyed = one.select(F.explode("keys").alias("key"), "cid")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cid")).alias("who")).where("n > 1")
+    buckets = scratch.cut(shared.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
+    members = scratch.cut(keyed.join(buckets, "key"), "members")
+    need = members.select("cid").distinct().join(one.select("cid", "h", "first"), "cid")
+    texts = docs.join(need.withColumnRenamed("first", "id"), "id").select("cid", "h", "text")
+    sets = scratch.cut(texts.mapInArrow(_sketch(width, True), "cid long, sh binary"), "sets")
+    fed = blocks(members, ["key"], "n", "cid", BLOCK).join(sets, "cid").select("key", "i", "j", "cid", "blk", "sh")
+    edges = fed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cid").mapInArrow(_alike(similarity), "a long, b long")
+    comp = components(scratch.cut(edges, "edges"), scratch)
+    placed = one.join(comp, one["cid"] == comp["node"], "left").select("h", "first", F.coalesce("root", "cid").alias("root"))
+    placed = scratch.cut(placed, "placed")
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.select("id", "h").join(placed.join(least, "root").select("h", "component_id"), "h").select(F.col("id").alias(id_col), "component_id")
+
+
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """The rows of ``df`` whose id is the least of its group; rows with a null id stay."""
-    scratch = Scratch(df.sparkSession, "simhash")
-    fps = scratch.cut(fingerprints(df.where(F.col(id_col).isNotNull()).select(id_col, text_col), text_col, width).select(id_col, "fp"), "all")
-    lost = fps.join(classes(fps, scratch, id_col), "fp").where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    """The rows of ``df`` whose id is the least of its group of similar texts; rows with a null id stay."""
+    lost = similar_groups(df, id_col, text_col, width).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     return df.join(lost, id_col, "left_anti").select(*df.columns)

@@ -90,3 +90,32 @@ def test_odd_rows(spark):
     assert sorted(kept, key=str) == [1, 4, 9, None]
     assert sd.deduplicate(df).columns == df.columns
     assert sd.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_deduplicate_links_by_shingle_similarity(spark, monkeypatch, block):
+    """Against all pairs by true similarity of five-word shingles, without a radius."""
+    monkeypatch.setattr(sd, "BLOCK", block)
+    rng = random.Random(8)
+    docs, sets = [], []
+    for _ in range(30):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([8, 60, 300]))]
+        for n in (0, 0, 1, 2, 4, 8):
+            ws = list(base)
+            for _ in range(n * len(base) // 100 + (n > 0)):
+                ws[rng.randrange(len(ws))] = f"x{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(ws)))
+            sets.append({tuple(ws[i : i + 5]) for i in range(len(ws) - 4)})
+    root, far = list(range(len(docs))), 0
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and both / len(sets[i] | sets[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+                far += (brute_fp(docs[i][1], 5) ^ brute_fp(docs[j][1], 5)).bit_count() > sd.RADIUS
+    assert far > 20
+    got = {r.doc_id: r.component_id for r in sd.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in docs] == root
+    kept = sd.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
