@@ -2,9 +2,9 @@
 
 The tree: a path's segments have their digit runs and hex strings replaced by wildcards, so the
 pages of a host fall onto few patterns, which are counted with their labels before anything else. Then,
-level by level below each host: where a node has WIDE children or more, all of them become one wildcard
-branch; where it has fewer, children whose share of bad labels is not above their siblings' by Z
-standard errors are merged into the wildcard branch, and worse ones keep their name. A template
+level by level below each host: children whose share of bad labels is not above their siblings' by Z
+standard errors are merged into one wildcard branch, and worse ones keep their name, however many children
+the node has. A template
 whose bad share, smoothed by STRENGTH pages at the overall share, is over LIMIT is rejected.
 
 Labels come from a table of (id, quality, toxic); a page is bad where quality is 0 or toxic is 1. Any
@@ -27,7 +27,8 @@ from .common import Scratch
 #: (rule, verdict). Fixed values.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DEPTH = 12
-WIDE = 20
+#: Children from which on a node would merge them untested: no number is enough.
+WIDE = float("inf")
 Z = 1.96
 STRENGTH = 10.0
 LIMIT = 0.5
@@ -75,7 +76,7 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
         gap = F.col("bad") / F.greatest("lab", F.lit(1)) - (F.col("all_bad") - F.col("bad")) / F.greatest(rest, F.lit(1))
         error = F.sqrt(share * (1 - share) * (1 / F.greatest("lab", F.lit(1)) + 1 / F.greatest(rest, F.lit(1))))
         worse = (F.col("lab") > 0) & (rest > 0) & (gap > Z * error)
-        merged = (F.col("kids") >= WIDE) | ((F.col("kids") > 1) & ~worse)
+        merged = (F.col("kids") > 1) & ~worse
         name = c.select("host", "made", "seg", F.when(merged, F.lit("*")).otherwise(F.col("seg")).alias("name"))
         pats = scratch.cut(
             pats.withColumn("seg", here).join(name, ["host", "made", "seg"], "left").select(

@@ -93,3 +93,10 @@ def test_odd_rows(spark):
     assert rows_of(ut.judge(df, lab)) == brute(pages, [x for x in labels if x[0] is not None])
     assert ut.judge(df.limit(0), lab).count() == 0
     assert ut.judge(df, lab.limit(0)).count() == len(pages)
+
+
+def test_bad_branch_of_a_wide_node_is_rejected(spark):
+    pages = [(k * 100 + n, f"https://a.test/{chr(97 + k)}/{n}") for k in range(26) for n in range(40)]
+    labels = [(i, int(i // 100 != 7), 0) for i, _ in pages]
+    got = rows_of(ut.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    assert {(r[0] // 100 == 7, *r[4:]) for r in got} == {(True, "/h/{n}", "block"), (False, "/*/{n}", "allow")}
