@@ -77,3 +77,22 @@ def test_mask_and_odd_rows(spark):
     got = sorted(((r.doc_id, r.text, r.n_chars, r.spans) for r in pii.mask(df).collect()), key=str)
     assert got == [(1, "mail é [EMAIL] now [PHONE].", 27, "q"), (2, None, None, "q"), (3, "plain", 5, "q"), (3, "plain", 5, "q"), (4, "[PHONE]", 7, "q")]
     assert pii.mask(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("123-45-6789 is the SSN", ["ssn"]),
+        ("123-45-6789" + " " * 45 + "ssn", []),
+        ("s 123-45-6789 sn", []),
+        ("SA03 8000 0000 6080 1016 7519", ["iban"]),
+        ("AE070331234567890123456", ["iban"]),
+        ("BR1800360305000010009795493C1", ["iban"]),
+        ("RS35260005601001611379 UA213223130000026007233566001", ["iban", "iban"]),
+        ("IL620108000000099999999", ["iban"]),
+        ("IL620108000000099999998", []),
+    ],
+)
+def test_context_after_a_span_and_all_countries(spark, text, found):
+    r = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [s.kind for s in r.spans if s.kind in ("iban", "ssn")] == found
