@@ -37,15 +37,18 @@ def words(text: Column) -> Column:
 class Scratch:
     """Tables in the folder that spark.checkpoint.dir names, which driver and executors share.
 
-    The setting is read from the session; only where it is unset (as in tests) a folder of this
-    machine is made and set. ``cut`` writes a frame there and reads it back, so lineage ends at a
-    replicated file and a lost executor costs no recomputation of what came before.
+    The setting is read from the session. Where it is unset a folder of this machine is made and set if Spark runs
+    inside one process (as in tests); on a cluster, whose executors could not read it, that is an error.
+    ``cut`` writes a frame there and reads it back, so lineage ends at a replicated file and a lost
+    executor costs no recomputation of what came before.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             root = f"file://{tempfile.mkdtemp(prefix='quarry-ckpt-')}"
             spark.conf.set("spark.checkpoint.dir", root)
         self.base = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -77,42 +80,64 @@ def blocks(df: DataFrame, keys: list[str], size: str, member: str, block: int) -
     return d.withColumn("ij", F.explode(both)).withColumns({"i": F.col("ij.i"), "j": F.col("ij.j")}).drop("ij", "q")
 
 
+#: A key of more rows than a table's rows over SHARE is hot; there are at most SHARE of them, or SHARE * FEW rows in all.
+SHARE, FEW = 2000, 16
+
+
+def hot_bound(total: int) -> int:
+    return max(FEW, total // SHARE)
+
+
+def many_to_one(big: DataFrame, small: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``big`` joined with ``small``, which has one row a key and in ``n`` the number of the key's rows in ``big``.
+
+    Keys over ``hot_bound`` of the ``total`` rows of ``big`` are at most max(SHARE, total / FEW) <= 2000 rows and are
+    broadcast, so their rows stay where they are; only the others meet in a shuffle.
+    """
+    hot = F.broadcast(small.where(F.col(n) > hot_bound(total)))
+    rest = big.join(hot.select(key), key, "left_anti").join(small.where(F.col(n) <= hot_bound(total)), key)
+    return big.join(hot, key).unionByName(rest)
+
+
+def hot_keys(posts: DataFrame, key: str, member: str) -> DataFrame:
+    """At most SHARE keys that seem to hold more than 1 / SHARE of the rows (128 at least), counted over an eighth of
+    the members. A plan only: what is done with a key must not change its result."""
+    part = posts.where(F.pmod(F.xxhash64(member, F.lit(8)), F.lit(8)) == 0)
+    counts = part.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW)
+    return counts.orderBy(F.col("_n").desc(), key).limit(SHARE).select(key)
+
+
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: (node, root), root the smallest node reachable.
 
     ``edges`` has two columns ``a``, ``b`` of one orderable type; self loops and repeats are fine, null
     ends are dropped. Only nodes of some edge with a != b appear. Alternating large-star and
     small-star steps (Kiveris et al. 2014): each step replaces edges by edges to a local minimum, and
-    the number of edges never grows. Minima come from a partial aggregation and a join that adaptive
-    execution may split, so a hub of any degree is spread over tasks. Every round is written to the
-    shared folder. Ends when every node hangs directly from its root; raises if that is not reached.
+    the number of edges never grows. Minima come from partial aggregation; the minima of hubs are
+    broadcast (``many_to_one``), so a hub of any degree never meets in one task. Every round is written to
+    the shared folder. Ends when every node hangs directly from its root; raises if that is not reached.
     """
-    e = (
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = scratch.cut(e, "edges")
     for _ in range(max_rounds):
+        total = e.count()
         # Large star: every neighbour above u goes to the smallest of u and its neighbours.
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        both = e.select("u", "v", F.lit(0).alias("above")).union(e.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(1).alias("above")))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.sum("above").alias("n")).where("n > 0").select("u", F.least("u", "m").alias("m"), "n")
         up = e.select(F.col("v").alias("u"), F.col("u").alias("w"))  # neighbours w above u
-        large = up.join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = many_to_one(up, scratch.cut(low, "low"), "u", "n", total).select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = scratch.cut(large, "large")
         # Small star: u and its lower neighbours go to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg"))
-        pulled = large.join(low.where("deg > 1"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = low.select("u", F.col("m").alias("v")).union(pulled).distinct()
-        nxt = scratch.cut(small, "star")
-        # Done when no node is both a child and a root, and each child has one root.
-        state = nxt.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        multi = state.where("n > 1").limit(1).count()
-        chained = 0 if multi else nxt.join(nxt.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+        low = scratch.cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        pulled = many_to_one(large, low.where("n > 1"), "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        nxt = scratch.cut(low.select("u", F.col("m").alias("v")).union(pulled).distinct(), "star")
         scratch.drop(e)
+        scratch.drop(large)
         e = nxt
-        if not multi and not chained:
-            roots = e.select("v").distinct()
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                roots.select(F.col("v").alias("node"), F.col("v").alias("root"))
-            )
+        # Done when each child has one root and no root is a child.
+        if e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+            continue
+        roots = e.select("v").distinct()
+        if not roots.join(e.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
     raise RuntimeError(f"components: not settled after {max_rounds} rounds")
