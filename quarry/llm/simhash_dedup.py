@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, components
+from .common import Scratch, blocks, components, hot_keys, many_to_one
 
 RADIUS = 4
 #: Buckets up to this many distinct fingerprints are compared inside their task.
@@ -188,35 +188,37 @@ def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
         F.transform(ball, lambda m: F.shiftrightunsigned("fp", 32).bitwiseXOR(m).bitwiseOR(F.lit(1 << 32).cast("long"))),
     )
     keyed = distinct.select(F.explode(halves).alias("key"), "fp")
+    crowded = F.broadcast(scratch.cut(hot_keys(keyed, "key", "fp"), "crowded"))  # SHARE keys at most
     found = scratch.cut(
-        keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_runs(RADIUS), "a long, b long, key long"), "links"
+        keyed.join(crowded, "key", "left_anti").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_runs(RADIUS), "a long, b long, key long"), "links"
     )
     edges = found.where("b is not null").select("a", "b")
-    hot = found.where("b is null").select(F.col("a").alias("fp")).distinct()
+    hot = keyed.join(crowded, "key").select("fp").union(found.where("b is null").select(F.col("a").alias("fp"))).distinct()
     if hot.limit(1).count():
         # The whole ball of radius 2: sharing a variant proves RADIUS bits or fewer, so all hang from the least.
         whole = F.array(*[F.lit(m).cast("long") for m in _ball(64, RADIUS // 2)])
         var = hot.select(F.explode(F.transform(whole, lambda m: F.col("fp").bitwiseXOR(m))).alias("v"), "fp")
-        least = var.groupBy("v").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("v", "b")
-        edges = edges.union(var.join(least, "v").select(F.col("fp").alias("a"), "b").where("a <> b").distinct())
+        var = scratch.cut(var, "variants")
+        least = scratch.cut(var.groupBy("v").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "least")
+        edges = edges.union(many_to_one(var, least, "v", "n", var.count()).select(F.col("fp").alias("a"), "b").where("a <> b").distinct())
     return edges
 
 
 def classes(df: DataFrame, scratch: Scratch, id_col: str = "doc_id") -> DataFrame:
-    """(fp, component_id) of a frame with ``id_col`` and ``fp``: component_id the least id reachable."""
-    distinct = scratch.cut(df.groupBy("fp").agg(F.min(id_col).alias("first")), "fps")
+    """(fp, n, component_id) of a frame with ``id_col`` and ``fp``: its rows, and the least id reachable."""
+    distinct = scratch.cut(df.groupBy("fp").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")), "fps")
     comp = components(links(distinct.select("fp"), scratch), scratch)
-    placed = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     placed = scratch.cut(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return placed.join(least, "root").select("fp", "component_id")
+    least = scratch.cut(placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("m")), "least")
+    return scratch.cut(many_to_one(placed, least, "root", "m", placed.count()).select("fp", "n", "component_id"), "classes")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(id, fp, component_id), one row per row of ``df``."""
     scratch = Scratch(df.sparkSession, "simhash")
     fps = scratch.cut(fingerprints(df.select(id_col, text_col), text_col, width).select(id_col, "fp"), "all")
-    return fps.join(classes(fps, scratch, id_col), "fp").select(id_col, "fp", "component_id")
+    return many_to_one(fps, classes(fps, scratch, id_col), "fp", "n", fps.count()).select(id_col, "fp", "component_id")
 
 
 def hexed(col: str = "fp"):
@@ -234,7 +236,7 @@ def band_keys(x: np.ndarray) -> np.ndarray:
 
 
 def _sketch(width: int, sets: bool):
-    """(id, text) to (id, h, keys); with ``sets`` (cid, h, text) to (cid, shingle set) where the set's hash is h."""
+    """(id, t, text) to (id, t, h, keys); with ``sets`` (cid, h, text) to (cid, shingle set) where the set's hash is h."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -247,7 +249,7 @@ def _sketch(width: int, sets: bool):
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array([xs[k].tobytes() for k in keep], pa.binary())], names=["cid", "sh"])
                 else:
                     keys = pa.array([band_keys(x) for x in xs], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), keys], names=["id", "h", "keys"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digest, pa.binary()), keys], names=["id", "t", "h", "keys"])
 
     return go
 
@@ -300,32 +302,43 @@ def _alike(least: float):
     return go
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, component_id) per row with an id: the least id of the texts linked by shingle similarity."""
+def _similar(df: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(id, t, h, head) per row with an id: the hashes of its text and of its shingle set, and (id, h) of its group's first."""
     scratch = Scratch(df.sparkSession, "similar")
-    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    rows = scratch.cut(docs.mapInArrow(_sketch(width, False), f"id {kind}, h binary, keys array<bigint>"), "sketches")
-    one = rows.groupBy("h").agg(F.min("id").alias("first"), F.first("keys").alias("keys"))
+    rows = scratch.cut(docs.mapInArrow(_sketch(width, False), f"id {kind}, t long, h binary, keys array<bigint>"), "sketches")
+    one = rows.groupBy("h").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows"))
     # The class number is the place in a written table, so it stays the same for all that read it.
     one = scratch.cut(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
     keyed = one.select(F.explode("keys").alias("key"), "cid")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cid")).alias("who")).where("n > 1")
     buckets = scratch.cut(shared.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
-    members = scratch.cut(keyed.join(buckets, "key"), "members")
+    members = scratch.cut(many_to_one(keyed, buckets, "key", "n", one.count() * BANDS), "members")
     need = members.select("cid").distinct().join(one.select("cid", "h", "first"), "cid")
+    # A repeated id may bring other texts along; a set that is not of hash h is left out again.
     texts = docs.join(need.withColumnRenamed("first", "id"), "id").select("cid", "h", "text")
     sets = scratch.cut(texts.mapInArrow(_sketch(width, True), "cid long, sh binary"), "sets")
     fed = blocks(members, ["key"], "n", "cid", BLOCK).join(sets, "cid").select("key", "i", "j", "cid", "blk", "sh")
     edges = fed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cid").mapInArrow(_alike(similarity), "a long, b long")
     comp = components(scratch.cut(edges, "edges"), scratch)
-    placed = one.join(comp, one["cid"] == comp["node"], "left").select("h", "first", F.coalesce("root", "cid").alias("root"))
+    placed = one.join(comp, one["cid"] == comp["node"], "left").select("h", "first", "rows", F.coalesce("root", "cid").alias("root"))
     placed = scratch.cut(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("id", "h").join(placed.join(least, "root").select("h", "component_id"), "h").select(F.col("id").alias(id_col), "component_id")
+    least = placed.groupBy("root").agg(F.min(F.struct(F.col("first").alias("id"), "h")).alias("head"), F.count(F.lit(1)).alias("m"))
+    told = many_to_one(placed, scratch.cut(least, "least"), "root", "m", placed.count()).select("h", "rows", "head")
+    return many_to_one(rows.select("id", "t", "h"), scratch.cut(told, "told"), "h", "rows", rows.count()).select("id", "t", "h", "head")
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, component_id) per row with an id: the least id of the texts linked by shingle similarity."""
+    return _similar(df, id_col, text_col, width, similarity).select(F.col("id").alias(id_col), F.col("head.id").alias("component_id"))
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """The rows of ``df`` whose id is the least of its group of similar texts; rows with a null id stay."""
-    lost = similar_groups(df, id_col, text_col, width).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return df.join(lost, id_col, "left_anti").select(*df.columns)
+    """The rows of ``df`` that are the first of their group of similar texts by (id, hash of the shingle set).
+
+    Rows with a null id stay. Rows that repeat an id and a shingle set share their fate; rows that repeat an id alone do not.
+    """
+    own = (F.col("id") == F.col("head.id")) & (F.col("h") == F.col("head.h"))
+    lost = _similar(df, id_col, text_col, width, SIMILARITY).where(~own).select(F.col("id").alias("_id"), F.col("t").alias("_t")).distinct()
+    return df.join(lost, (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_t")), "left_anti").select(*df.columns)
