@@ -1,26 +1,31 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-Reference points (pivots) are a bounded sample of the vectors; a vector is described by its NEAREST
-pivots in order. Vectors of one label that share SHARED pivots or more are retrieved through inverted
-lists, one per combination of SHARED pivots, and verified by cosine in double precision. A pair that meets in
-several lists counts in the first of them, so no pair has to be deduplicated. Lists over BLOCK members
-are cut into blocks, and every pair of blocks is compared in a task of its own: no list is cut short.
+Reference points (pivots) are a bounded sample of the vectors; a vector is described by its NEAREST pivots in
+order. Each pivot has an inverted list, per label and length, of the vectors it describes. Two vectors of a list are
+a candidate pair if they share SHARED pivots or more and their orders agree: the overlaps of their first 1, 2, ..,
+NEAREST pivots add up to ORDER or more. Candidates are verified by cosine in double precision. A list over
+BLOCK members is divided by a second shared pivot, and where that leaves over BLOCK by a third; what is longer still
+(many vectors with three pivots in common) is compared as pairs of blocks, each in a task of its own, so no list is
+cut short. A pair belongs to the list of its least shared pivots, so it counts once.
 
 Exact copies are one class with a multiplicity. A list sends out, per member, how many vectors it
 links and the least member of its local group, not pairs, so output is linear in the members.
 
-Fit: the pivots are at most MAX_PIVOTS vectors, those with the least hashes (a power of two near the
-square root of the number of classes). Every vector is indexed. Recall against brute force on the
-test tables is 1.0 (see tests).
+Fit: the pivots are at most MAX_PIVOTS vectors of each of the LENGTHS commonest vector lengths (a power of two near the
+square root of the number of classes), from a sample of SAMPLE times as many with the least hashes. A vector of the sample
+that is near a chosen pivot is passed over, so a dense group does not fill the pivots with its own members, which would
+put its vectors in any order. Vectors of other lengths, or of a length with
+fewer than NEAREST different vectors, form one list per label and length that is compared whole. Every vector
+is indexed. README gives the recall against brute force.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors
 with a null label, link with nothing. Vectors of different lengths do not link. Repeated rows are
 copies and link. A null id never names a component unless nothing else can. Extra columns are ignored.
+An empty table gives no row.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, many_to_one
 
 COSINE = 0.98
 NEAREST = 6
 SHARED = 3
+#: Of NEAREST * (NEAREST + 1) / 2, which equal descriptions reach.
+ORDER = 6
 MAX_PIVOTS = 1024
+LENGTHS = 8
+SAMPLE = 4
+#: Cosine from which on two pivots are too near each other; the next one is tried where that leaves too few.
+SPREAD = (0.9, 0.97, 2.0)
 BLOCK = 1024
 
 
@@ -47,8 +58,21 @@ def _ragged(a: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return a.offsets.to_numpy(), a.values.to_numpy(zero_copy_only=False).astype(np.float64)
 
 
+def _spread(sample: np.ndarray, most: int, few: int = 32) -> np.ndarray:
+    """At most ``most`` of the sample's vectors, in order, none too near another."""
+    out = sample[:0]
+    for limit in SPREAD:
+        out = np.empty((0, sample.shape[1]))
+        for x in sample:
+            if len(out) < most and (not len(out) or (out @ x).max() < limit):
+                out = np.vstack([out, x])
+        if len(out) >= min(few, most):
+            break
+    return out
+
+
 def _describe(pivots: dict[int, np.ndarray], nearest: int):
-    """(cid, vec) to (cid, sig): the indices of the nearest pivots of the same length, nearest first."""
+    """(cid, vec) to (cid, sig): the indices of the nearest pivots of the same length, nearest first; empty where there are too few."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -56,10 +80,12 @@ def _describe(pivots: dict[int, np.ndarray], nearest: int):
                 continue
             off, val = _ragged(rb.column(1))
             dims = np.diff(off)
-            sig: list = [None] * rb.num_rows
+            sig: list = [[]] * rb.num_rows
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                p = pivots[int(d)]
+                p = pivots.get(int(d), ())
+                if len(p) < nearest:
+                    continue
                 for s in range(0, len(at), 4096):
                     rows = at[s : s + 4096]
                     x = _unit(np.stack([val[off[r] : off[r + 1]] for r in rows]))
@@ -88,25 +114,37 @@ def _local_roots(link: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return root
 
 
-def _verify(cosine: float, shared: int):
-    """Runs of equal (key, i, j), sorted: gives (cid, root, links) for members with a link."""
+def _agreeing(sig: np.ndarray, key: list[int], shared: int, order: int) -> np.ndarray:
+    """Pairs of rows that are candidates and belong to the list of pivots ``key``; all pairs if there is no key."""
+    n, k = sig.shape
+    if not key:
+        return np.ones((n, n), bool)
+    seen, local = np.unique(sig, return_inverse=True)
+    local = local.reshape(n, k)
+    first, over = np.zeros((n, len(seen)), np.float32), np.zeros((n, n), np.float32)
+    rows = np.arange(n)
+    for t in range(k):  # the first t + 1 pivots of each
+        first[rows, local[:, t]] = 1.0
+        both = first @ first.T
+        over += both
+    low = first[:, : int(np.searchsorted(seen, key[-1])) + 1]
+    # All of a list share its key; with no other shared pivot up to the key's last, these are the pair's least.
+    return (both >= shared) & (over >= order) & (low @ low.T == len(key))
+
+
+def _verify(cosine: float, shared: int, order: int):
+    """Runs of equal (list, i, j), sorted: gives (cid, root, links) for members with a link."""
     names = ["cid", "root", "links"]
 
-    def one(block, cid, mult, sig, x, top, i, j):
-        x = _unit(x)
-        link = x @ x.T >= cosine
-        np.fill_diagonal(link, False)
+    def one(block, cid, mult, sig, x, key, i, j):
+        mine = _agreeing(sig, key, shared, order)
+        np.fill_diagonal(mine, False)
         if i != j:
-            link &= block[:, None] != block[None, :]
-        if not link.any():
+            mine &= block[:, None] != block[None, :]
+        if not mine.any():
             return None
-        # The pair belongs here if the key holds its least common pivots: no more of them up to the key's last.
-        mine = link
-        if top >= 0:
-            hot = np.zeros((len(cid), int(sig.max()) + 1), np.float32)
-            np.put_along_axis(hot, sig, 1.0, 1)
-            low = hot[:, : top + 1]
-            mine = link & (low @ low.T == shared)
+        x = _unit(x)
+        mine &= x @ x.T >= cosine
         links = mine @ mult
         keep = links > 0
         if not keep.any():
@@ -117,22 +155,22 @@ def _verify(cosine: float, shared: int):
         held: list = []  # parts of the run that may go on
 
         def close(parts):
-            key, block, cid, mult, sig, x = (np.concatenate([p[k] for p in parts]) for k in range(6))
-            _, i, j, top = key[0].tolist()
-            return one(block, cid, mult, sig, x.reshape(len(cid), -1), top, i, j) if len(cid) > 1 else None
+            block, cid, mult, sig, x = (np.concatenate([p[k] for p in parts]) for k in range(1, 6))
+            (_, i, j), key = parts[0][0][0].tolist(), parts[0][6]
+            return one(block, cid, mult, sig, x.reshape(len(cid), -1), key, i, j) if len(cid) > 1 else None
 
         for rb in batches:
             if not rb.num_rows:
                 continue
-            keys = np.stack([rb.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 2, 3)], 1)
-            block, cid, mult = (rb.column(k).to_numpy(zero_copy_only=False) for k in (4, 5, 6))
-            soff, sval = _ragged(rb.column(7))
-            sig = np.stack([sval[soff[r] : soff[r + 1]] for r in range(rb.num_rows)]).astype(np.int64)
-            off, val = _ragged(rb.column(8))
+            keys = np.stack([rb.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 2)], 1)
+            block, cid, mult = (rb.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
+            soff, sval = _ragged(rb.column(6))
+            off, val = _ragged(rb.column(7))
             edge = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)]
             out = []
             for n, (s, e) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
-                part = (keys[s:e], block[s:e], cid[s:e], mult[s:e], sig[s:e], val[off[s] : off[e]])
+                sig = sval[soff[s] : soff[e]].astype(np.int64).reshape(e - s, -1)
+                part = (keys[s:e], block[s:e], cid[s:e], mult[s:e], sig, val[off[s] : off[e]], rb.column(8)[s].as_py())
                 if n == 0 and held and (held[0][0][0] == keys[0]).all():
                     held.append(part)
                     continue
@@ -147,9 +185,32 @@ def _verify(cosine: float, shared: int):
     return go
 
 
+def _lists(whole: DataFrame, scratch: Scratch, shared: int, block: int) -> DataFrame:
+    """(cid, pivots, list, m): the inverted lists of two members or more that a class takes part in, with their sizes.
+
+    Lists of one pivot first; those over ``block`` are divided by a further pivot, ``shared`` pivots at most. Pivots rise
+    within a list's name, so dividing adds a greater one.
+    """
+    # Without a description: one list.
+    start = F.when(F.size("sig") == 0, F.array(F.array().cast("array<int>"))).otherwise(F.transform("sig", lambda p: F.array(p)))
+    posts, done = whole.select("cid", "part", "sig", F.explode(start).alias("pivots")), None
+    for depth in range(1, shared + 1):
+        posts = scratch.cut(posts.withColumn("list", F.xxhash64("part", "pivots")), "posts")
+        sizes = scratch.cut(posts.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
+        sized = many_to_one(posts, sizes, "list", "m", posts.count())
+        last = (F.col("m") <= block) | (F.size("pivots") == 0) | F.lit(depth == shared)
+        fit = sized.where(last).select("cid", "pivots", "list", "m")
+        done = fit if done is None else done.unionByName(fit)
+        if depth == shared or not sizes.where(F.col("m") > block).limit(1).count():
+            break
+        more = F.filter("sig", lambda p: p > F.element_at("pivots", -1))
+        posts = sized.where(~last).select("cid", "part", "sig", F.explode(F.transform(more, lambda p: F.concat("pivots", F.array(p)))).alias("pivots"))
+    return done
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
-    cosine: float = COSINE, nearest: int = NEAREST, shared: int = SHARED, max_pivots: int = MAX_PIVOTS, block: int = BLOCK,
+    cosine: float = COSINE, nearest: int = NEAREST, shared: int = SHARED, order: int = ORDER, max_pivots: int = MAX_PIVOTS, block: int = BLOCK,
 ) -> DataFrame:
     """One row per row of ``df``: id, n_links, component_id, kept."""
     spark = df.sparkSession
@@ -159,48 +220,40 @@ def near_duplicates(
     fine = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < inf)) & F.exists(v, lambda c: c != 0)
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
     rows = rows.withColumn("ok", F.coalesce(fine, F.lit(False)) & F.col("label").isNotNull())
-    same = rows.where("ok").groupBy("label", "vec").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    # Copies are told by a hash of 128 bits, so no vector is a shuffle key.
+    twin = F.struct("label", F.xxhash64("vec").alias("x"), F.xxhash64("vec", F.lit(1)).alias("y")).alias("twin")
+    same = rows.where("ok").groupBy(twin).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.min("vec").alias("vec"))
     # The class number is the place in a written table, so it stays the same for all that read it.
     same = scratch.cut(same.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    total, dims = same.count(), [r[0] for r in same.select(F.size("vec")).distinct().limit(1000).collect()]
+    total = same.count()
+    dims = [r[0] for r in same.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("c").desc(), "d").limit(LENGTHS).collect()]
     m = min(max_pivots, 1 << max(5, round(np.log2(max(total, 1)) / 2)))
     pivots: dict[int, np.ndarray] = {}
-    for d in dims:  # vectors of one length share pivots; an odd length costs one more bounded sample
-        got = same.where(F.size("vec") == d).orderBy(F.xxhash64("vec"), "cid").limit(m).select("vec").collect()
-        pivots[d] = _unit(np.array([r.vec for r in got], np.float64))
-    spans = [list(c) for c in itertools.combinations(range(nearest), shared)]
-    sigs = scratch.cut(same.select("cid", "vec").mapInArrow(_describe(pivots, nearest), "cid long, sig array<int>"), "sigs")
-    whole = same.join(sigs, "cid").select(
-        "cid", "n", "vec", F.array_sort("sig").alias("sig"), F.xxhash64("label", F.size("vec")).alias("part")
-    )
+    for d in dims:
+        got = same.where(F.size("vec") == d).orderBy(F.xxhash64("vec"), "cid").limit(SAMPLE * m).select("vec").collect()
+        pivots[d] = _spread(_unit(np.array([r.vec for r in got], np.float64)), m)
+    sigs = same.select("cid", "vec").mapInArrow(_describe(pivots, nearest), "cid long, sig array<int>")
+    whole = same.select("cid", "n", "vec", F.xxhash64("twin.label", F.size("vec")).alias("part")).join(sigs, "cid")
     whole = scratch.cut(whole, "described")
-    # With fewer pivots than SHARED all meet in one list.
-    few = F.size("sig") < nearest
-    combos = F.array(*[F.array(*[F.get("sig", F.lit(i)) for i in c]) for c in spans])
-    lists = F.when(few, F.array(F.array(*[F.lit(-1)] * shared).cast("array<int>"))).otherwise(combos)
-    posts = whole.select("cid", "part", F.explode(lists).alias("k")).select("cid", F.xxhash64("part", "k").alias("key"), F.element_at("k", -1).alias("top"))
-    sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    lists = _lists(whole.select("cid", "part", "sig"), scratch, shared, block)
     q = F.ceil(F.col("m") / block).cast("int")
-    mine = F.pmod(F.xxhash64("cid", "key"), q.cast("long")).cast("int")
-    met = posts.join(sizes, "key").select("key", "top", "cid", q.alias("q"), mine.alias("blk"))
-    met = met.select(
-        "key", "top", "cid", "blk",
+    met = lists.withColumns({"q": q, "blk": F.pmod(F.xxhash64("cid", "list"), q.cast("long")).cast("int")}).select(
+        "list", "pivots", "cid", "blk",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda o: F.struct(F.least("blk", o).alias("i"), F.greatest("blk", o).alias("j")))).alias("ij"),
     )
-    fed = met.join(whole, "cid").select("key", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"), "top", "blk", "cid", "n", "sig", "vec")
-    keys = ["key", "i", "j", "top"]
-    found = scratch.cut(
-        fed.repartition("key", "i", "j").sortWithinPartitions(*keys).mapInArrow(_verify(cosine, shared), "cid long, root long, links long"), "found"
-    )
+    fed = met.join(whole, "cid").select("list", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"), "blk", "cid", "n", "sig", "vec", "pivots")
+    keys = ["list", "i", "j"]
+    found = scratch.cut(fed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(cosine, shared, order), "cid long, root long, links long"), "found")
     comp = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch)
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    told = same.select("label", "vec", "cid", "n", "first").join(links, "cid", "left").join(comp, F.col("cid") == F.col("node"), "left")
+    told = same.select("twin", "cid", "n", "first").join(links, "cid", "left").join(comp, F.col("cid") == F.col("node"), "left")
     told = scratch.cut(
-        told.select("label", "vec", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")), "told"
+        told.select("twin", "n", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")), "told"
     )
-    least = told.groupBy("root").agg(F.min("first").alias("component_id"))
-    told = told.join(least, "root").select("label", "vec", "n_links", "component_id")
-    good = rows.where("ok").join(told, ["label", "vec"]).select("id", "n_links", "component_id")
+    least = scratch.cut(told.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("m")), "least")
+    told = scratch.cut(many_to_one(told, least, "root", "m", total).select("twin", "n", "n_links", "component_id"), "components")
+    known = rows.where("ok").select("id", twin)
+    good = many_to_one(known, told, "twin", "n", known.count()).select("id", "n_links", "component_id")
     lone = rows.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = good.union(lone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

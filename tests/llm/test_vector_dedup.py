@@ -72,3 +72,24 @@ def test_odd_rows(spark):
     lone = [(i, 0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11)]
     assert got == sorted([(1, 3, 1, True), (2, 3, 1, False), (12, 3, 1, False), (12, 3, 1, False), (3, 1, 3, True), (13, 1, 3, False), *lone])
     assert vd.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_long_lists_are_divided_by_further_pivots(spark):
+    """One dense group beside others: lists of one and two pivots overflow, and blocks of 40 take the rest."""
+    rng = np.random.default_rng(5)
+    at = rng.normal(size=16)
+    rows = [(at + rng.normal(size=16) * 0.05).tolist() for _ in range(400)] + rng.normal(size=(300, 16)).tolist()
+    rows = [(i, v, 0) for i, v in enumerate(rows)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = brute(rows)
+    for block in (1024, 40):
+        got = sorted((r.vec_id, r.n_links, r.component_id) for r in vd.near_duplicates(df, block=block).collect())
+        assert sum(g[1] for g in got) >= 0.98 * sum(w[1] for w in want) > 100_000
+        assert all(g[1] <= w[1] for g, w in zip(got, want))
+        assert [g[2] for g in got] == [w[2] for w in want]
+
+
+def test_many_vector_lengths(spark):
+    rows = [(i, [1.0 + (i % 2) * 1e-9] * (1 + i // 3), 1) for i in range(3030)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {(r.vec_id, r.n_links, r.component_id) for r in vd.near_duplicates(df).collect()} == {(i, 2, i // 3 * 3) for i in range(3030)}
