@@ -86,4 +86,5 @@ def _stems(xs: pd.Series) -> pd.Series:
 
 
 def stems(tokens: Column) -> Column:
+    """Stems of an array of tokens; each distinct word is worked out once a worker."""
     return _stems(tokens)

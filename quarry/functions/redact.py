@@ -59,5 +59,6 @@ def report(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def by_session(df: DataFrame, session_col: str = "session_id", text_col: str = "text") -> DataFrame:
-    d = flagged(df, text_col).where(~F.col("redacted").eqNullSafe(F.col(text_col)))
-    return d.groupBy(session_col).agg(F.count(F.lit(1)).alias("n_changed"))
+    """(session, n_changed): texts that masking changes. What a generator gives is not computed again by a filter on it."""
+    d = df.select(session_col, text_col, F.explode(F.array(redact(F.col(text_col)))).alias("_r"))
+    return d.where(~F.col("_r").eqNullSafe(F.col(text_col))).groupBy(session_col).agg(F.count(F.lit(1)).alias("n_changed"))

@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.porter import stems
+
 # Words that carry no topic.
 STOPWORDS = """
 the a an and or but if then else of to in on at for with from by as is are was were be been being this that these those it its
@@ -30,6 +32,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(strip_marks(F.lower(text)), F.lit(r"[\p{L}\p{N}\p{Co}]+"), 0)
 
 
+def index_tokens(text: Column) -> Column:
+    """``tokens``, stemmed: what search, recall and related use unless told otherwise."""
+    return stems(tokens(text))
+
+
 def ascii_tokens(text: Column) -> Column:
     """Lower-case runs of a-z and 0-9; the tokenizer that any SQL engine can repeat."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
@@ -171,7 +178,7 @@ def commas(n: Column) -> Column:
 
 
 # Directory names that tell nothing about a project.
-CONTAINERS = ("users", "home", "desktop", "downloads", "documents", "library", "mobile documents", "com~apple~clouddocs", "clouddocs", "icloud", "git", "src", "code", "projects", "repos", "work", "dev", "github.com", "bitbucket.org", "gitlab.com")
+CONTAINERS = ("users", "home", "desktop", "downloads", "documents", "library", "mobile documents", "com~apple~clouddocs", "clouddocs", "icloud", "git", "src", "code", "projects", "repos", "work", "dev", "claude", "github.com", "bitbucket.org", "gitlab.com")
 
 
 def project_label(key: Column, cwd: Column, home: str = "") -> Column:

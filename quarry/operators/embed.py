@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAD = 2000
@@ -18,10 +18,20 @@ def pending(turns: DataFrame, embeddings: DataFrame, model: str, dim: int) -> Da
     return turns.where(F.coalesce(F.col("text"), F.lit("")) != "").join(have, "turn_id", "left_anti")
 
 
+def _heads(turns: DataFrame) -> DataFrame:
+    return turns.select("turn_id", F.substring("text", 1, HEAD).alias("head")).withColumn("h", F.sha2("head", 256))
+
+
+def text_groups(turns: DataFrame) -> DataFrame:
+    """(h, head, n_ids, first_id): each distinct head of text once, with how many turns have it."""
+    d = turns if "head" in turns.columns else _heads(turns)
+    return d.groupBy("h").agg(F.min("head").alias("head"), F.count(F.lit(1)).alias("n_ids"), F.min("turn_id").alias("first_id"))
+
+
 def backfill(turns: DataFrame, embeddings: DataFrame, encoder: Callable[[Sequence[str]], Sequence[Sequence[float]]], model: str, dim: int) -> DataFrame:
     """(turn_id, model, dim, vec) of pending turns: each distinct head of text is encoded once, and vectors get length one."""
-    todo = pending(turns, embeddings, model, dim).select("turn_id", F.substring("text", 1, HEAD).alias("head")).withColumn("h", F.sha2("head", 256))
-    texts = todo.groupBy("h").agg(F.min("head").alias("head"))
+    todo = _heads(pending(turns, embeddings, model, dim))
+    texts = text_groups(todo)
 
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -69,3 +79,13 @@ def word_pieces(text: str, vocab: dict[str, int], unknown: str = "[UNK]", longes
             at = end
         out += pieces if at == len(w) else [unknown]
     return out[:MAX_PIECES]
+
+
+def pieces(text: Column, vocab: dict[str, int]) -> Column:
+    """``word_pieces`` of a column."""
+
+    @F.pandas_udf("array<string>")
+    def cut(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else word_pieces(t, vocab))
+
+    return cut(text)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
@@ -18,6 +20,7 @@ DUPLICATE_PCT = 35
 STALE_DAYS = 60
 BUDGET = 23000
 MAX_LINES = 200
+# Fixed value.
 HEADER = "# Memory Index\n\n"
 # Words of unfinished work, and lines that may follow a displaced frontmatter key.
 STALE_CUES = r"(?i)\b(pending|wip|in[- ]progress|queued|uncommitted|unmerged|still open|to do|todo|tbd|next step|follow[- ]up|not yet)\b"
@@ -36,11 +39,13 @@ def front(text: Column, key: str) -> Column:
 
 
 def parse_leaves(files: DataFrame) -> DataFrame:
-    """(leaf_path, content) to the leaf's own fields, body and content."""
+    """(leaf_path, content) to the leaf's own fields, body and content; ``error`` says why a file could not be read, if the input has it."""
     c = F.col("content")
+    if "error" not in files.columns:
+        files = files.withColumn("error", F.lit(None).cast("string"))
     closed = c.rlike(r"(?s)\A---[ \t]*\n(?:.*?\n)?---[ \t]*(?:\n|\z)")
     return files.select(
-        "leaf_path", "content", front(c, "name").alias("leaf_name"), front(c, "type").alias("leaf_type"), front(c, "description").alias("leaf_description"),
+        "leaf_path", "content", "error", front(c, "name").alias("leaf_name"), front(c, "type").alias("leaf_type"), front(c, "description").alias("leaf_description"),
         front(c, "originSessionId").alias("leaf_origin"), front(c, "tags").alias("leaf_tags"), front(c, "pinned").alias("leaf_pinned"),
         c.startswith("---").alias("opens"), closed.alias("closes"),
         F.when(closed, F.regexp_replace(c, r"(?s)\A---[ \t]*\n(?:.*?\n)?---[ \t]*(?:\n|\z)", "")).otherwise(c).alias("body"),
@@ -68,37 +73,77 @@ def type_weight(t: Column) -> Column:
     return F.when(x.isin("feedback", "user"), 40).when(x == "project", 20).when(x == "reference", 10).otherwise(15)
 
 
-def upsert(leaves: DataFrame, stored: DataFrame, flags: dict[str, str] | None = None, now: str = "") -> DataFrame:
-    """Parsed leaves over stored facts of one project: type is flag, leaf, stored, guess; title is flag, stored, leaf name, stem.
+def _stem(leaf_path: str = "leaf_path") -> Column:
+    return F.regexp_replace(leaf_path, r"\.md$", "")
 
-    A hook that was only the description follows the description.
+
+def _said(c: Column | str) -> Column:
+    """Null where there is nothing."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c != "", c)
+
+
+def unquote(c: Column) -> Column:
+    return F.regexp_replace(F.trim(c), "^\"(.*)\"$|^'(.*)'$", "$1$2")
+
+
+def drifted(leaf: Column, row: Column) -> Column:
+    """Whether two descriptions, both given, differ."""
+    return F.coalesce((F.trim(leaf) != "") & (F.trim(row) != "") & (unquote(leaf) != unquote(row)), F.lit(False))
+
+
+def upsert(leaves: DataFrame, stored: DataFrame, flags: dict[str, str] | None = None, now: str = "", project: str | None = None) -> DataFrame:
+    """The fact rows of parsed leaves, over the stored facts of one project.
+
+    A flag wins; otherwise the type is the leaf's, the stored one or a guess, the title the stored one, the leaf's name or its stem.
+    A hook that was only the description follows the leaf's description. A stored name is never rewritten; a stored fact becomes active
+    again and keeps its place, pin, tags and origin; new ones go to the end of the project's order, by leaf.
     """
     g = {k: F.lit(v) for k, v in (flags or {}).items()}
     opt = lambda k: g.get(k, F.lit(None).cast("string"))
-    stem = F.regexp_replace("leaf_path", r"\.md$", "")
-    s = stored.select(*[F.col(c).alias(f"s_{c}") for c in ("leaf_path", "type", "title", "hook", "description", "tags", "pinned", "status", "hits", "created_at", "index_seq", "origin_session")])
+    kept = ("project", "name", "type", "title", "hook", "leaf_path", "description", "tags", "pinned", "hits", "created_at", "index_seq", "origin_session")
+    s = stored.select(*[F.col(c).alias(f"s_{c}") for c in kept])
     d = leaves.join(s, F.col("leaf_path") == F.col("s_leaf_path"), "left")
-    description = F.coalesce(opt("description"), "leaf_description", "s_description")
-    follows = F.col("s_hook").isNull() | F.col("s_hook").eqNullSafe(T.hook_cap(F.col("s_description")))
+    old = F.col("s_leaf_path").isNotNull()
+    own = _said("s_hook").eqNullSafe(T.hook_cap(F.col("s_description"))) & _said("s_hook").isNotNull()
+    hook = F.coalesce(opt("hook"), F.when(~(own & _said("leaf_description").isNotNull()), _said("s_hook")), F.col("leaf_description"), F.lit(""))
+    top = stored.agg(F.coalesce(F.max("index_seq"), F.lit(-1)).alias("top"))
+    fresh = d.where(~old).select("leaf_path", (F.row_number().over(Window.orderBy("leaf_path"))).alias("nth"))  # the leaves of one call
+    d = d.join(fresh, "leaf_path", "left").join(F.broadcast(top))  # one row
     return d.select(
-        "leaf_path", F.coalesce("leaf_name", stem).alias("name"), F.coalesce(opt("type"), "leaf_type", "s_type", guess_type(stem)).alias("type"),
-        F.coalesce(opt("title"), "s_title", "leaf_name", stem).alias("title"),
-        F.coalesce(opt("hook"), F.when(follows, T.hook_cap(description)), F.col("s_hook"), F.lit("")).alias("hook"), description.alias("description"),
-        F.coalesce("leaf_tags", "s_tags").alias("tags"), F.coalesce("leaf_origin", "s_origin_session").alias("origin_session"), F.col("s_index_seq").alias("index_seq"),
-        F.greatest(F.coalesce("s_pinned", F.lit(0)), F.lower(F.coalesce("leaf_pinned", F.lit(""))).isin("true", "yes", "1").cast("int")).alias("pinned"),
-        F.coalesce("s_status", F.lit("active")).alias("status"), F.coalesce("s_hits", F.lit(0)).cast("long").alias("hits"),
-        F.coalesce("s_created_at", F.lit(now)).alias("created_at"), F.lit(now).alias("updated_at"),
+        F.coalesce("s_project", F.lit(project)).alias("project"), F.when(old, F.col("s_name")).otherwise(F.col("leaf_name")).alias("name"),
+        F.coalesce(opt("type"), _said("leaf_type"), _said("s_type"), guess_type(_stem())).alias("type"),
+        F.coalesce(opt("title"), _said("s_title"), F.replace(F.coalesce(_said("leaf_name"), _stem()), F.lit("_"), F.lit(" "))).alias("title"),
+        T.hook_cap(hook).alias("hook"), "leaf_path", F.coalesce("leaf_description", "s_description").alias("description"), F.col("s_tags").alias("tags"),
+        F.when(old, F.col("s_index_seq")).otherwise(F.col("top") + F.col("nth")).cast("long").alias("index_seq"),
+        F.greatest(F.coalesce("s_pinned", F.lit(0)), F.lit(int("pin" in g))).alias("pinned"), F.lit("active").alias("status"),
+        F.coalesce("s_hits", F.lit(0)).cast("long").alias("hits"), F.coalesce("s_created_at", F.lit(now)).alias("created_at"), F.lit(now).alias("updated_at"),
+        F.lit(None).cast("string").alias("superseded_at"), F.coalesce(opt("origin_session"), "s_origin_session").alias("origin_session"),
+        F.when(~old, F.lit("inserted")).otherwise(F.lit("updated")).alias("action"),
+        (old & opt("hook").isNull() & _said("s_hook").isNotNull() & ~own & drifted(F.col("leaf_description"), F.col("s_description"))).alias("kept_hand_hook"),
     )
 
 
-def import_index(leaves: DataFrame, pointers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts, summary): leaves with their index lines; counts by type, leaves without a line, lines without a leaf."""
-    stem = F.regexp_replace("leaf_path", r"\.md$", "")
+def import_index(leaves: DataFrame, pointers: DataFrame, stored: DataFrame | None = None, now: str = "", project: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(facts, summary): leaves with their index lines, merged with stored facts; counts by type, leaves without a line, lines without a leaf.
+
+    A stored fact keeps its status, dates, hits and origin, and stays pinned once it was; all else is the leaf's.
+    """
     d = leaves.join(pointers, "leaf_path", "left")
+    listed = F.col("index_seq").isNotNull()
     facts = d.select(
-        "leaf_path", F.coalesce("leaf_name", stem).alias("name"), F.coalesce("leaf_type", guess_type(stem)).alias("type"), F.coalesce("title", "leaf_name", stem).alias("title"),
-        T.hook_cap(F.coalesce("hook", "leaf_description", F.lit(""))).alias("hook"), F.col("leaf_description").alias("description"), "index_seq",
+        F.lit(project).cast("string").alias("project"), F.col("leaf_name").alias("name"), F.coalesce(_said(F.lower("leaf_type")), guess_type(_stem())).alias("type"),
+        F.when(listed, F.col("title")).otherwise(F.coalesce(_said("leaf_name"), F.replace(_stem(), F.lit("_"), F.lit(" ")))).alias("title"),
+        F.when(listed, F.col("hook")).otherwise(F.coalesce("leaf_description", F.lit(""))).alias("hook"), "leaf_path", F.col("leaf_description").alias("description"),
+        F.col("leaf_tags").alias("tags"), "index_seq", F.lower(F.coalesce("leaf_pinned", F.lit(""))).isin("true", "yes", "1").cast("int").alias("pinned"),
+        F.lit("active").alias("status"), F.lit(0).cast("long").alias("hits"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.col("leaf_origin").alias("origin_session"),
     )
+    if stored is not None:
+        keep = ("pinned", "status", "hits", "created_at", "origin_session")
+        old = stored.select(F.col("leaf_path"), *[F.col(c).alias(f"s_{c}") for c in keep], F.lit(True).alias("s_here"))
+        facts = facts.join(old, "leaf_path", "left")
+        mine = {c: F.when(F.col("s_here"), F.col(f"s_{c}")).otherwise(F.col(c)) for c in keep if c != "pinned"}
+        facts = facts.withColumns(mine | {"pinned": F.greatest(F.coalesce("s_pinned", F.lit(0)), "pinned")}).drop("s_here", *(f"s_{c}" for c in keep))
     one = lambda kind, df: df.select(F.lit(kind).alias("kind"), "what", "n")
     by_type = facts.groupBy(F.col("type").alias("what")).agg(F.count(F.lit(1)).alias("n"))
     orphans = leaves.join(pointers, "leaf_path", "left_anti").select(F.col("leaf_path").alias("what"), F.lit(1).cast("long").alias("n"))
@@ -115,7 +160,7 @@ def listing(facts: DataFrame, status: str = "active") -> DataFrame:
     return with_status(facts, status).orderBy(F.col("pinned").desc(), F.col("index_seq").asc_nulls_last(), "leaf_path")
 
 
-def find(facts: DataFrame, terms: list[str], limit: int = 10, status: str = "active", tokenizer=T.tokens) -> DataFrame:
+def find(facts: DataFrame, terms: list[str], limit: int = 10, status: str = "active", tokenizer=T.index_tokens) -> DataFrame:
     m = search.match_scores(facts, terms, tokenizer=tokenizer, text_cols=("title", "hook", "description"))
     return with_status(m, status).orderBy("score", "leaf_path").limit(limit)
 
@@ -130,35 +175,49 @@ def set_state(facts: DataFrame, leaf_path: str, now: str, **new) -> DataFrame:
 # Index selection.
 
 
-def select_index(facts: DataFrame, budget: int = BUDGET, include_orphans: bool = False, header: str = HEADER, max_lines: int = MAX_LINES) -> DataFrame:
-    """(project, leaf_path, line, n_bytes, included): per project, best facts first, each line that still fits goes in.
+def index_order() -> list[Column]:
+    """Pinned first, then by weight of the type, recency, hits and place."""
+    return [
+        F.coalesce("pinned", F.lit(0)).desc(), type_weight(F.col("type")).desc(), F.coalesce("updated_at", F.lit("")).desc(), F.coalesce("hits", F.lit(0)).desc(),
+        F.coalesce("index_seq", F.lit(1 << 40)).asc(), F.col("leaf_path").asc(),
+    ]
 
-    Skipping a line that does not fit and trying the next is sequential. Only ``max_lines`` lines can be taken, so per
-    project the state is a count and a sum; a project's facts are folded in rank order by an aggregate over its sorted array.
-    """
+
+def index_lines(facts: DataFrame, include_orphans: bool = False) -> DataFrame:
+    """Active facts with their index ``line``, ``n_bytes`` and ``place`` in their project."""
     d = with_status(facts)
     if not include_orphans:
         d = d.where(F.col("index_seq").isNotNull() | (F.col("pinned") != 0))
     tail = F.when(F.coalesce("hook", F.lit("")) != "", F.concat(F.lit(" — "), "hook")).otherwise(F.lit(""))
     line = F.concat(F.lit("- ["), F.col("title"), F.lit("]("), F.col("leaf_path"), F.lit(")"), tail, F.lit("\n"))
     d = d.withColumn("line", line).withColumn("n_bytes", F.octet_length("line"))
-    seq = F.coalesce(F.col("index_seq"), F.lit(1 << 40))
-    key = F.struct(
-        (-F.coalesce("pinned", F.lit(0))).alias("a"), (-type_weight(F.col("type"))).alias("b"),
-        F.translate(F.coalesce("updated_at", F.lit("")), "0123456789", "9876543210").alias("c"), (-F.coalesce("hits", F.lit(0))).alias("d"), seq.alias("e"), F.col("leaf_path").alias("f"),
-    )
-    rows = d.groupBy("project").agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), "leaf_path", "line", "n_bytes", "index_seq"))).alias("rows"))
+    return d.withColumn("place", F.row_number().over(Window.partitionBy("project").orderBy(*index_order())))
+
+
+def select_index(facts: DataFrame, budget: int = BUDGET, include_orphans: bool = False, header: str = HEADER, max_lines: int = MAX_LINES) -> DataFrame:
+    """(project, leaf_path, line, n_bytes, index_seq, place, included): per project, best facts first, each line that still fits goes in.
+
+    Skipping a line that does not fit and trying the next is sequential: a project's lines are read in rank order as a stream of Arrow
+    batches, with a count and a sum as the only state, so no project is gathered.
+    """
+    d = index_lines(facts, include_orphans).select("project", "leaf_path", "line", "n_bytes", F.col("index_seq").cast("long").alias("index_seq"), "place")
     room, space = budget - len(header.encode()), max_lines - header.count("\n")
 
-    def step(acc, r):
-        fits = (acc["used"] + r["n_bytes"] <= room) & (acc["n"] < space)
-        return F.struct((acc["used"] + F.when(fits, r["n_bytes"]).otherwise(0)).alias("used"), (acc["n"] + fits.cast("int")).alias("n"), F.concat(acc["in"], F.array(fits)).alias("in"))
+    def go(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project, used, n = object(), 0, 0
+        for rb in parts:
+            fits = []
+            for p, size in zip(rb.column("project").to_pylist(), rb.column("n_bytes").to_pylist()):
+                if p != project:
+                    project, used, n = p, 0, 0
+                ok = used + size <= room and n < space
+                used, n = used + size * ok, n + ok
+                fits.append(ok)
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(fits, pa.bool_())], names=[*rb.schema.names, "included"])
 
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("in"))
-    folded = rows.withColumn("in", F.aggregate("rows", start, step, lambda a: a["in"]))
-    return folded.select("project", F.explode(F.arrays_zip("rows", F.col("in"))).alias("x")).select(
-        "project", "x.rows.leaf_path", "x.rows.line", "x.rows.n_bytes", "x.rows.index_seq", F.col("x.in").alias("included")
-    )
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema)
+    # The window left each project in one partition; only the order is asked for again.
+    return d.sortWithinPartitions("project", "place").mapInArrow(go, f"{shape}, included boolean")
 
 
 def render_index(selected: DataFrame, header: str = HEADER) -> DataFrame:
@@ -198,12 +257,16 @@ def links(leaves: DataFrame) -> DataFrame:
     return d.select(F.col("leaf_path").alias("src"), F.explode(found).alias("target")).where("target <> ''")
 
 
+def link_key(target: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(target), r"(?:\.md)+$", ""))
+
+
 def link_graph(leaves: DataFrame) -> DataFrame:
     """(src, target, dst): each link and the leaf it names, by name first, else by file stem; null where it dangles."""
-    stem = F.lower(F.regexp_replace("leaf_path", r"\.md$", ""))
+    stem = F.lower(_stem())
     names = leaves.where("leaf_name is not null").groupBy(F.lower("leaf_name").alias("k")).agg(F.min("leaf_path").alias("by_name"))
     stems = leaves.groupBy(stem.alias("k")).agg(F.min("leaf_path").alias("by_stem"))
-    e = links(leaves).withColumn("k", F.lower("target"))
+    e = links(leaves).withColumn("k", link_key(F.col("target")))
     return e.join(names, "k", "left").join(stems, "k", "left").select("src", "target", F.coalesce("by_name", "by_stem").alias("dst"))
 
 
@@ -243,50 +306,62 @@ def _spliced(bodies: pd.Series) -> pd.Series:
 
 def doctor(leaves: DataFrame, facts: DataFrame, now: str) -> DataFrame:
     """(leaf_path, check_no, severity, message), in leaf and check order. ``leaves`` are parsed; ``facts`` of one project."""
-    f = facts.withColumn("_active", (F.col("status") == "active") & F.col("superseded_at").isNull())
-    d = leaves.withColumn("spliced", _spliced("body")).join(f, "leaf_path", "full_outer")
-    here, row = F.col("content").isNotNull(), F.col("status").isNotNull()
-    active = F.coalesce("_active", F.lit(False))
-    hard = F.when(active, F.lit("error")).otherwise(F.lit("warning"))
-    soft = F.lit("warning")
+    d = leaves.withColumn("spliced", _spliced("body")).join(facts, "leaf_path", "full_outer")
+    listed, row = F.col("content").isNotNull() | F.col("error").isNotNull(), F.col("status").isNotNull()
+    here = F.col("content").isNotNull() & F.col("error").isNull()
+    ours = F.coalesce(F.col("status") == "active", F.lit(False))
+    hard, soft = F.when(ours, F.lit("error")).otherwise(F.lit("warning")), F.lit("warning")
     fine = here & F.col("opens") & F.col("closes")
-    name = F.lower(F.coalesce("leaf_name", "name", F.regexp_replace("leaf_path", r"\.md$", "")))
     known = lambda c: F.lower(c).isin(*TYPES)
     missing = F.concat_ws(", ", *[F.when(F.col(f"leaf_{k}").isNull(), F.lit(k)) for k in ("name", "description", "type")])
+    age = F.datediff(F.try_to_date(F.lit(now[:10])), F.try_to_date(F.substring("updated_at", 1, 10)))
     checks = [
-        (1, hard, ~here, F.lit("leaf file missing")),
+        (1, hard, ~listed, F.lit("leaf file missing")),
+        (2, hard, F.col("error").isNotNull(), F.concat(F.lit("leaf unreadable: "), "error")),
         (3, hard, here & ~F.col("opens"), F.lit("no frontmatter")),
         (4, hard, here & F.col("opens") & ~F.col("closes"), F.lit("frontmatter never closes")),
         (5, hard, fine & F.col("spliced"), F.lit("splice debris in body")),
         (6, hard, fine & (missing != ""), F.concat(F.lit("missing "), missing)),
-        (7, soft, fine & ~F.coalesce(known(F.col("leaf_type")), F.lit(True)), F.concat(F.lit("unknown leaf type "), "leaf_type")),
-        (8, soft, here & row & ~F.coalesce(known(F.col("type")), F.lit(True)), F.concat(F.lit("unknown row type "), "type")),
-        (9, soft, fine & row & (F.lower("leaf_name") != F.lower("name")), F.concat(F.lit("name differs: "), "leaf_name", F.lit(" / "), "name")),
-        (10, soft, fine & active & (F.col("leaf_description") != F.col("description")), F.lit("description differs")),
-        (14, soft, here & active & (F.lower("type") == "project") & F.col("hook").rlike(STALE_CUES)
-            & (F.datediff(F.try_to_date(F.lit(now[:10])), F.try_to_date(F.substring("updated_at", 1, 10))) > STALE_DAYS), F.lit("stale in-flight fact")),
+        (7, soft, here & ~F.coalesce(known(F.col("leaf_type")), F.lit(True)), F.concat(F.lit("unknown leaf type "), "leaf_type")),
+        (8, soft, here & row & ~F.coalesce(known(_said("type")), F.lit(True)), F.concat(F.lit("unknown row type "), "type")),
+        (9, soft, here & row & (F.lower("leaf_name") != F.lower(_said("name"))), F.concat(F.lit("name differs: "), "leaf_name", F.lit(" / "), "name")),
+        (10, soft, here & ours & drifted(F.col("leaf_description"), F.col("description")), F.lit("description differs")),
+        (14, soft, here & ours & (F.lower("type") == "project") & F.col("hook").rlike(STALE_CUES) & (age > STALE_DAYS),
+            F.concat(F.lit("may be stale: "), F.lower(F.regexp_extract("hook", STALE_CUES, 1)))),
         (15, soft, here & ~row, F.lit("not registered")),
     ]
     hits = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("check_no"), s.alias("severity"), m.alias("message"))) for n, s, c, m in checks]), lambda x: x.isNotNull())
     out = d.select("leaf_path", F.explode(hits).alias("x")).select("leaf_path", "x.check_no", "x.severity", "x.message")
 
-    claims = d.where(here).select("leaf_path", name.alias("slug"), active.alias("_active"))
-    first = claims.groupBy("slug").agg(F.min("leaf_path").alias("first"), F.min(F.when(F.col("_active"), F.col("leaf_path"))).alias("first_active"))
+    # A leaf claims a slug by its own name and by its row's, which upsert never rewrites.
+    names = F.filter(F.array_distinct(F.array(F.lower("leaf_name"), F.lower("name"))), lambda x: x.isNotNull() & (x != ""))
+    d = d.withColumns({"names": names, "ours": ours})
+    claims = d.where(here).select("leaf_path", "ours", F.explode("names").alias("slug"))
+    first = claims.groupBy("slug").agg(F.min("leaf_path").alias("first"), F.min(F.when(F.col("ours"), F.col("leaf_path"))).alias("first_active"))
     c = claims.join(first, "slug").where(F.col("leaf_path") != F.col("first"))
-    hard_dup = F.col("_active") & (F.col("first_active") < F.col("leaf_path"))
-    dup = c.select("leaf_path", F.lit(11).alias("check_no"), F.when(hard_dup, F.lit("error")).otherwise(soft).alias("severity"), F.concat(F.lit("duplicate name, also "), F.when(hard_dup, F.col("first_active")).otherwise(F.col("first"))).alias("message"))
+    clash = F.col("ours") & F.coalesce(F.col("first_active") < F.col("leaf_path"), F.lit(False))
+    owner = F.when(clash, F.col("first_active")).otherwise(F.col("first"))
+    dup = c.select("leaf_path", F.lit(11).alias("check_no"), F.when(clash, F.lit("error")).otherwise(soft).alias("severity"), F.concat(F.lit("duplicate name "), "slug", F.lit(", also "), owner).alias("message"))
 
-    dangling = link_graph(leaves).where("dst is null").select(F.col("src").alias("leaf_path"), F.lit(12).alias("check_no"), soft.alias("severity"), F.concat(F.lit("dangling link "), "target").alias("message"))
+    stems = d.select(F.lower(_stem()).alias("k")).union(d.select(F.explode("names"))).distinct()
+    wanted = links(leaves.where("error is null")).withColumn("k", link_key(F.col("target"))).join(stems, "k", "left_anti")
+    dangling = wanted.select(F.col("src").alias("leaf_path"), F.lit(12).alias("check_no"), soft.alias("severity"), F.concat(F.lit("dangling link "), "target").alias("message"))
 
-    live = d.where(here & active).withColumn("slug", name)
+    live = d.where(here & F.col("ours"))
     terms = F.transform(T.extract_terms(F.coalesce("leaf_description", F.lit(""))), lambda t: F.regexp_replace(F.lower(t), r"\.+$", ""))
-    folded = live.select("leaf_path", "slug", F.explode(F.array_distinct(F.array(F.replace("slug", F.lit("_"), F.lit("-")), F.replace(F.lower(F.regexp_replace("leaf_path", r"\.md$", "")), F.lit("_"), F.lit("-"))))).alias("k"))
-    near_name = folded.alias("a").join(folded.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.leaf_path") < F.col("b.leaf_path")) & (F.col("a.slug") != F.col("b.slug")))
-    near_name = near_name.select(F.col("b.leaf_path").alias("leaf_path"), F.col("a.leaf_path").alias("other"), F.lit("names differ only by - and _").alias("why"))
-    alike = jaccard_pairs(live, "leaf_path", terms).join(live.select(F.col("leaf_path").alias("a"), F.col("slug").alias("sa")), "a").join(live.select(F.col("leaf_path").alias("b"), F.col("slug").alias("sb")), "b").where("sa <> sb")
-    alike = alike.select(F.col("b").alias("leaf_path"), F.col("a").alias("other"), F.concat(F.lit("descriptions share "), F.col("pct").cast("string"), F.lit("% of terms")).alias("why"))
-    similar = near_name.union(alike).groupBy("leaf_path").agg(F.min(F.struct("other", "why")).alias("m"))
-    similar = similar.select("leaf_path", F.lit(13).alias("check_no"), soft.alias("severity"), F.concat(F.lit("possible duplicate of "), "m.other", F.lit(": "), "m.why").alias("message"))
+    fold = lambda x: F.replace(x, F.lit("_"), F.lit("-"))
+    folded = live.select("leaf_path", F.explode(F.array_distinct(F.transform(F.concat("names", F.array(F.lower(_stem()))), fold))).alias("k"))
+    by_name = folded.alias("a").join(folded.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.leaf_path") < F.col("b.leaf_path")))
+    by_name = by_name.select(F.col("a.leaf_path").alias("a"), F.col("b.leaf_path").alias("b"), F.lit(0).alias("how"), F.lit("names differ only by - and _").alias("why"))
+    alike = jaccard_pairs(live, "leaf_path", terms).select("a", "b", F.lit(1).alias("how"), F.concat(F.lit("descriptions share "), F.col("pct").cast("string"), F.lit("% of terms")).alias("why"))
+    own = live.select("leaf_path", "names")
+    pairs = by_name.union(alike).join(own.select(F.col("leaf_path").alias("a"), F.col("names").alias("na")), "a").join(own.select(F.col("leaf_path").alias("b"), F.col("names").alias("nb")), "b")
+    # A pair with one exact name is a duplicate name already.
+    similar = pairs.where(~F.arrays_overlap("na", "nb")).groupBy(F.col("b").alias("leaf_path")).agg(F.min(F.struct("a", "how", "why")).alias("m"))
+    similar = similar.select("leaf_path", F.lit(13).alias("check_no"), soft.alias("severity"), F.concat(F.lit("possible duplicate of "), "m.a", F.lit(": "), "m.why").alias("message"))
     return out.union(dup).union(dangling).union(similar).orderBy("leaf_path", "check_no")
 
 
+def doctor_totals(findings: DataFrame) -> DataFrame:
+    """(errors, warnings) of a doctor's findings."""
+    return findings.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.redact import redact
+from quarry.operators import tags
 
 
 def changed_files(listing: DataFrame, state: DataFrame) -> DataFrame:
@@ -16,10 +19,12 @@ def changed_files(listing: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def merge_turns(stored: DataFrame, new: DataFrame, forgotten: DataFrame | None = None) -> DataFrame:
-    """Stored turns and those new ones whose (session, seq) is not there; the first of equal new ones wins."""
+    """Stored turns and those new ones whose (session, seq) is not there; of equal new ones that of the earliest time, then text, wins."""
     if forgotten is not None:
         new = new.join(forgotten.select("session_id"), "session_id", "left_anti")
-    new = new.dropDuplicates(["session_id", "seq"])
+    rest = [c for c in new.columns if c not in ("session_id", "seq")]
+    first = F.min_by(F.struct(*rest), F.struct(F.coalesce("ts", F.lit("")), F.coalesce("text", F.lit(""))))
+    new = new.groupBy("session_id", "seq").agg(first.alias("_f")).select("session_id", "seq", "_f.*")
     return stored.unionByName(new.join(stored.select("session_id", "seq"), ["session_id", "seq"], "left_anti").select(*stored.columns))
 
 
@@ -112,11 +117,23 @@ def mark_current(queue: DataFrame, sessions: DataFrame, facts: DataFrame, sessio
 
 
 def clear(queue: DataFrame, confirm: bool = False) -> DataFrame:
-    if not confirm:
+    """The empty queue; one that holds sessions is cleared on confirmation alone."""
+    if not confirm and not queue.isEmpty():
         raise ValueError("clearing the queue wants confirm")
     return queue.limit(0)
 
 
+def queue_counts(queue: DataFrame, sessions: DataFrame, now: str, idle_s: int = 600) -> DataFrame:
+    """(pending, live, waiting): queued sessions, those written within ``idle_s``, and the others."""
+    d = queue.select("session_id").join(sessions.select("session_id", "last_ts"), "session_id", "left")
+    live = F.coalesce(_age(now) < idle_s, F.lit(False))
+    return d.agg(F.count(F.lit(1)).alias("pending"), F.count_if(live).alias("live"), F.count_if(~live).alias("waiting"))
+
+
+def _age(now: str) -> Column:
+    return F.unix_timestamp(F.try_to_timestamp(F.lit(now))) - F.unix_timestamp(F.try_to_timestamp("last_ts"))
+
+
 def forget(tables: dict[str, DataFrame], session_id: str, now: str, confirm: bool = False) -> dict[str, DataFrame]:
     """Archive tables without a session, and its tombstone. Vectors go with their turns."""
     if not confirm:
@@ -147,11 +164,20 @@ def merge_archives(sessions: DataFrame, turns: DataFrame, other_sessions: DataFr
     return kept.unionByName(again), merged
 
 
-def redact_apply(turns: DataFrame, embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Turns with secrets masked, and vectors without those of turns that changed."""
+def replace_tags(stored: DataFrame, turns: DataFrame, changed: DataFrame) -> DataFrame:
+    """Stored tags, with those of changed sessions (session_id) derived again from their turns."""
+    changed = changed.select("session_id").distinct()
+    again = tags.derive(turns.join(changed, "session_id", "left_semi"))
+    return stored.join(changed, "session_id", "left_anti").select("session_id", "ns", "tag", "rank").unionByName(again)
+
+
+def redact_apply(turns: DataFrame, embeddings: DataFrame, stored_tags: DataFrame | None = None) -> tuple[DataFrame, ...]:
+    """Turns with secrets masked, vectors without those of turns that changed, and with ``stored_tags`` those of their sessions derived again."""
     d = turns.withColumn("_r", redact(F.col("text")))
-    stale = d.where(~F.col("_r").eqNullSafe(F.col("text"))).select("turn_id")
-    return d.withColumn("text", F.col("_r")).select(*turns.columns), embeddings.join(stale, "turn_id", "left_anti")
+    stale = d.where(~F.col("_r").eqNullSafe(F.col("text"))).select("turn_id", "session_id")
+    new = d.withColumn("text", F.col("_r")).select(*turns.columns)
+    out = new, embeddings.join(stale.select("turn_id"), "turn_id", "left_anti")
+    return out if stored_tags is None else (*out, replace_tags(stored_tags, new, stale))
 
 
 def backoff_seconds(failures: Column) -> Column:
@@ -161,11 +187,66 @@ def backoff_seconds(failures: Column) -> Column:
 
 def distill_picks(queue: DataFrame, sessions: DataFrame, now: str, limit: int = 3, idle_s: int = 600) -> DataFrame:
     """Queued sessions to work on: newest first, not live within ``idle_s``, read to their end."""
-    quiet = F.unix_timestamp(F.try_to_timestamp(F.lit(now))) - F.unix_timestamp(F.try_to_timestamp("last_ts")) >= idle_s
-    d = queue.join(sessions, "session_id").where(quiet & (F.coalesce("partial_tail", F.lit(0)) == 0))
+    d = queue.join(sessions, "session_id").where((_age(now) >= idle_s) & (F.coalesce("partial_tail", F.lit(0)) == 0))
     return d.orderBy(F.col("enqueue_seq").desc()).limit(limit).select("session_id", "enqueue_seq")
 
 
+def distill_proof(before: DataFrame, after: DataFrame, facts: DataFrame, session_id: str, start: str, end: str, report: str) -> tuple[str, str]:
+    """What a session's distilling proved: ("saved", ""), ("no_op", "") or ("rejected", why).
+
+    ``before`` and ``after`` are (leaf_path, content) of the leaves; each changed leaf wants a fact of the session, or one updated between
+    ``start`` and ``end``. Without a change the worker's report must say that it saved nothing.
+    """
+    hashed = lambda d, name: d.select("leaf_path", F.sha2(F.col("content"), 256).alias(name))
+    d = hashed(after, "new").join(hashed(before, "old"), "leaf_path", "full_outer")
+    changed = d.where(F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("old"))).select("leaf_path")
+    own = facts.where((F.col("origin_session") == session_id) | F.col("updated_at").between(start, end)).select("leaf_path")
+    if not changed.isEmpty():
+        orphan = changed.join(own, "leaf_path", "left_anti").orderBy("leaf_path").first()
+        return ("saved", "") if orphan is None else ("rejected", f"changed leaf {orphan[0]} has no fact row")
+    if not d.where("new is null").isEmpty():
+        return "rejected", "leaf deleted during distill"
+    said = any(re.fullmatch(r"SESSION_TOTAL: saved 0, updated [0-9]+", x) for x in report.splitlines())
+    return ("no_op", "") if said else ("rejected", "missing exact no-op report")
+
+
+def distill_finish(queue: DataFrame, sessions: DataFrame, turns: DataFrame, session_id: str, boundary: int) -> tuple[str, DataFrame, DataFrame]:
+    """(state, queue, sessions) after proof: deferred while turns are missing or unread, dropped at the last turn, kept if more came."""
+    last = turns.where(F.col("session_id") == session_id).agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+    row = sessions.where(F.col("session_id") == session_id).select(F.coalesce("skipped_lines", F.lit(0)) + F.coalesce("partial_tail", F.lit(0))).first()
+    if row is None or last < boundary or row[0]:
+        return "deferred", queue, sessions
+    hit = F.col("session_id") == session_id
+    mark = F.greatest(F.coalesce("checkpointed_seq", F.lit(-1)), F.lit(boundary)).cast("long")
+    s = sessions.withColumn("checkpointed_seq", F.when(hit, mark).otherwise(F.col("checkpointed_seq")))
+    return ("dropped", queue.where(~hit), s) if last == boundary else ("kept", queue, s)
+
+
+VERSION = 8
+
+
+def read_snapshot(spark: SparkSession, path: str, version: int = VERSION) -> dict[str, DataFrame]:
+    """The tables of a snapshot by name; a snapshot of a newer version is refused."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(base) if s.isDirectory() and not s.getPath().getName().startswith("_"))
+    found = spark.read.text(f"{path}/_version").first() if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_version")) else None
+    if found is not None and int(found[0]) > version:
+        raise ValueError(f"the snapshot has version {found[0]}, newer than {version}")
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
+def snapshot_due(spark: SparkSession, root: str, now: str, hours: int = 24) -> bool:
+    """Whether the newest snapshot under ``root`` (names are ISO times or days) is ``hours`` old, or there is none."""
+    from datetime import datetime, timedelta
+
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    stamps = [s.getPath().getName() for s in fs.listStatus(base) if not s.getPath().getName().startswith(".")] if fs.exists(base) else []
+    parse = lambda x: datetime.fromisoformat(x.replace("Z", "")).replace(tzinfo=None)
+    return not stamps or parse(now) - parse(max(stamps)) >= timedelta(hours=hours)
+
+
 def snapshot(tables: dict[str, DataFrame], root: str, stamp: str, keep: int = 7) -> str:
     """Write every table under root/stamp (by way of a temporary name) and keep the newest ``keep`` snapshots."""
     spark = next(iter(tables.values())).sparkSession
@@ -174,6 +255,7 @@ def snapshot(tables: dict[str, DataFrame], root: str, stamp: str, keep: int = 7)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/.tmp-{stamp}/{name}")
+    spark.createDataFrame([(str(VERSION),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/.tmp-{stamp}/_version")
     final = path_of(f"{root}/{stamp}")
     fs.delete(final, True)
     if not fs.rename(path_of(f"{root}/.tmp-{stamp}"), final):

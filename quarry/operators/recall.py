@@ -57,7 +57,7 @@ def _has(tokens, term: str):
     return F.exists(tokens, lambda x: T.token_matches_loose(x, F.lit(term)))
 
 
-def candidates(turns: DataFrame, prompt: Prompt, project: str, live: str | None = None, tokenizer=T.tokens) -> DataFrame:
+def candidates(turns: DataFrame, prompt: Prompt, project: str, live: str | None = None, tokenizer=T.index_tokens) -> DataFrame:
     """The best matches in the project, of other sessions, with ``n_matched`` of all terms and whether an anchor is among them."""
     where = F.col("project") == project
     if live is not None:
@@ -70,7 +70,7 @@ def candidates(turns: DataFrame, prompt: Prompt, project: str, live: str | None
     return best.withColumns({"n_matched": n, "anchored": anchor})
 
 
-def run(turns: DataFrame, prompt_text: str, project: str, now: str, live: str | None = None, seen: DataFrame | None = None, shown_facts: int = 0, tokenizer=T.tokens) -> DataFrame:
+def run(turns: DataFrame, prompt_text: str, project: str, now: str, live: str | None = None, seen: DataFrame | None = None, shown_facts: int = 0, tokenizer=T.index_tokens) -> DataFrame:
     """(session_id, seq, ts, text, score, rank): the lines to show; empty to stay silent. ``now`` is an ISO time."""
     prompt = read_prompt(turns.sparkSession, prompt_text)
     if prompt is None:
@@ -89,7 +89,7 @@ def run(turns: DataFrame, prompt_text: str, project: str, now: str, live: str |
     return c.orderBy("rank", "session_id").limit(max(0, MAX_LINES - shown_facts)).select("session_id", "seq", "ts", "text", "score", "rank")
 
 
-def hidden_facts(facts: DataFrame, prompt_text: str, project: str, shown: list[str] = (), tokenizer=T.tokens) -> DataFrame:
+def hidden_facts(facts: DataFrame, prompt_text: str, project: str, shown: list[str] = (), tokenizer=T.index_tokens) -> DataFrame:
     """Active facts of the project that match rare terms of the prompt and are not in the visible index (``shown`` leaf paths)."""
     empty = facts.where(F.lit(False)).select("leaf_path", "title", "hook", F.lit(0.0).alias("score"))
     prompt = read_prompt(facts.sparkSession, prompt_text)
@@ -120,6 +120,18 @@ def shown_paths(index_lines: DataFrame) -> list[str]:
     return [r.p for r in d.distinct().collect()]
 
 
-def trim_seen(seen: DataFrame, max_lines: int = 4000, keep: int = 2000) -> DataFrame:
-    """The newest ``keep`` lines of a seen log that has over ``max_lines``; ``seen`` has a growing ``n``."""
-    return seen if seen.count() <= max_lines else seen.orderBy(F.col("n").desc()).limit(keep)
+SEEN_LINES, SEEN_KEEP, SEEN_BYTES = 4000, 2000, 512 * 1024
+
+
+def trim_seen(seen: DataFrame, max_lines: int = SEEN_LINES, keep: int = SEEN_KEEP, max_bytes: int = SEEN_BYTES) -> DataFrame:
+    """The newest lines of a seen log that has over ``max_lines`` lines or ``max_bytes`` bytes; ``seen`` has a growing ``n``.
+
+    ``keep`` lines at most, and no more than fit in ``max_bytes``.
+    """
+    size = F.octet_length("session") + F.octet_length("source") + 2
+    lines, total = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    if lines <= max_lines and total <= max_bytes:
+        return seen
+    newest = seen.orderBy(F.col("n").desc()).limit(keep)  # one task holds no more than that
+    room = F.sum(size).over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return newest.withColumn("_b", room).where(F.col("_b") <= max_bytes).drop("_b")

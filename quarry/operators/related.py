@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -13,7 +13,7 @@ MAX_TERMS = 1500
 MIN_SESSIONS = 2
 
 
-def anchor_sessions(turns: DataFrame, anchor: str, project: str | None = None, tokenizer=T.tokens) -> DataFrame:
+def anchor_sessions(turns: DataFrame, anchor: str, project: str | None = None, tokenizer=T.index_tokens) -> DataFrame:
     """(session_id, ts, seq): the newest sessions that hold the anchor phrase, with their first matching turn."""
     phrases = search.phrases_of(turns, [anchor], tokenizer)
     d = turns if not project else turns.where(search.like_contains(F.col("project"), project))
@@ -36,18 +36,30 @@ def session_terms(turns: DataFrame, sessions: DataFrame, anchor: str) -> DataFra
     return out.groupBy("session_id", "low").agg(F.min_by("term", "seq").alias("term"))
 
 
-def terms(turns: DataFrame, anchor: str, limit: int = 20, project: str | None = None, tokenizer=T.tokens) -> DataFrame:
+def terms(turns: DataFrame, anchor: str, limit: int = 20, project: str | None = None, tokenizer=T.index_tokens) -> DataFrame:
     """(term, n_sessions, df, score), best first."""
     sessions = anchor_sessions(turns, anchor, project, tokenizer)
     per = session_terms(turns, sessions, anchor)
     cand = per.groupBy("low").agg(F.count(F.lit(1)).alias("n_sessions"), F.min("term").alias("term")).where(F.col("n_sessions") >= MIN_SESSIONS)
-    cand = cand.orderBy(F.col("n_sessions").desc(), "low").limit(MAX_TERMS)
-    # Rows per candidate phrase: the candidates (MAX_TERMS at most) are broadcast by their first token, then the phrase is tested.
-    keyed = cand.select("low", tokenizer(F.col("low")).alias("toks")).where(F.size("toks") > 0).withColumn("head", F.get("toks", F.lit(0)))
-    rows = turns.select(F.monotonically_increasing_id().alias("rid"), tokenizer(F.coalesce("text", F.lit(""))).alias("t"))
-    hits = rows.select("rid", "t", F.explode(F.array_distinct("t")).alias("head")).join(F.broadcast(keyed), "head")
-    whole = F.exists(F.sequence(F.lit(1), F.size("t")), lambda i: F.slice("t", i, F.size("toks")) == F.col("toks"))
-    df = hits.where((F.size("toks") == 1) | whole).groupBy("low").agg(F.count(F.lit(1)).alias("df"))
+    cand = cand.orderBy(F.col("n_sessions").desc(), "low").limit(MAX_TERMS).select("low", "n_sessions", "term", tokenizer(F.col("low")).alias("toks")).collect()
+    spark = turns.sparkSession
+    cand = spark.createDataFrame([(*r[:3], " ".join(r.toks), list(r.toks)) for r in cand], "low string, n_sessions long, term string, gram string, toks array<string>")
+    # Rows per candidate: only the runs of tokens that begin like a candidate leave a row, each once; candidates (MAX_TERMS at most) are broadcast.
+    heads: dict[int, set[str]] = {}
+    for r in cand.select("toks").collect():
+        if r.toks:
+            heads.setdefault(len(r.toks), set()).add(r.toks[0])
+
+    def grams(ts: Column) -> Column:
+        out = [F.filter(ts, lambda x: x.isin(sorted(heads[1])))] if 1 in heads else [F.array().cast("array<string>")]
+        for n in sorted(k for k in heads if k > 1):
+            at = F.filter(F.sequence(F.lit(1), F.size(ts)), _starts(ts, sorted(heads[n])))
+            out.append(F.transform(at, _run(ts, n)))
+        return F.array_distinct(F.concat(*out))
+
+    rows = turns.select(tokenizer(F.coalesce("text", F.lit(""))).alias("t")).where(F.size("t") > 0)
+    hits = rows.select(F.explode(T.bind(F.col("t"), grams)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    df = cand.where(F.size("toks") > 0).select("low", "gram").join(hits, "gram").select("low", "df")
     total = turns.count()
     eff = F.greatest(F.coalesce("df", F.lit(0)), "n_sessions", F.lit(1))
     score = (1 + F.log(F.col("n_sessions").cast("double"))) * F.greatest(F.lit(0.0), F.log(F.lit(float(total)) / eff))
@@ -55,7 +67,15 @@ def terms(turns: DataFrame, anchor: str, limit: int = 20, project: str | None =
     return out.orderBy(F.col("score").desc(), F.col("n_sessions").desc(), "low").limit(limit)
 
 
-def sessions(turns: DataFrame, anchor: str, limit: int = 10, top_terms: int = 20, project: str | None = None, tokenizer=T.tokens) -> DataFrame:
+def _starts(ts: Column, heads: list[str]):
+    return lambda i: F.get(ts, i - 1).isin(heads)
+
+
+def _run(ts: Column, n: int):
+    return lambda i: F.array_join(F.slice(ts, i, n), " ")
+
+
+def sessions(turns: DataFrame, anchor: str, limit: int = 10, top_terms: int = 20, project: str | None = None, tokenizer=T.index_tokens) -> DataFrame:
     """(session_id, ts, n_shared): anchor sessions by how many of the top terms they hold."""
     found = anchor_sessions(turns, anchor, project, tokenizer)
     best = terms(turns, anchor, top_terms, project, tokenizer).select("low")

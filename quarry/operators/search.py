@@ -2,12 +2,13 @@
 
 Statistics (rows, average length, rows per phrase) are of the whole table, before any filter. They take one
 scan and come to the driver as one row; scoring is a second scan with the statistics as literals, so there is no
-join and no shuffle but the final top-k. ``postings`` builds the same index as a table for repeated use.
+join and no shuffle but the final top-k. An archive that is searched more than once gets an index (operators/index.py).
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -16,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as T
+from quarry.functions.snippet import snippet
 
 K1, B = 1.2, 0.75
 FOLD_WINDOW = 4
-RELAXED_LIMIT = 50
+RELAXED_LIMIT, TRIGRAMS = 50, 24
 
 
 def phrase_count(tokens: Column, phrase: Sequence[str]) -> Column:
@@ -81,7 +83,7 @@ def bm25(c: DataFrame, stats: tuple[int, float, list[int]], exact: bool = True)
 
 
 def match_scores(
-    df: DataFrame, terms: Sequence[str], any_of: bool = False, exclude: Sequence[str] = (), tokenizer: Callable[[Column], Column] = T.tokens,
+    df: DataFrame, terms: Sequence[str], any_of: bool = False, exclude: Sequence[str] = (), tokenizer: Callable[[Column], Column] = T.index_tokens,
     where: Column | None = None, text_cols: Sequence[str] = ("text",),
 ) -> DataFrame:
     """Matching rows with ``score``. All phrases must occur, or any with ``any_of``; none of ``exclude``."""
@@ -102,35 +104,177 @@ def match_scores(
     return out.withColumn("score", bm25(out, stats)).drop("_tf", "_dl")
 
 
-def fold_sessions(hits: DataFrame, limit: int, order: Sequence[Column], session_col: str = "session_id") -> DataFrame:
-    """The best hit of each session with ``n_more`` further ones, best sessions first; a negative limit keeps all.
+# Raw queries: phrases in quotes, words, prefixes*, AND, OR, NOT, parentheses and NEAR(a b, n), as full-text engines read them.
+
+_RAW = re.compile(r'"((?:[^"]|"")*)"(\s*\*)?|([()])|([^\s()"]+)')
+
+
+class RawQuery:
+    """A parsed raw query: ``phrases`` as (words, prefix), and ``test``, a function from their counts to a condition."""
+
+    def __init__(self, query: str):
+        self.items = [m for m in _RAW.finditer(query)]
+        self.at, self.phrases, self.near = 0, [], []
+        if not self.items:
+            raise ValueError("no search terms")
+        self.test = self._or()
+        if self.at < len(self.items):
+            raise ValueError(f"unexpected {self.items[self.at][0]!r}")
+
+    def _word(self) -> str | None:
+        return self.items[self.at][4] if self.at < len(self.items) else None
+
+    def _or(self):
+        out = self._and()
+        while self._word() == "OR":
+            self.at += 1
+            out = (lambda a, b: lambda hit: a(hit) | b(hit))(out, self._and())
+        return out
+
+    def _and(self):
+        out = self._not()
+        while self.at < len(self.items) and self.items[self.at][3] != ")" and self._word() != "OR":
+            if self._word() == "AND":
+                self.at += 1
+            out = (lambda a, b: lambda hit: a(hit) & b(hit))(out, self._not())
+        return out
+
+    def _not(self):
+        out = self._atom()
+        while self._word() == "NOT":
+            self.at += 1
+            out = (lambda a, b: lambda hit: a(hit) & ~b(hit))(out, self._atom())
+        return out
+
+    def _atom(self):
+        if self.at >= len(self.items):
+            raise ValueError("the query ends too soon")
+        m = self.items[self.at]
+        self.at += 1
+        if m[3] == "(":
+            out = self._or()
+            if self.at >= len(self.items) or self.items[self.at][3] != ")":
+                raise ValueError("a parenthesis is not closed")
+            self.at += 1
+            return out
+        if m[3] or m[4] in ("AND", "OR", "NOT"):
+            raise ValueError(f"unexpected {m[0]!r}")
+        if m[4] == "NEAR" and self.at < len(self.items) and self.items[self.at][3] == "(":
+            return self._near()
+        text, prefix = (m[1].replace('""', '"'), bool(m[2])) if m[1] is not None else (m[4].rstrip("*"), m[4].endswith("*"))
+        self.phrases.append((text, prefix))
+        return (lambda k: lambda hit: hit(k))(len(self.phrases) - 1)
+
+    def _near(self):
+        """Words with at most n (10) others between the first and the last."""
+        self.at += 1
+        words = []
+        while self.at < len(self.items) and self.items[self.at][3] != ")":
+            m = self.items[self.at]
+            words.append(m[1] if m[1] is not None else m[4])
+            self.at += 1
+        self.at += 1
+        reach = 10
+        if len(words) > 2 and words[-2].endswith(",") and words[-1].isdigit():
+            reach, words = int(words[-1]), [*words[:-2], words[-2].rstrip(",")]
+        first = len(self.phrases)
+        self.phrases += [(w, False) for w in words]
+        self.near.append((list(range(first, first + len(words))), reach))
+        return (lambda k: lambda hit: hit(~k))(len(self.near) - 1)
+
+
+def _prefix_count(tokens: Column, phrase: Sequence[str]) -> Column:
+    k = len(phrase)
 
-    ``hits`` is a bounded top list, so ranking it in one task is fine.
-    """
-    d = hits.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
-    w = Window.partitionBy(session_col)
-    d = d.withColumn("n_more", (F.count(F.lit(1)).over(w) - 1).cast("long")).withColumn("_first", F.min("_rank").over(w))
-    d = d.where("_rank = _first").orderBy("_rank").drop("_first")
-    return (d.limit(limit) if limit >= 0 else d).drop("_rank")
+    def count(ts: Column) -> Column:
+        at = F.when(F.size(ts) < k, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(ts) - k, F.lit(0))))
+        return F.size(F.filter(at, lambda i: reduce(lambda a, b: a & b, [F.get(ts, i + j) == w for j, w in enumerate(phrase[:-1])], F.get(ts, i + k - 1).startswith(phrase[-1]))))
+
+    return T.bind(tokens, count)
+
+
+def _close(tokens: Column, words: list[list[str]], reach: int) -> Column:
+    """Whether some stretch holds every word with at most ``reach`` tokens between its first and its last word."""
+    every = F.array(*[F.lit(w[0]) for w in words])
+
+    def test(ts: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(ts), F.lit(1)))
+        span = reach + len(words)
+        return F.exists(at, lambda i: F.get(ts, i - 1).isin([w[0] for w in words]) & (F.size(F.array_except(every, F.slice(ts, i, span))) == 0))
+
+    return T.bind(tokens, test)
+
+
+def raw_scores(df: DataFrame, query: str, tokenizer: Callable[[Column], Column] = T.index_tokens, where: Column | None = None) -> DataFrame:
+    """Rows that a raw query matches, with ``score``."""
+    q = RawQuery(query)
+    toks = phrases_of(df, [t for t, _ in q.phrases], tokenizer)
+    if len(toks) < len(q.phrases):
+        raise ValueError("a phrase of the query has no word")
+    ts = tokenizer(F.coalesce(F.col("text"), F.lit("")))
+
+    def count(x: Column) -> Column:
+        tf = [_prefix_count(x, p) if prefix else phrase_count(x, p) for p, (_, prefix) in zip(toks, q.phrases)]
+        near = [_close(x, [toks[k] for k in ks], reach) for ks, reach in q.near]
+        return F.struct(F.size(x).alias("dl"), F.array(*tf).alias("tf"), F.array(*near).cast("array<boolean>").alias("near"))
+
+    c = df.withColumn("_c", F.explode(F.array(T.bind(ts, count))))
+    c = c.withColumns({"_dl": F.col("_c.dl"), "_tf": F.col("_c.tf"), "_near": F.col("_c.near")}).drop("_c")
+    stats = statistics(c, len(toks))
+    hit = lambda k: F.get("_near", F.lit(~k)) if k < 0 else F.get("_tf", F.lit(k)) > 0
+    out = c.where(q.test(hit))
+    if where is not None:
+        out = out.where(where)
+    return out.withColumn("score", bm25(out, stats)).drop("_tf", "_dl", "_near")
+
+
+def with_snippets(hits: DataFrame, terms: Sequence[str], size: int = 12, stemmed: bool = True, text_col: str = "text") -> DataFrame:
+    """``hits`` with ``snip``: the best stretch of ``size`` words, matches marked."""
+    return hits.withColumn("snip", snippet(F.col(text_col), [re.findall(r"[^\W_]+", t) for t in terms], size, stemmed))
+
+
+def fold_sessions(hits: DataFrame, limit: int, order: Sequence[Column], session_col: str = "session_id") -> DataFrame:
+    """The best hit of each session with ``n_more`` further ones, best sessions first; a negative limit keeps all."""
+    best = Window.partitionBy(session_col).orderBy(*order)
+    d = hits.withColumns({"_k": F.row_number().over(best), "n_more": (F.count(F.lit(1)).over(Window.partitionBy(session_col)) - 1).cast("long")})
+    d = d.where("_k = 1").drop("_k").orderBy(*order)
+    return d.limit(limit) if limit >= 0 else d
 
 
 def keyword(
-    df: DataFrame, terms: Sequence[str], limit: int = 15, session: str | None = None, id_cols: Sequence[str] = ("session_id", "seq"), **match
-) -> DataFrame:
-    """Top hits by BM25, one row per session; within one session (a prefix of its id) every hit."""
+    df: DataFrame, terms: Sequence[str], limit: int = 15, session: str | None = None, id_cols: Sequence[str] = ("session_id", "seq"),
+    raw: str | None = None, snippet_words: int | None = None, **match,
+) -> DataFrame:
+    """Top hits by BM25, one row per session; within one session (a prefix of its id) every hit.
+
+    ``raw`` is a query in its own syntax instead of terms. With ``snippet_words`` hits come with ``snip``.
+    """
     if limit == 0:
         return df.where(F.lit(False)).withColumns({"score": F.lit(0.0), "n_more": F.lit(0).cast("long")})
     if session is not None:
         own = like_prefix(F.col("session_id"), session)
         match["where"] = own if match.get("where") is None else match["where"] & own
-    hits = match_scores(df, terms, **match)
+    hits = match_scores(df, terms, **match) if raw is None else raw_scores(df, raw, **match)
     order = [F.col("score"), *map(F.col, id_cols)]
     if session is not None:
         top = hits.orderBy(*order)
-        return (top.limit(limit) if limit > 0 else top).withColumn("n_more", F.lit(0).cast("long"))
-    if limit < 0:
-        return fold_sessions(hits, limit, order)
-    return fold_sessions(hits.orderBy(*order).limit(FOLD_WINDOW * limit), limit, order)
+        out = (top.limit(limit) if limit > 0 else top).withColumn("n_more", F.lit(0).cast("long"))
+    else:
+        out = fold_sessions(hits.orderBy(*order).limit(FOLD_WINDOW * limit) if limit > 0 else hits, limit, order)
+    if snippet_words:
+        out = with_snippets(out, terms if raw is None else [t for t, _ in RawQuery(raw).phrases], snippet_words)
+    return out
+
+
+def keyword_or_nearest(
+    turns: DataFrame, terms: Sequence[str], vectors: DataFrame, encode: Callable[[Sequence[str]], Sequence[Sequence[float]]], limit: int = 15,
+    where: Column | None = None, exclude: Sequence[str] = (), tokenizer: Callable[[Column], Column] = T.index_tokens,
+) -> tuple[str, DataFrame]:
+    """("keyword", hits), or where no turn has the terms ("semantic", turns with the nearest vectors)."""
+    hits = keyword(turns, terms, limit, where=where, exclude=exclude, tokenizer=tokenizer)
+    if not hits.isEmpty():
+        return "keyword", hits
+    return "semantic", semantic_turns(vectors, turns, encode([" ".join(terms)])[0], limit, where, exclude, tokenizer)
 
 
 # Filters over turns.
@@ -182,7 +326,8 @@ def context(hits: DataFrame, turns: DataFrame, around: int) -> DataFrame:
 def fuzzy(df: DataFrame, terms: Sequence[str], limit: int = 15, any_of: bool = False, id_cols: Sequence[str] = ("session_id", "seq")) -> DataFrame:
     """Substring search by trigram BM25; if nothing has the substrings, rows with a word one edit from a term.
 
-    Returns (columns of ``df``, score, nearest). The relaxed pass tests whole texts and orders by id.
+    Returns (columns of ``df``, score, nearest). The relaxed pass takes the RELAXED_LIMIT best rows by the trigrams of a relaxed
+    term (TRIGRAMS at most) and keeps those with a word, in the whole text, one edit from it.
     """
     terms = [t.lower() for t in terms if len(t) >= 3]
     if not terms:
@@ -199,14 +344,26 @@ def fuzzy(df: DataFrame, terms: Sequence[str], limit: int = 15, any_of: bool = F
     if not long:
         return exact.limit(0)
     words = F.array_distinct(F.concat(T.turn_tokens(low), F.filter(F.split(low, r"[^\p{IsAlphabetic}\p{N}]+"), lambda x: x != "")))
-    near = {t: _has_near(words, t) for t in long}
-    has = {t: low.contains(t) for t in terms}
-    if any_of:
-        cond = reduce(lambda a, b: a | b, [near.get(t, has[t]) for t in terms])
-    else:  # one long term at a time is relaxed, the others stay exact
-        cond = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [near[u] if u == t else has[u] for u in terms]) for t in long])
-    out = df.where(cond).withColumns({"score": F.lit(0.0), "nearest": F.lit(True)})
-    return out.orderBy(*order).limit(min(limit, RELAXED_LIMIT))
+    best = []
+    # All long terms at once with any_of; else one long term at a time is relaxed, the others stay whole.
+    for relaxed in [set(long)] if any_of else [{t} for t in dict.fromkeys(long)]:
+        parts = [[t[i : i + 3] for i in range(len(t) - 2)] if t in relaxed else [t] for t in terms]
+        parts = [list(dict.fromkeys(p))[:TRIGRAMS] for p in parts]
+        flat = [x for p in parts for x in p]
+        c = df.withColumns({"_dl": F.greatest(F.length(low) - 2, F.lit(0)), "_tf": F.array(*[occurrences(low, x) for x in flat])})
+        c = c.withColumn("_x", F.explode(F.array(F.struct("_dl", "_tf")))).withColumns({"_dl": F.col("_x._dl"), "_tf": F.col("_x._tf")}).drop("_x")
+        stats, first, groups = statistics(c, len(flat)), 0, []
+        for p in parts:
+            groups.append(reduce(lambda a, b: a | b, [F.get("_tf", F.lit(first + k)) > 0 for k in range(len(p))]))
+            first += len(p)
+        met = c.where(reduce(lambda a, b: (a | b) if any_of else (a & b), groups)).withColumn("score", bm25(c, stats)).drop("_tf", "_dl")
+        met = met.orderBy("score", *order).limit(RELAXED_LIMIT)
+        best.append(met.where(reduce(lambda a, b: a | b, [_has_near(words, t) for t in sorted(relaxed)])))
+    out = reduce(lambda a, b: a.unionByName(b), best)  # RELAXED_LIMIT rows a term at most
+    if len(best) > 1:
+        w = Window.partitionBy(*id_cols).orderBy("score")
+        out = out.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    return out.withColumn("nearest", F.lit(True)).orderBy("score", *order).limit(limit)
 
 
 def _has_near(words: Column, term: str) -> Column:
@@ -237,17 +394,22 @@ def semantic(vectors: DataFrame, query: Sequence[float], limit: int, id_col: str
     return d.limit(limit) if limit >= 0 else d
 
 
+def semantic_turns(
+    vectors: DataFrame, turns: DataFrame, query: Sequence[float], limit: int, where: Column | None = None, exclude: Sequence[str] = (),
+    tokenizer: Callable[[Column], Column] = T.index_tokens,
+) -> DataFrame:
+    """Turns by the dot product of their vector with ``query``, under a filter on turns and without those that hold an excluded phrase."""
+    d = turns if where is None else turns.where(where)
+    unwanted = phrases_of(turns, exclude, tokenizer)
+    if unwanted:
+        c = counted(d, unwanted, tokenizer)
+        d = c.where(reduce(lambda a, b: a & b, [F.get("_tf", F.lit(i)) == 0 for i in range(len(unwanted))])).drop("_tf", "_dl")
+    best = semantic(vectors.select("turn_id", "vec").join(d.select("turn_id"), "turn_id", "left_semi"), query, limit).select("turn_id", "score")
+    return d.join(best, "turn_id").orderBy(F.col("score").desc(), "turn_id")
+
+
 def corrupt(vectors: DataFrame, query: Sequence[float]) -> DataFrame:
     """(ranked, corrupt) counts for a query."""
     q = F.array(*[F.lit(float(x)) for x in query])
     ok = (F.size("vec") == len(query)) & F.coalesce(dot(F.col("vec"), q).between(-1.001, 1.001), F.lit(False))
     return vectors.agg(F.count_if(ok).alias("ranked"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("corrupt"))
-
-
-# A stored index, for archives that are searched more than once.
-
-
-def postings(df: DataFrame, id_cols: Sequence[str], tokenizer: Callable[[Column], Column] = T.tokens) -> DataFrame:
-    """(ids, term, tf, dl), one row per document and term; write it bucketed or sorted by term."""
-    d = df.select(*id_cols, tokenizer(F.coalesce(F.col("text"), F.lit(""))).alias("_t")).withColumn("dl", F.size("_t").cast("long"))
-    return d.select(*id_cols, "dl", F.explode("_t").alias("term")).groupBy(*id_cols, "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select(*id_cols, "term", "tf", "dl")

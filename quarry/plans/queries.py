@@ -10,23 +10,10 @@ from pyspark.sql.window import Window
 
 from quarry.functions import redact as R
 from quarry.functions import text as T
-from quarry.operators import embed, facts as FA, hours, maint, recall, related, search, sessions, stats, tags
+from quarry.operators import embed, facts as FA, hours, index, maint, recall, related, search, sessions, stats, tags
 from quarry.plans import tables
-from quarry.plans.tables import FACTS_SQL, TURNS_SQL, table
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from quarry.plans.registry import QUERIES, SQL, query
+from quarry.plans.tables import FACTS_SQL, TURNS_SQL, table, workspace
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("source").alias("session_id"), F.col("doc_id").alias("seq"), "text")
@@ -50,11 +37,12 @@ scored AS (SELECT c.*, -({score}) AS score FROM c, s WHERE {cond})"""
 
 _any = partial(search.match_scores, any_of=True, tokenizer=T.ascii_tokens)
 _all = partial(search.match_scores, tokenizer=T.ascii_tokens)
+
+
 def _score():
     return F.round("score", 6).alias("score")
 
 
-
 # Retrieval.
 
 
@@ -126,12 +114,99 @@ def search_fuzzy_substring(spark, sf_dir):
     return search.fuzzy(docs(spark, sf_dir), ["icens"], 30).select("session_id", "seq", _score(), "nearest")
 
 
+_TRI = [("licesned"[i : i + 3]) for i in range(6)]
+_TF = ", ".join(f"len(list_filter(range(1, length(text) + 1), lambda i: substr(lower(text), i, 3) = '{t}')) AS tf{i}" for i, t in enumerate(_TRI))
+_IDF = [f"(CASE WHEN ln((n - m{i} + 0.5) / (m{i} + 0.5)) > 0 THEN ln((n - m{i} + 0.5) / (m{i} + 0.5)) ELSE 1e-6 END)" for i in range(6)]
+
+
 @query(
-    f"""WITH {_DOCS_SQL}, w AS (SELECT DISTINCT session_id, seq, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]+') || regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM docs)
-SELECT DISTINCT session_id, seq, 0.0::DOUBLE AS score, true AS nearest FROM w WHERE abs(length(w) - 8) <= 1 AND damerau_levenshtein(w, 'licesned') <= 1 ORDER BY session_id, seq LIMIT 50"""
+    f"""WITH {_DOCS_SQL}, c AS (SELECT *, greatest(length(lower(text)) - 2, 0) AS dl, {_TF} FROM docs),
+s AS (SELECT count(*) AS n, avg(dl) AS a, {", ".join(f"count(*) FILTER (tf{i} > 0) AS m{i}" for i in range(6))} FROM c),
+b AS (SELECT session_id, seq, text, -({" + ".join(f"{_IDF[i]} * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / a))" for i in range(6))}) AS score FROM c, s WHERE {" + ".join(f"tf{i}" for i in range(6))} > 0 ORDER BY score, session_id, seq LIMIT 50),
+w AS (SELECT DISTINCT session_id, seq, score, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]+') || regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM b)
+SELECT DISTINCT session_id, seq, round(score, 6) AS score, true AS nearest FROM w WHERE abs(length(w) - 8) <= 1 AND damerau_levenshtein(w, 'licesned') <= 1"""
 )
 def search_fuzzy_one_edit(spark, sf_dir):
-    return search.fuzzy(docs(spark, sf_dir), ["licesned"], 50).select("session_id", "seq", "score", "nearest")
+    return search.fuzzy(docs(spark, sf_dir), ["licesned"], 50).select("session_id", "seq", _score(), "nearest")
+
+
+# The default tokenizer: no diacritics, stemmed. The stem of each asked word is spelt out as the words that have it.
+_PLAIN = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
+
+
+@query(
+    f"""WITH {_DOCS_SQL}, k AS (SELECT session_id, seq, {_PLAIN} AS k FROM docs), c AS (SELECT session_id, seq, len(k) AS dl, len(list_filter(k, lambda x: regexp_matches(x, '^licens(e|ed|es|ing)?$'))) AS tf0,
+len(list_filter(k, lambda x: regexp_matches(x, '^password(s|ed|ing)?$'))) AS tf1 FROM k), s AS (SELECT count(*) AS n, avg(dl) AS a, count(*) FILTER (tf0 > 0) AS m0, count(*) FILTER (tf1 > 0) AS m1 FROM c)
+SELECT session_id, seq, round(-({_IDF[0]} * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / a)) + {_IDF[1]} * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM c, s WHERE tf0 + tf1 > 0"""
+)
+def search_stemmed(spark, sf_dir):
+    return search.match_scores(docs(spark, sf_dir), ["Licensing", "passwords"], any_of=True).select("session_id", "seq", _score())
+
+
+@query(
+    _bm25_sql("docs", _DOCS_SQL, [["of", "the"], ["licensed"], ["with"], ["from"]], "session_id, seq", "(tf0 > 0 OR tf1 > 0) AND tf2 > 0 AND tf3 = 0")
+    + " SELECT session_id, seq, round(score, 6) AS score FROM scored"
+)
+def search_raw(spark, sf_dir):
+    return search.raw_scores(docs(spark, sf_dir), '("of the" OR licensed) AND with NOT from', T.ascii_tokens).select("session_id", "seq", _score())
+
+
+@query(
+    f"""WITH {_DOCS_SQL}, tk AS (SELECT *, regexp_extract_all(lower(text), '[a-z0-9]+') AS k FROM docs), c AS (SELECT session_id, seq, len(k) AS dl, len(list_filter(k, lambda x: starts_with(x, 'passw'))) AS tf0,
+len(list_filter(k, lambda x: x = 'the')) AS tf1, len(list_filter(k, lambda x: x = 'of')) AS tf2, len(list_filter(range(1, len(k) + 1), lambda i: k[i] IN ('the', 'of') AND list_contains(k[i:i+3], 'the') AND list_contains(k[i:i+3], 'of'))) > 0 AS near FROM tk),
+s AS (SELECT count(*) AS n, avg(dl) AS a, count(*) FILTER (tf0 > 0) AS m0, count(*) FILTER (tf1 > 0) AS m1, count(*) FILTER (tf2 > 0) AS m2 FROM c)
+SELECT session_id, seq, round(-({" + ".join(f"{_IDF[i]} * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / a))" for i in range(3))}), 6) AS score FROM c, s WHERE tf0 > 0 OR near"""
+)
+def search_raw_prefix_near(spark, sf_dir):
+    return search.raw_scores(docs(spark, sf_dir), "passw* OR NEAR(the of, 2)", T.ascii_tokens).select("session_id", "seq", _score())
+
+
+_BUILT: dict[tuple, str] = {}
+
+
+def _index(spark, sf_dir):
+    """The folder of an index of the documents, built once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        folder = workspace(spark, "index")
+        index.build(docs(spark, sf_dir), folder, T.ascii_tokens)
+        _BUILT[key] = folder
+    return _BUILT[key]
+
+
+@query(SQL["search_bm25"])
+def search_indexed(spark, sf_dir):
+    folder = _index(spark, sf_dir)
+    s = index.match_scores(spark, folder, ["licensed", "password", "the"], any_of=True, tokenizer=T.ascii_tokens)
+    return spark.read.parquet(f"{folder}/rows").select("rid", "session_id", "seq").join(s, "rid").select("session_id", "seq", _score())
+
+
+@query(
+    _bm25_sql("docs", _DOCS_SQL, [["licensed"], ["password"]], "session_id, seq, text", "tf0 + tf1 > 0")
+    + ", t AS (SELECT * FROM scored ORDER BY score, seq LIMIT 15) SELECT round(score, 6) AS score, count(*)::BIGINT AS n FROM t GROUP BY 1"
+)
+def search_indexed_top(spark, sf_dir):
+    """A look-up: the best fifteen; equal scores are counted, as any of them may be the last."""
+    top = index.keyword(spark, _index(spark, sf_dir), ["licensed", "password"], 15, any_of=True, tokenizer=T.ascii_tokens)
+    return top.groupBy(_score()).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    _bm25_sql("docs", _DOCS_SQL, [["of", "the"], ["with"]], "session_id, seq", "tf0 > 0 AND tf1 > 0 AND tf2 = 0", [["from"]]) + " SELECT session_id, seq, round(score, 6) AS score FROM scored"
+)
+def search_indexed_phrase(spark, sf_dir):
+    folder = _index(spark, sf_dir)
+    s = index.match_scores(spark, folder, ["of-the", "with"], exclude=["from"], tokenizer=T.ascii_tokens)
+    return spark.read.parquet(f"{folder}/rows").select("rid", "session_id", "seq").join(s, "rid").select("session_id", "seq", _score())
+
+
+@query(r"SELECT doc_id AS seq, regexp_replace(array_to_string(string_split(trim(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')), ' ')[1:12], ' '), '\b(the|and)\b', '«\1»', 'gi') AS snip FROM documents WHERE regexp_matches(array_to_string(string_split(trim(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')), ' ')[1:12], ' '), '\b(?i:the|and)\b')")
+def search_snippets(spark, sf_dir):
+    """Hits marked in short texts, which come whole."""
+    words = F.slice(F.split(F.trim(F.regexp_replace("text", "[^a-zA-Z]+", " ")), " "), 1, 12)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.array_join(words, " ").alias("text"))
+    hits = _any(d, ["the", "and"])
+    return search.with_snippets(hits, ["the", "and"], 12, stemmed=False).select("seq", "snip")
 
 
 def _vectors(spark, sf_dir):
@@ -160,14 +235,45 @@ def search_semantic_fold(spark, sf_dir):
     return search.fold_sessions(top, 5, [F.col("score").desc(), F.col("turn_id")]).select("turn_id", "session_id", F.round("score", 4).alias("score"), "n_more")
 
 
-@query("SELECT count(*) FILTER (len(embedding) = 64)::BIGINT AS ranked, count(*) FILTER (len(embedding) <> 64)::BIGINT AS corrupt FROM embeddings")
+_BROKEN = "e AS (SELECT vec_id, CASE vec_id % 5 WHEN 1 THEN embedding[1:32] WHEN 2 THEN list_transform(embedding, lambda x: x * 3) ELSE embedding END AS v FROM embeddings)"
+
+
+@query(f"WITH {_BROKEN}, q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT CASE WHEN len(v) = 64 THEN list_dot_product(v::DOUBLE[], q::DOUBLE[]) END AS s FROM e, q) SELECT count(*) FILTER (abs(s) <= 1.001)::BIGINT AS ranked, count(*) FILTER (s IS NULL OR abs(s) > 1.001)::BIGINT AS corrupt FROM s")
 def vectors_sane(spark, sf_dir):
-    return search.corrupt(_vectors(spark, sf_dir), _first_vector(spark, sf_dir))
+    """A fifth of the vectors is cut short, another is stretched."""
+    k = F.col("turn_id") % 5
+    bad = F.when(k == 1, F.slice("vec", 1, 32)).when(k == 2, F.transform("vec", lambda x: x * F.lit(3).cast("float"))).otherwise(F.col("vec"))
+    return search.corrupt(_vectors(spark, sf_dir).withColumn("vec", bad), _first_vector(spark, sf_dir))
+
+
+def _turn_vectors(spark, sf_dir):
+    """Vectors for turns: vector n goes to the turn of place n in (conversation, turn) order by number."""
+    return table(spark, sf_dir, "embeddings").select((F.floor(F.col("vec_id") / 5) * 1000 + F.col("vec_id") % 5).alias("turn_id"), F.col("embedding").alias("vec"))
+
+
+_NEAR = f"""WITH {TURNS_SQL}, v AS (SELECT (vec_id // 5) * 1000 + vec_id % 5 AS turn_id, embedding FROM embeddings)
+SELECT t.turn_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score FROM turns t JOIN v ON v.turn_id = t.turn_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"""
+
+
+@query(f"{_NEAR} WHERE role = 'user' AND project IN ('p1', 'p2', 'p3') AND NOT list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'the')")
+def search_semantic_filtered(spark, sf_dir):
+    where = (F.col("role") == "user") & F.col("project").isin("p1", "p2", "p3")
+    out = search.semantic_turns(_turn_vectors(spark, sf_dir), tables.turns(spark, sf_dir), _first_vector(spark, sf_dir), -1, where, ["the"], T.ascii_tokens)
+    return out.select("turn_id", F.round("score", 4).alias("score"))
+
+
+@query(f"{_NEAR} WHERE role = 'user' ORDER BY list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, t.turn_id LIMIT 9")
+def search_or_nearest(spark, sf_dir):
+    """No turn has the words, so the nearest vectors answer."""
+    first = _first_vector(spark, sf_dir)
+    mode, out = search.keyword_or_nearest(tables.turns(spark, sf_dir), ["qzxj", "vvkq"], _turn_vectors(spark, sf_dir), lambda texts: [first] * len(texts), 9, F.col("role") == "user")
+    assert mode == "semantic"
+    return out.select("turn_id", F.round("score", 4).alias("score"))
 
 
 @query("SELECT doc_id, t.term, count(*) AS tf, any_value(dl)::BIGINT AS dl FROM (SELECT doc_id, unnest(k) AS term, len(k) AS dl FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS k FROM documents)) t GROUP BY ALL")
 def search_postings(spark, sf_dir):
-    return search.postings(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], T.ascii_tokens)
+    return index.postings(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], T.ascii_tokens)
 
 
 # Text functions.
@@ -218,26 +324,50 @@ def text_project_labels(spark, sf_dir):
 # Masking.
 
 _LABELED = r"(?i)(^|[^A-Za-z0-9_])(\w*(?:password|passwd|pwd|secret|token|api[_-]?key|mysql_pwd|access[_-]?key))(\s*[=:]\s*)([^\x00-\x20]+)"
-_REDACT = f"regexp_replace(regexp_replace(text, '(AKIA|ASIA)[0-9A-Z]{{16}}\\b', '‹redacted-aws-key›', 'g'), '{_LABELED}', '\\1\\2\\3‹redacted›', 'g')"
+_RULES_SQL = (
+    ("private-key", r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", "‹redacted-private-key›"),
+    ("aws-key", r"(?:AKIA|ASIA)[0-9A-Z]{16}\b", "‹redacted-aws-key›"),
+    ("bearer", r"(?i)\bbearer\s+[A-Za-z0-9._\-]{20,}", "Bearer ‹redacted›"),
+    ("passphrase", r"(?i)\b(\w*pass_?phrase)\b([^\S\n]*[=:][^\S\n]*)(.+)", r"\1\2‹redacted›"),
+    ("labeled-secret", _LABELED, r"\1\2\3‹redacted›"),
+)
+#: Documents with planted secrets of the kinds that the tables lack.
+_SECRETS_SQL = """d AS (SELECT doc_id, source, text || CASE doc_id % 7 WHEN 1 THEN chr(10) || '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || 'abc' || chr(10) || '-----END RSA PRIVATE KEY-----'
+  WHEN 2 THEN ' Authorization: BEARER abc.def-ghi_jkl' || doc_id || 'mnopqrst end' WHEN 3 THEN ' my_passphrase = correct horse ' || doc_id || chr(10) || 'next line' WHEN 4 THEN ' bearer short' ELSE '' END AS t0 FROM documents)"""
+
 
+def _masked_sql(step: int = 5) -> str:
+    """``m``: t0 to t5, each after one more rule."""
+    out = _SECRETS_SQL
+    for i, (_, pattern, new) in enumerate(_RULES_SQL[:step]):
+        out += f", d{i + 1} AS (SELECT *, regexp_replace(t{i}, '{pattern}', '{new}', 'g') AS t{i + 1} FROM d{i or ''})"
+    return out
 
-@query(f"SELECT doc_id, sha256({_REDACT}) AS digest, {_REDACT} <> text AS changed FROM documents")
+
+def secrets(spark, sf_dir):
+    k = F.col("doc_id") % 7
+    key = "\n-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"
+    more = (
+        F.when(k == 1, F.lit(key)).when(k == 2, F.concat(F.lit(" Authorization: BEARER abc.def-ghi_jkl"), F.col("doc_id"), F.lit("mnopqrst end")))
+        .when(k == 3, F.concat(F.lit(" my_passphrase = correct horse "), F.col("doc_id"), F.lit("\nnext line"))).when(k == 4, F.lit(" bearer short")).otherwise(F.lit(""))
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("session_id"), F.concat("text", more).alias("text"))
+
+
+@query(f"WITH {_masked_sql()} SELECT doc_id, sha256(t5) AS digest, t5 <> t0 AS changed FROM d5")
 def redact_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", R.redact(F.col("text")).alias("r"))
+    d = secrets(spark, sf_dir).select("doc_id", "text", R.redact(F.col("text")).alias("r"))
     return d.select("doc_id", F.sha2("r", 256).alias("digest"), (F.col("r") != F.col("text")).alias("changed"))
 
 
-@query(
-    f"""WITH d AS (SELECT regexp_matches(text, '(AKIA|ASIA)[0-9A-Z]{{16}}\\b') AS a, regexp_matches(text, '{_LABELED}') AS l FROM documents)
-SELECT unnest(['private-key', 'aws-key', 'bearer', 'passphrase', 'labeled-secret', 'any']) AS rule, unnest([0, count(*) FILTER (a), 0, 0, count(*) FILTER (l), count(*) FILTER (a OR l)])::BIGINT AS n_rows FROM d"""
-)
+@query(f"WITH {_masked_sql()} " + " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER (regexp_matches(t{i}, '{p}'))::BIGINT AS n_rows FROM d5" for i, (n, p, _) in enumerate(_RULES_SQL)) + " UNION ALL SELECT 'any', count(*) FILTER (t5 <> t0)::BIGINT FROM d5")
 def redact_report(spark, sf_dir):
-    return R.report(table(spark, sf_dir, "documents").select("text"))
+    return R.report(secrets(spark, sf_dir).select("text"))
 
 
-@query(f"SELECT source AS session_id, count(*) AS n_changed FROM documents WHERE {_REDACT} <> text GROUP BY 1")
+@query(f"WITH {_masked_sql()} SELECT source AS session_id, count(*) AS n_changed FROM d5 WHERE t5 <> t0 GROUP BY 1")
 def redact_by_session(spark, sf_dir):
-    return R.by_session(docs(spark, sf_dir))
+    return R.by_session(secrets(spark, sf_dir))
 
 
 # Dashboards.
@@ -258,11 +388,13 @@ def stats_projects(spark, sf_dir):
     return stats.by_project(tables.turns(spark, sf_dir))
 
 
-_DAILY = f"WITH {TURNS_SQL}, d AS (SELECT substr(ts, 1, 10) AS day, count(*) AS n_turns FROM turns WHERE role = 'system' GROUP BY 1), z AS (SELECT strftime(x, '%Y-%m-%d') AS day FROM (SELECT unnest(range(min(day)::DATE, max(day)::DATE + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS x FROM d)), f AS (SELECT z.day, coalesce(n_turns, 0)::BIGINT AS n_turns FROM z LEFT JOIN d ON z.day = d.day)"
+_DAILY = "WITH d AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n_turns FROM orders WHERE o_totalprice > 200000 GROUP BY 1), z AS (SELECT strftime(x, '%Y-%m-%d') AS day FROM (SELECT unnest(range(min(day)::DATE, max(day)::DATE + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS x FROM d)), f AS (SELECT z.day, coalesce(n_turns, 0)::BIGINT AS n_turns FROM z LEFT JOIN d ON z.day = d.day)"
 
 
 def _daily(spark, sf_dir):
-    return stats.zero_filled(stats.daily(tables.turns(spark, sf_dir).where("role = 'system'")))
+    """Large orders as turns, so that some days have none."""
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 200000")
+    return stats.zero_filled(stats.daily(o.select(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.lit(0).alias("is_meta"))))
 
 
 @query(f"{_DAILY} SELECT * FROM f")
@@ -454,16 +586,25 @@ row_number() OVER (PARTITION BY project ORDER BY pinned DESC, CASE WHEN type IN
 SELECT project, leaf_path, k::INT AS place, octet_length(encode(line))::INT AS n_bytes FROM r"""
 )
 def facts_ranked(spark, sf_dir):
-    d = FA.select_index(tables.facts(spark, sf_dir), budget=1 << 30, max_lines=1 << 30)
-    # The operator folds lines in rank order; with no limit all are taken and only the order is left to compare.
-    f = tables.facts(spark, sf_dir).select("leaf_path", "pinned", "type", "updated_at", "hits")
-    w = Window.partitionBy("project").orderBy(F.col("pinned").desc(), FA.type_weight(F.col("type")).desc(), F.col("updated_at").desc(), F.col("hits").desc(), "index_seq", "leaf_path")
-    return d.where("included").join(f, "leaf_path").select("project", "leaf_path", F.row_number().over(w).alias("place"), "n_bytes")
+    return FA.index_lines(tables.facts(spark, sf_dir)).select("project", "leaf_path", "place", "n_bytes")
 
 
-@query()
+_LINES_SQL = SQL["facts_ranked"].rsplit("SELECT project", 1)[0]
+_FOLD_SQL = f"""{_LINES_SQL.replace("WITH facts", "WITH RECURSIVE facts", 1)}, l AS (SELECT project, leaf_path, line, index_seq, k, octet_length(encode(line))::INT AS b FROM r),
+f AS (SELECT project, 0::BIGINT AS k, 0 AS used, 0 AS n, false AS ok FROM (SELECT DISTINCT project FROM l)
+  UNION ALL SELECT l.project, l.k, f.used + CASE WHEN f.used + l.b <= {2000 - len(FA.HEADER.encode())} AND f.n < 198 THEN l.b ELSE 0 END, f.n + (f.used + l.b <= {2000 - len(FA.HEADER.encode())} AND f.n < 198)::INT, f.used + l.b <= {2000 - len(FA.HEADER.encode())} AND f.n < 198
+  FROM f JOIN l ON l.project = f.project AND l.k = f.k + 1)"""
+
+
+@query(f"{_FOLD_SQL} SELECT l.project, leaf_path, b AS n_bytes, ok AS included FROM l JOIN f ON l.project = f.project AND l.k = f.k")
 def facts_index_selection(spark, sf_dir):
-    return FA.select_index(tables.facts(spark, sf_dir), budget=2000)
+    return FA.select_index(tables.facts(spark, sf_dir), budget=2000).select("project", "leaf_path", "n_bytes", "included")
+
+
+@query(f"{_FOLD_SQL} SELECT l.project, sha256('# Memory Index' || chr(10) || chr(10) || string_agg(line, '' ORDER BY index_seq, leaf_path)) AS digest, count(*) AS n_lines FROM l JOIN f ON l.project = f.project AND l.k = f.k WHERE ok GROUP BY 1")
+def facts_rendered(spark, sf_dir):
+    d = FA.render_index(FA.select_index(tables.facts(spark, sf_dir), budget=2000))
+    return d.select("project", F.sha2("content", 256).alias("digest"), (F.size(F.split("content", "\n")) - 3).cast("long").alias("n_lines"))
 
 
 @query(
@@ -476,12 +617,17 @@ def facts_search(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ts FROM benchmark)
+    """WITH x AS (SELECT item_id AS id, text FROM benchmark UNION ALL SELECT item_id + 100000, array_to_string(string_split(text, ' ')[3:], ' ') || ' more words' FROM benchmark),
+t AS (SELECT id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ts FROM x)
 SELECT a.id AS a, b.id AS b, (len(list_intersect(a.ts, b.ts)) * 100 // (len(a.ts) + len(b.ts) - len(list_intersect(a.ts, b.ts))))::INT AS pct FROM t a JOIN t b ON a.id < b.id
 WHERE len(list_intersect(a.ts, b.ts)) * 100 // (len(a.ts) + len(b.ts) - len(list_intersect(a.ts, b.ts))) >= 35"""
 )
 def facts_jaccard_duplicates(spark, sf_dir):
-    return FA.jaccard_pairs(table(spark, sf_dir, "benchmark"), "item_id", T.ascii_tokens(F.col("text")))
+    """Each text beside itself with other ends."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    w = F.split("text", " ")
+    changed = b.select((F.col("id") + 100000).alias("id"), F.concat(F.array_join(F.slice(w, F.lit(3), F.greatest(F.size(w), F.lit(1))), " "), F.lit(" more words")).alias("text"))
+    return FA.jaccard_pairs(b.union(changed), "id", T.ascii_tokens(F.col("text")))
 
 
 # Maintenance.
@@ -493,10 +639,11 @@ def embed_pending(spark, sf_dir):
     return embed.pending(tables.turns(spark, sf_dir), e, "m", 64).select("turn_id")
 
 
-@query("SELECT sha256(h) AS h, count(*) AS n_ids, min(doc_id) AS first_id FROM (SELECT doc_id, substr(text, 1, 2000) AS h FROM documents) GROUP BY 1")
+@query("SELECT sha256(h) AS h, count(*) AS n_ids, min(doc_id) AS first_id FROM (SELECT doc_id, substr(text, 1, 2000) AS h FROM documents WHERE text <> '') GROUP BY 1")
 def embed_text_groups(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.substring("text", 1, embed.HEAD), 256).alias("h"))
-    return d.groupBy("h").agg(F.count(F.lit(1)).alias("n_ids"), F.min("doc_id").alias("first_id"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("turn_id"), "text")
+    none = spark.createDataFrame([], "turn_id long, model string, dim int")
+    return embed.text_groups(embed.pending(d, none, "m", 2)).select("h", "n_ids", F.col("first_id"))
 
 
 @query("SELECT conv_id::VARCHAR AS session_id, turn AS seq FROM conversations WHERE conv_id % 3 <> 1 OR turn < 2")
@@ -539,3 +686,6 @@ def maint_merge_archives(spark, sf_dir):
     forgotten = every.where(k % 6 == 1).select("session_id")
     s, _ = maint.merge_archives(every.where(k % 2 == 0), t.where(k % 2 == 0), every, t, forgotten)
     return s.select("session_id", "num_turns")
+
+
+from quarry.plans import archive as _archive  # noqa: E402, F401  registers its queries

@@ -104,7 +104,11 @@ def _named(d: DataFrame) -> DataFrame:
 
 def read_transcripts(spark: SparkSession, root: str, noise: tuple[str, ...] = NOISE) -> DataFrame:
     """Turns of every transcript one level under each project folder, secrets masked."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(f"{root}/*/").select("path", "content")
+    return parse_files(spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(f"{root}/*/").select("path", "content"), noise)
+
+
+def parse_files(files: DataFrame, noise: tuple[str, ...] = NOISE) -> DataFrame:
+    """(path, content as binary) of transcripts to their turns, secrets masked, then capped."""
 
     def go(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [c.split()[0] for c in RECORD.split(", ")]
@@ -126,9 +130,12 @@ def list_transcripts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_leaves(spark: SparkSession, folder: str, index: str = "MEMORY.md") -> DataFrame:
-    """(leaf_path, content) of a folder's markdown files but the index."""
+    """(leaf_path, content, error) of a folder's markdown files but the index; a file that is no UTF-8 has an error and no content."""
     d = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
-    return d.select(F.element_at(F.split("path", "/"), -1).alias("leaf_path"), F.col("content").cast("string").alias("content")).where(F.col("leaf_path") != index)
+    text = F.col("content").cast("string")
+    fine = F.is_valid_utf8(text)
+    d = d.select(F.element_at(F.split("path", "/"), -1).alias("leaf_path"), F.when(fine, text).alias("content"), F.when(~fine, F.lit("no valid UTF-8")).alias("error"))
+    return d.where(F.col("leaf_path") != index)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -140,3 +147,14 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 def write_index(rendered: DataFrame, folder: str) -> None:
     """One text file a project under folder/project=..."""
     rendered.select("project", F.regexp_replace("content", r"\n\z", "").alias("value")).write.mode("overwrite").partitionBy("project").text(folder)
+
+
+EVENT = "prompt string, cwd string, session_id string, source string, transcript_path string"
+
+
+def read_events(payloads: DataFrame, col: str = "payload") -> DataFrame:
+    """The fields of JSON event payloads; a payload that is no JSON object, or a field that is no text, is null. ``fresh`` marks the starts of a session."""
+    one = F.from_json(col, EVENT)
+    d = payloads.withColumn("_e", one)
+    fields = [F.col(f"_e.{c.split()[0]}").alias(c.split()[0]) for c in EVENT.split(", ")]
+    return d.select(*[c for c in payloads.columns if c != col], *fields).withColumn("fresh", F.coalesce(F.col("source").isin("startup", "clear"), F.lit(False)))

@@ -1,7 +1,6 @@
 """Growing transcripts as a stream: offsets are bytes per file, so appended lines are read once and nothing twice.
 
-    spark.dataSource.register(TranscriptSource)
-    spark.readStream.format("quarry_transcripts").option("root", root).load()
+    stream(spark, root)
 
 A batch reads, per file, the complete lines between two offsets. Line numbers go on from the offset's count. A file that
 shrank starts anew; ``merge_turns`` keeps what was stored first. The root must be a path every executor sees.
@@ -13,8 +12,12 @@ import glob
 import os
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from quarry.functions.redact import redact
+from quarry.functions.text import cap
 from quarry.sources.transcripts import NOISE, RECORD_CAP, records
 
 SCHEMA = "session_id string, seq long, uuid string, ts string, role string, text string, is_meta int, is_sidechain int, project string, cwd string"
@@ -77,14 +80,14 @@ class _Reader(DataSourceStreamReader):
             f.seek(part.start)
             rows = records(f.read(part.stop - part.start), part.first_seq, self.noise)[0]
         for r in rows:
-            yield session, r["seq"], r["uuid"], r["ts"], r["role"], r["text"][: 4 * RECORD_CAP], 0, r["is_sidechain"], project, r["cwd"]
+            yield session, r["seq"], r["uuid"], r["ts"], r["role"], r["text"], 0, r["is_sidechain"], project, r["cwd"]
 
     def commit(self, end: dict) -> None:
         self.at = self.at or dict(end)
 
 
 class TranscriptSource(DataSource):
-    """``root``: the folder of project folders. Texts come unmasked; apply ``redact`` and ``cap`` to the column before storing."""
+    """``root``: the folder of project folders. Read it through ``stream``, which masks and caps texts as a batch read does."""
 
     @classmethod
     def name(cls) -> str:
@@ -95,3 +98,10 @@ class TranscriptSource(DataSource):
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return _Reader(self.options["root"], NOISE)
+
+
+def stream(spark: SparkSession, root: str) -> DataFrame:
+    """New turns of the transcripts under ``root``, secrets masked, then capped."""
+    spark.dataSource.register(TranscriptSource)
+    d = spark.readStream.format(TranscriptSource.name()).option("root", root).load()
+    return d.withColumn("text", cap(redact(F.col("text")), RECORD_CAP))

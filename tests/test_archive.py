@@ -161,14 +161,21 @@ def test_index_budget_skips_and_goes_on(spark):
 
 
 def test_upsert_and_import(spark):
-    leaves = FA.parse_leaves(spark.createDataFrame([("user_x.md", "---\nname: 'X'\ndescription: \"new\"\npinned: true\n---\nb")], "leaf_path string, content string"))
-    stored = spark.createDataFrame([{"leaf_path": "user_x.md", "type": None, "title": "T", "hook": "old", "description": "old", "pinned": 0, "status": "active", "hits": 3}], schema.FACTS)
-    r = FA.upsert(leaves, stored, now="n").first()
-    assert (r["type"], r.title, r.hook, r.description, r.pinned, r.hits, r.name) == ("user", "T", "new", "new", 1, 3, "X")
+    text = "---\nname: 'X_y'\ndescription: \"new\"\npinned: true\n---\nb"
+    leaves = FA.parse_leaves(spark.createDataFrame([("user_x.md", text), ("user_new_leaf.md", "---\ndescription: d\n---\n")], "leaf_path string, content string"))
+    stored = spark.createDataFrame([{"leaf_path": "user_x.md", "name": "kept", "type": None, "title": "T", "hook": "old", "description": "old", "pinned": 0, "status": "archived", "hits": 3, "index_seq": 4}], schema.FACTS)
+    old, new = FA.upsert(leaves, stored, now="n").orderBy(F.col("leaf_path").desc()).collect()
+    # An archived fact is active again, a stored name stays, a hook that was the description follows it.
+    assert (old["type"], old.title, old.hook, old.description, old.pinned, old.hits, old.name, old.status, old.index_seq) == ("user", "T", "new", "new", 0, 3, "kept", "active", 4)
+    assert (new["name"], new.title, new.hook, new.index_seq, new.status) == (None, "user new leaf", "d", 5, "active")
+    hand = FA.upsert(leaves, stored.withColumn("hook", F.lit("by hand")), now="n").where("leaf_path = 'user_x.md'").first()
+    assert hand.hook == "by hand" and hand.kept_hand_hook
     lines = spark.createDataFrame([(0, "# h"), (1, "- [A](user_x.md) — hook"), (2, "- [Z](gone.md) - z")], "line_no int, value string")
-    facts, summary = FA.import_index(leaves, FA.index_pointers(lines))
-    assert (facts.first().title, facts.first().index_seq) == ("A", 0)
-    assert sorted(map(tuple, summary.collect())) == [("dangling", "gone.md", 1), ("type", "user", 1)]
+    facts, summary = FA.import_index(leaves, FA.index_pointers(lines), stored.withColumn("pinned", F.lit(1)))
+    got = {r.leaf_path: r for r in facts.collect()}
+    assert (got["user_x.md"].title, got["user_x.md"].index_seq, got["user_x.md"].pinned, got["user_x.md"].status, got["user_x.md"].name) == ("A", 0, 1, "archived", "X_y")
+    assert got["user_new_leaf.md"].title == "user new leaf" and got["user_new_leaf.md"].index_seq is None
+    assert sorted(map(tuple, summary.collect())) == [("dangling", "gone.md", 1), ("orphan", "user_new_leaf.md", 1), ("type", "user", 2)]
 
 
 def test_embeddings(spark):
@@ -189,7 +196,7 @@ def test_registered_queries_equal_their_sql(spark, sf):
     con = duckdb.connect()
     for name in ("documents", "conversations", "events", "part", "embeddings", "benchmark"):
         con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
-    for name in ("search_bm25", "recap_exchanges", "hours_merged", "facts_ranked", "redact_documents"):
+    for name in ("search_bm25", "recap_exchanges", "hours_merged", "facts_ranked", "redact_documents", "ingest_turns", "facts_doctor", "facts_upsert", "search_raw", "search_indexed"):
         df = Q.QUERIES[name](spark, sf)
         rel = con.execute(Q.SQL[name])
         cols = [c[0] for c in rel.description]
