@@ -2,17 +2,19 @@
 
 The tree: a path's segments have their digit runs and hex strings replaced by wildcards, so the
 pages of a host fall onto few patterns, which are counted with their labels before anything else. Then,
-level by level below each host: children whose share of bad labels is not above their siblings' by Z
-standard errors are merged into one wildcard branch, and worse ones keep their name, however many children
-the node has. A template
-whose bad share, smoothed by STRENGTH pages at the overall share, is over LIMIT is rejected.
+level by level below each host, first by structure: segments that fewer than RARE pages of a node have are variable and
+become {s}, whatever their labels and number. Then by labels: a branch keeps its name if its share of bad labels is
+above its siblings' by Z standard deviations, and of the others those that are above or below the rest of them; all shares are Beta posteriors around the overall share with the
+weight of PRIOR labels, so a few labels do not set a branch apart. All others are merged into one wildcard branch, however
+many there are. A template whose bad share, smoothed by STRENGTH pages at the overall share, is over LIMIT is rejected.
 
 Labels come from a table of (id, quality, toxic); a page is bad where quality is 0 or toxic is 1. Any
 number of pages on one host is fine: everything is a sum per pattern, aggregated before the shuffle.
 
 Defined results: a null url or one without "://" has an empty host and path. Segments after DEPTH are one
-segment. Repeated rows count as often as they appear; repeated labels of an id count once (bad if any
-is). Pages of no rule and no label are allowed unless their template is rejected.
+segment: the tree takes one round a level, and an odd url of thousands of segments must not set their number. Repeated rows
+count as often as they appear; repeated labels of an id count once (bad if any is). Pages of no rule and no label are
+allowed unless their template is rejected. Empty tables give no row, or no rejection.
 """
 
 from __future__ import annotations
@@ -27,9 +29,8 @@ from .common import Scratch
 #: (rule, verdict). Fixed values.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DEPTH = 12
-#: Children from which on a node would merge them untested: no number is enough.
-WIDE = float("inf")
-Z = 1.96
+RARE = 3
+Z, PRIOR = 1.96, 4.0
 STRENGTH = 10.0
 LIMIT = 0.5
 
@@ -59,6 +60,24 @@ def segments(path: Column) -> Column:
     return F.when(F.size(s) <= DEPTH, s).otherwise(F.concat(F.slice(s, 1, DEPTH), F.array(F.lit("**"))))
 
 
+def _posterior(lab: Column, bad: Column, prior: float) -> tuple[Column, Column]:
+    """Mean and variance of a share of bad labels after ``lab`` labels."""
+    mean = (bad + PRIOR * prior) / (lab + PRIOR)
+    return mean, mean * (1 - mean) / (lab + PRIOR + 1)
+
+
+def _set_apart(c: DataFrame, prior: float, both_ways: bool) -> DataFrame:
+    """Branches (host, made, kind, lab, bad, apart) with ``kids`` and those marked that differ from the other unmarked branches of their node."""
+    near = c.where("not apart").groupBy("host", "made").agg(F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad"))
+    kids = c.groupBy("host", "made").agg(F.count(F.lit(1)).alias("kids"))
+    d = c.drop("kids").join(kids, ["host", "made"]).join(near, ["host", "made"], "left")
+    mine, mine_var = _posterior(F.col("lab"), F.col("bad"), prior)
+    rest, rest_var = _posterior(F.col("all_lab") - F.col("lab"), F.col("all_bad") - F.col("bad"), prior)
+    gap = F.abs(mine - rest) if both_ways else mine - rest
+    differs = gap > Z * F.sqrt(mine_var + rest_var)
+    return d.withColumn("apart", F.col("apart") | (F.coalesce(differs, F.lit(False)) & ~F.col("apart"))).drop("all_lab", "all_bad")
+
+
 def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """From (host, segs, labelled, bad): (host, segs, template, n, labelled, bad, score, rejected) per pattern."""
     pats = pages.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.sum("labelled").alias("lab"), F.sum("bad").alias("bad"))
@@ -68,16 +87,14 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     for d in range(depth):
         here = F.get("segs", F.lit(d))
         live = pats.where(here.isNotNull())
-        child = live.groupBy("host", "made", here.alias("seg")).agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
-        node = child.groupBy("host", "made").agg(F.count(F.lit(1)).alias("kids"), F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad"))
-        c = child.join(node, ["host", "made"])
-        rest = F.col("all_lab") - F.col("lab")
-        share = F.col("all_bad") / F.greatest(F.col("all_lab"), F.lit(1))
-        gap = F.col("bad") / F.greatest("lab", F.lit(1)) - (F.col("all_bad") - F.col("bad")) / F.greatest(rest, F.lit(1))
-        error = F.sqrt(share * (1 - share) * (1 / F.greatest("lab", F.lit(1)) + 1 / F.greatest(rest, F.lit(1))))
-        worse = (F.col("lab") > 0) & (rest > 0) & (gap > Z * error)
-        merged = (F.col("kids") > 1) & ~worse
-        name = c.select("host", "made", "seg", F.when(merged, F.lit("*")).otherwise(F.col("seg")).alias("name"))
+        seen = live.groupBy("host", "made", here.alias("seg")).agg(F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
+        seen = seen.withColumn("kind", F.when((F.col("n") < RARE) & ~F.col("seg").contains("{"), F.lit("{s}")).otherwise(F.col("seg")))
+        kinds = seen.groupBy("host", "made", "kind").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
+        c = kinds.withColumn("apart", F.lit(False))
+        for both_ways in (False, True):
+            c = _set_apart(c, prior, both_ways)
+        name = c.select("host", "made", "kind", F.when((F.col("kids") > 1) & ~F.col("apart"), F.lit("*")).otherwise(F.col("kind")).alias("name"))
+        name = seen.select("host", "made", "seg", "kind").join(name, ["host", "made", "kind"]).select("host", "made", "seg", "name")
         pats = scratch.cut(
             pats.withColumn("seg", here).join(name, ["host", "made", "seg"], "left").select(
                 "host", "segs", "n", "lab", "bad", F.when(F.col("name").isNull(), F.col("made")).otherwise(F.concat("made", F.array("name"))).alias("made")
