@@ -34,6 +34,38 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once for all its uses."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+#: Items of an array that are folded together; results of folds are joined afterwards, so no array is copied per item.
+CHUNK = 256
+
+
+def folded(items: Column, zero: Column, total, merge, step) -> Column:
+    """One result per item of an array, each from a running value before it, in time near linear in the items.
+
+    ``zero`` is the running value at the start, ``total(item)`` what an item adds to it and ``merge(a, b)`` their sum, which has to be
+    associative; ``step(running, item)`` is the result.
+    """
+
+    def over(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, x: merge(a, total(x))))
+        before = F.aggregate(sums, F.array(zero), lambda acc, t: F.concat(acc, F.array(merge(F.element_at(acc, -1), t))))
+        return let(before, lambda starts: F.flatten(F.transform(chunks, lambda c, i: one(c, F.get(starts, i)))))
+
+    def one(chunk: Column, start: Column) -> Column:
+        # The running values of a chunk, then its results.
+        runs = F.aggregate(chunk, F.array(start), lambda acc, x: F.concat(acc, F.array(merge(F.element_at(acc, -1), total(x)))))
+        return let(runs, lambda r: F.transform(chunk, lambda x, i: step(F.get(r, i), x)))
+
+    def chunked(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / CHUNK).cast("int") - 1, F.lit(0))), lambda c: F.slice(xs, c * CHUNK + 1, CHUNK))
+
+    return let(items, lambda xs: let(chunked(xs), over))
+
+
 class Scratch:
     """Tables in the folder that spark.checkpoint.dir names, which driver and executors share.
 

@@ -5,8 +5,9 @@ Kinds: email, ip, card, phone (always reported when valid), then iban and ssn (r
 points, ends are exclusive. Column expressions only.
 
 Defined results: a null text is an empty text and has no span. Repeated rows stay repeated. Extra
-columns are kept; a column named like an output is replaced. Matching is linear in the length of a
-text: quantifiers are possessive and a failed run is not entered again.
+columns are kept; a column named like an output is replaced. An empty table gives no row. Work is near linear in the length
+of a text and in its spans: quantifiers are possessive and a failed run is not entered again, offsets are summed in
+chunks, and pieces are cut from blocks of BLOCK characters, as cutting from a text counts its characters from the start.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import folded, let
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
 
@@ -61,6 +64,7 @@ CONTEXT = {
     "ssn": "ssn|social security|tax id|taxpayer",
 }
 REACH = 40
+BLOCK = 1024
 BOOST = 0.3
 THRESHOLD = 0.5
 
@@ -112,40 +116,51 @@ def _proposed(text: Column, kind: str) -> Column:
     )
     rank = F.lit(KINDS.index(kind))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), rank.alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("value"))
-        return F.struct(
-            end.alias("at"),
-            F.when(_valid(kind, x["hit"]), F.concat(acc["out"], F.array(span).cast(SPAN))).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def span(at, x):
+        start = at + F.length(x["gap"])
+        s = F.struct(start.alias("start"), rank.alias("rank"), (start + F.length(x["hit"])).alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("value"))
+        return F.when(_valid(kind, x["hit"]), s)
+
+    both = folded(pairs, F.lit(0).cast("long"), lambda x: (F.length(x["gap"]) + F.length(x["hit"])).cast("long"), lambda a, b: a + b, span)
+    found = F.filter(both, lambda s: s.isNotNull()).cast(SPAN)
     return F.when(HINTS[kind](text), found).otherwise(F.array().cast(SPAN))
 
 
+def _blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK characters; a short one is one block."""
+    return F.when(F.length(text) <= BLOCK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), 0))
+
+
+def _piece(blocks: Column, start: Column, size: Column) -> Column:
+    """``size`` characters from the 0-based place ``start`` on."""
+    i = F.floor(start / BLOCK).cast("int")
+    n = F.floor((start + size) / BLOCK).cast("int") - i + 1
+    return F.substring(F.array_join(F.slice(blocks, i + 1, n), ""), (start - i * BLOCK + 1).cast("int"), size.cast("int"))
+
+
 def find_spans(df: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
     """``df`` with ``out``: array of (start, rank, end, kind, value, score) by start, then kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = df.withColumns({f"_{k}": _proposed(text, k) for k in KINDS})
     spans = F.array_sort(F.concat(*(F.col(f"_{k}") for k in KINDS)))
 
-    def scored(s):
-        before = F.greatest(s["start"] - REACH, F.lit(0).cast("long"))
-        left = F.substring(text, (before + 1).cast("int"), (s["start"] - before).cast("int"))
-        right = F.substring(text, (s["end"] + 1).cast("int"), F.lit(REACH))
-        near = F.lower(F.concat(left, F.lit("\n"), right))
-        base, ctx = F.lit(0.0), F.lit(False)
-        for k in KINDS:
-            base = F.when(s["kind"] == k, F.lit(SCORES[k])).otherwise(base)
-            ctx = F.when(s["kind"] == k, near.rlike(rf"(?<![\p{{L}}])(?:{CONTEXT[k]})")).otherwise(ctx)
-        return s.withField("score", F.least(F.lit(1.0), base + F.when(ctx, F.lit(BOOST)).otherwise(F.lit(0.0))))
-
-    d = d.withColumn(out, F.when(F.size(spans) > 0, F.transform(spans, scored)).otherwise(F.transform(spans, lambda s: s.withField("score", F.lit(0.0)))))
+    def scored(blocks):
+        def score(s):
+            before = F.greatest(s["start"] - REACH, F.lit(0).cast("long"))
+            near = F.lower(F.concat(_piece(blocks, before, s["start"] - before), F.lit("\n"), _piece(blocks, s["end"], F.lit(REACH).cast("long"))))
+            base, ctx = F.lit(0.0), F.lit(False)
+            for k in KINDS:
+                base = F.when(s["kind"] == k, F.lit(SCORES[k])).otherwise(base)
+                ctx = F.when(s["kind"] == k, near.rlike(rf"(?<![\p{{L}}])(?:{CONTEXT[k]})")).otherwise(ctx)
+            return s.withField("score", F.least(F.lit(1.0), base + F.when(ctx, F.lit(BOOST)).otherwise(F.lit(0.0))))
+
+        return score
+
+    d = d.withColumn("_all", spans)
+    none = F.transform("_all", lambda s: s.withField("score", F.lit(0.0)))
+    d = d.withColumn(out, F.when(F.size("_all") > 0, let(_blocks(text), lambda b: F.transform("_all", scored(b)))).otherwise(none))
     d = d.withColumn(out, F.filter(F.col(out), lambda s: (s["rank"] < len(BASE)) | (s["score"] >= THRESHOLD)))
-    return d.drop(*(f"_{k}" for k in KINDS))
+    return d.drop("_all", *(f"_{k}" for k in KINDS))
 
 
 def joined(spans: Column) -> Column:
@@ -155,16 +170,17 @@ def joined(spans: Column) -> Column:
 def mask_text(text: Column, spans: Column) -> Column:
     """The text with each run of overlapping spans replaced by the name of its first kind in brackets."""
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        add = F.concat(
-            acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")
-        )
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, add).otherwise(acc["out"]).alias("out"))
+    def whole(blocks):
+        def step(at, s):
+            """What stands between the furthest end so far and a span, and its kind; nothing for one that overlaps."""
+            new = F.concat(_piece(blocks, at, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.when(s["start"] >= at, new).otherwise(F.lit(""))
+
+        parts = folded(spans, F.lit(0).cast("long"), lambda s: s["end"], lambda a, b: F.greatest(a, b), step)
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), _piece(blocks, last, F.length(text) - last))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))))
-    return F.when(F.size(spans) == 0, text).otherwise(whole)
+    return F.when(F.size(spans) == 0, text).otherwise(let(_blocks(text), whole))
 
 
 def mask(df: DataFrame, text_col: str = "text") -> DataFrame:

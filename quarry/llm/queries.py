@@ -22,7 +22,9 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         "doc_id",
         *(count(k) for k in pii.KINDS),
+        F.size("spans").cast("long").alias("n_spans"),
         F.sha2(pii.joined(base), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", lambda s: F.round(100 * s["score"]).cast("int").cast("string")), ",").alias("scores"),
         pii.joined(F.col("spans")).alias("spans"),
     )
 
@@ -140,12 +142,15 @@ s AS ({_spans_sql("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+
  UNION ALL {_spans_sql("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", _IP)}
  UNION ALL {_spans_sql("card", r"[0-9](?:[\x20-]?[0-9])+", _LUHN)}
  UNION ALL {_spans_sql("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15")}),
+c AS (SELECT s.doc_id, kind, s.s, e, lower(substr(t, greatest(s.s - 40, 0)::INT + 1, least(s.s, 40)::INT) || chr(10) || substr(t, e::INT + 1, 40)) AS near FROM s JOIN d ON d.doc_id = s.doc_id),
+p AS (SELECT *, least(100, CASE kind {" ".join(f"WHEN '{k}' THEN {round(100 * pii.SCORES[k])} + CASE WHEN regexp_matches(near, '(^|[^\\p{{L}}])(?:{pii.CONTEXT[k]})') THEN 30 ELSE 0 END" for k in pii.BASE)} END) AS score FROM c),
 j AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
-        count(*) FILTER (kind = 'phone') AS n_phone,
+        count(*) FILTER (kind = 'phone') AS n_phone, count(*) AS n_spans, string_agg(score::INT::VARCHAR, ',' ORDER BY s, list_position(['email', 'ip', 'card', 'phone'], kind)) AS scores,
         string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, list_position(['email', 'ip', 'card', 'phone'], kind)) AS spans
-      FROM s GROUP BY doc_id)
+      FROM p GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card,
-  coalesce(n_phone, 0)::BIGINT AS n_phone, 0::BIGINT AS n_iban, 0::BIGINT AS n_ssn, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+  coalesce(n_phone, 0)::BIGINT AS n_phone, 0::BIGINT AS n_iban, 0::BIGINT AS n_ssn, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(spans, '')) AS base_sha256,
+  coalesce(scores, '') AS scores, coalesce(spans, '') AS spans
 FROM d LEFT JOIN j ON d.doc_id = j.doc_id
 """
 

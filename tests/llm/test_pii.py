@@ -1,7 +1,9 @@
 import hashlib
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import pii, queries
 
@@ -96,3 +98,26 @@ def test_mask_and_odd_rows(spark):
 def test_context_after_a_span_and_all_countries(spark, text, found):
     r = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert [s.kind for s in r.spans if s.kind in ("iban", "ssn")] == found
+
+
+def test_many_spans_and_long_texts(spark):
+    """A hundred thousand spans in one text, in seconds; pieces are cut at block edges too."""
+    text = "é " + "x@y.z +1 (456) 555-2186 ñ " * 50_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    t = time.time()
+    r = pii.find_spans(df).select(F.size("spans").alias("n"), F.element_at("spans", -1).alias("last")).first()
+    assert r.n == 100_000 and text[r.last.start : r.last.end] == "+1 (456) 555-2186" and time.time() - t < 30
+    assert pii.mask(df).first().text == "é " + "[EMAIL] [PHONE] ñ " * 50_000 and time.time() - t < 60
+
+
+def test_masking_equals_plain_python(spark):
+    texts = ["a@b.c" * 3, "x a@1.2.3.4 y", "é" * 1020 + " a@b.c " + "ñ" * 1030 + "+1 988 555 2485", "4111 1111 1111 1111" * 2, "z" * 2047 + "1.2.3.4" + "z" * 5]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find_spans(df).collect()}
+    for r in pii.mask(df).collect():
+        t, at, out = texts[r.doc_id], 0, ""
+        for s in spans[r.doc_id]:
+            if s.start >= at:
+                out += t[at : s.start] + f"[{s.kind.upper()}]"
+            at = max(at, s.end)
+        assert r.text == out + t[at:]
