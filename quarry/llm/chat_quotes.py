@@ -6,22 +6,25 @@ are passages too. Passages are normalised (lower case, white space collapsed), h
 ones joined to the first message of the conversation that said them. A message replies to the earlier message from
 which it quotes most characters at its outermost matched level (the later one on a tie). Following
 replies upwards gives threads; ordered by (thread_turn, turn), replies come after what they answer and
-threads stay together, without quotes. Column expressions only.
+threads stay together, without quotes; ``position`` is a message's place in that order of its conversation (messages of one
+turn by text), and ``chat`` the message as a chat turn. Column expressions only.
 
 What a conversation said is reduced to one row per (conversation, passage) before the join, so a passage
-or a conversation of any size meets as many rows as there are quotes of it.
+or a conversation of any size meets as many rows as there are quotes of it. Places are counted over ranges of the whole
+order, so a conversation of any length is spread over tasks.
 
 Defined results: a null text is empty. Rows with a null conversation or turn link to nothing and nothing to
 them. Repeated rows stay repeated. A quote that no earlier message said links to nothing and is
-dropped from the text like any other. Extra columns are ignored.
+dropped from the text like any other. Extra columns are ignored. An empty table gives no row. Work is linear in the lines of a message.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, let
 
 #: A line that only announces the quote below it.
 ANNOUNCES = r"(?i)^\s*(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
@@ -75,19 +78,27 @@ def _quoted_units() -> Column:
     """Quoted lines, then runs of one level; a run begins where the level changes."""
     lines = F.transform(F.filter("lines", lambda x: x["level"] > 0), lambda x: F.struct(x["level"].alias("level"), x["line"].alias("text")))
 
-    def grow(acc, x):
-        same = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat_ws("\n", same["text"], x["line"]).alias("text"), (same["n"] + 1).alias("n"))))
-        new = F.concat(acc, F.array(F.struct(x["level"].alias("level"), x["line"].alias("text"), F.lit(1).alias("n"))))
-        return F.when((F.size(acc) > 0) & (same["level"] == x["level"]), joined).otherwise(new)
+    def begins(ls: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: (i == 0) | (F.get(ls, i)["level"] != F.get(ls, i - 1)["level"]))
 
-    runs = F.aggregate("lines", F.array().cast("array<struct<level:int,text:string,n:int>>"), grow)
-    runs = F.transform(F.filter(runs, lambda r: (r["level"] > 0) & (r["n"] > 1)), lambda r: F.struct(r["level"].alias("level"), r["text"].alias("text")))
+    def cut(ls: Column):
+        def run(starts: Column) -> Column:
+            def one(s, j):
+                n = F.coalesce(F.get(starts, j + 1), F.size(ls)) - s
+                text = F.array_join(F.transform(F.slice(ls, s + 1, n), lambda x: x["line"]), "\n")
+                level = F.get(ls, s)["level"]
+                return F.when((level > 0) & (n > 1), F.struct(level.alias("level"), text.alias("text")))
+
+            return F.filter(F.transform(starts, one), lambda r: r.isNotNull())
+
+        return let(begins(ls), run)
+
+    runs = let(F.col("lines"), cut)
     return F.concat(lines, runs)
 
 
 def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per message: conv_id, turn, role, body, n_quoted_lines, max_level, parent_turn, thread_turn, depth."""
+    """One row per message: conv_id, turn, role, body, n_quoted_lines, max_level, parent_turn, thread_turn, depth, position."""
     scratch = Scratch(df.sparkSession, "quotes")
     m = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     m = parse(m)
@@ -110,15 +121,35 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
     else:
         raise RuntimeError("chat_quotes: a chain of replies did not end")
     tops = parent.join(at, ["conv", "turn"]).select("conv", "turn", "parent", "up", "depth")
-    out = m.join(tops, ["conv", "turn"], "left")
-    return out.select(
-        F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "body",
+    out = m.join(tops, ["conv", "turn"], "left").select(
+        "conv", "turn", "role", "body",
         F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("long").alias("n_quoted_lines"),
         F.array_max(F.transform("lines", lambda x: x["level"])).cast("long").alias("max_level"),
         F.col("parent").alias("parent_turn"), F.coalesce("up", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
     )
+    placed = _positions(out, scratch)
+    return placed.select(
+        F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "body", "n_quoted_lines", "max_level",
+        "parent_turn", "thread_turn", "depth", "position",
+    )
+
+
+def _positions(out: DataFrame, scratch: Scratch) -> DataFrame:
+    """``out`` with ``position``: from 0, by (thread_turn, turn, body) in each conversation; null where conversation or turn is.
+
+    Rows are dealt by ranges of the whole order and numbered; what a conversation has in earlier ranges comes from one row per conversation
+    and range.
+    """
+    order = ["conv", "thread_turn", "turn", "body"]
+    d = out.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    d = scratch.cut(d.withColumn("_part", F.shiftright("_at", 33)), "ordered")
+    known = F.col("conv").isNotNull() & F.col("turn").isNotNull()
+    here = d.where(known).groupBy("conv", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = F.sum("_n").over(Window.partitionBy("conv").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    here = here.select("conv", "_part", "_first", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    return d.join(here, ["conv", "_part"], "left").withColumn("position", F.when(known, F.col("_before") + F.col("_at") - F.col("_first"))).drop("_at", "_part", "_first", "_before")
 
 
 def formatted(linked: DataFrame, role_col: str = "role") -> DataFrame:
-    """``linked`` with ``chat``: the message as a chat turn with its role marker. Order by conversation, thread_turn, turn."""
+    """``linked`` with ``chat``: the message as a chat turn with its role marker. Order by conversation and position."""
     return linked.withColumn("chat", F.concat(F.lit("<|"), F.coalesce(role_col, F.lit("user")), F.lit("|>\n"), "body", F.lit("\n")))

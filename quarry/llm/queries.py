@@ -48,7 +48,7 @@ def vocabulary(name: str) -> str:
 
 
 def op3_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_quotes.link(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return chat_quotes.formatted(chat_quotes.link(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
 
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,6 +176,7 @@ r AS (SELECT a.conv_id, a.turn, src, level, sum(length(a.k)) AS chars FROM a JOI
 e AS (SELECT conv_id, turn, src AS parent FROM r QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, chars DESC, src DESC) = 1),
 c AS (SELECT conv_id, turn, parent AS up, 1 AS depth FROM e UNION ALL SELECT c.conv_id, c.turn, e.parent, depth + 1 FROM c JOIN e ON e.conv_id = c.conv_id AND e.turn = c.up),
 d AS (SELECT conv_id, turn, min(up) AS top, max(depth) AS depth FROM c GROUP BY ALL)
-SELECT w.conv_id, w.turn, w.role, body, nq AS n_quoted_lines, ml AS max_level, parent AS parent_turn, coalesce(top, w.turn) AS thread_turn, coalesce(depth, 0)::BIGINT AS depth
+SELECT w.conv_id, w.turn, w.role, body, nq AS n_quoted_lines, ml AS max_level, parent AS parent_turn, coalesce(top, w.turn) AS thread_turn, coalesce(depth, 0)::BIGINT AS depth,
+  row_number() OVER (PARTITION BY w.conv_id ORDER BY coalesce(top, w.turn), w.turn, body) - 1 AS position, '<|' || coalesce(w.role, 'user') || '|>' || chr(10) || body || chr(10) AS chat
 FROM w LEFT JOIN e ON w.conv_id = e.conv_id AND w.turn = e.turn LEFT JOIN d ON w.conv_id = d.conv_id AND w.turn = d.turn
 """
