@@ -2,10 +2,11 @@
 
 A document of n tokens (its ids, then the end id) fills n // WINDOW windows by itself; only its
 remainder, shorter than a window, needs company. The histogram of remainder lengths (WINDOW - 1 counts
-at most, whatever the corpus) goes to the driver. There, shallow combinations of two or three lengths
-that fill a window exactly are enumerated, non-negative least squares gives how often each is used,
-rounding down keeps within the histogram, and what is left is laid end to end and cut at window ends.
-The last, partial window is cut at powers of two, which need no padding. So padding is zero.
+at most, whatever the corpus) goes to the driver. There, shallow combinations of two to four lengths
+that fill a window exactly are enumerated, non-negative least squares gives how often each is used, and
+rounding down keeps within the histogram. What is left is packed greedily: the longest length takes the fewest others, DEEP
+at most, that fill its window exactly, as often as they last. The few lengths without such company are laid end to end
+and cut at window ends; the last, partial window is cut at powers of two, which need no padding. So padding is zero.
 
 Which document takes which place follows from its rank among remainders of its length. Ranks come
 from counts by (length, hash bucket), so a length that a third of all documents share is ranked in
@@ -32,8 +33,9 @@ from .common import Scratch
 WINDOW = 2048
 END_ID = 1
 BUCKETS = 64
-#: Lengths from which combinations of three are drawn: the commonest ones.
-TRIPLE_LENGTHS = 48
+#: Lengths from which combinations of three and of four are drawn: the commonest ones, and one more that completes them.
+TRIPLE_LENGTHS, FOUR_LENGTHS = 96, 20
+DEEP = 8
 SWEEPS = 60
 #: Entries of a worker's word memory; later words are encoded anew each time.
 MEMORY = 500_000
@@ -165,13 +167,38 @@ def nnls(columns: list[tuple[int, ...]], target: np.ndarray, sweeps: int = SWEEP
 
 
 def combinations(hist: np.ndarray) -> list[tuple[int, ...]]:
-    """Pairs and triples of present lengths that add up to the window; triples among the commonest lengths and one more."""
+    """Two, three or four present lengths that add up to the window; of three and four all but one are among the commonest."""
     have = np.flatnonzero(hist)
     present = set(have.tolist())
     out = [(a, WINDOW - a) for a in have.tolist() if a <= WINDOW - a and WINDOW - a in present]
-    top = sorted(have.tolist(), key=lambda a: (-hist[a], a))[:TRIPLE_LENGTHS]
-    trip = {tuple(sorted((a, b, WINDOW - a - b))) for i, a in enumerate(top) for b in top[i:] if WINDOW - a - b in present}
-    return out + sorted(trip)
+    top = sorted(have.tolist(), key=lambda a: (-hist[a], a))
+    three, four = top[:TRIPLE_LENGTHS], top[:FOUR_LENGTHS]
+    trip = {tuple(sorted((a, b, WINDOW - a - b))) for i, a in enumerate(three) for b in three[i:] if WINDOW - a - b in present}
+    quad = {tuple(sorted((a, b, c, WINDOW - a - b - c))) for i, a in enumerate(four) for j, b in enumerate(four[i:], i) for c in four[j:] if WINDOW - a - b - c in present}
+    return out + sorted(trip) + sorted(quad)
+
+
+def company(left: np.ndarray, gap: int, deep: int = DEEP) -> list[int] | None:
+    """The fewest present lengths, ``deep`` at most, that add up to ``gap``; longer ones first. None if there are none."""
+    have = np.flatnonzero(left[: gap + 1]).tolist()
+    fit = (1 << gap + 1) - 1
+    sums = [1]  # bit s of sums[d]: d lengths add up to s, each as often as one likes
+    while not sums[-1] >> gap & 1:
+        if len(sums) > deep or not have:
+            return None
+        nxt = 0
+        for b in have:
+            nxt |= sums[-1] << b
+        sums.append(nxt & fit)
+    spare, out = left.copy(), []
+    for d in range(len(sums) - 1, 0, -1):
+        b = next((b for b in reversed(have) if b <= gap and spare[b] > 0 and sums[d - 1] >> (gap - b) & 1), None)
+        if b is None:
+            return None
+        spare[b] -= 1
+        gap -= b
+        out.append(b)
+    return out
 
 
 def plan(hist: np.ndarray) -> dict:
@@ -186,21 +213,39 @@ def plan(hist: np.ndarray) -> dict:
     slots: dict[int, list[tuple[int, int, int]]] = {}
     taken = np.zeros(WINDOW, np.int64)
     seq = 0
-    for j in sorted(range(len(cols)), key=lambda j: (-x[j], cols[j])):
-        at, times = np.unique(np.array(cols[j]), return_counts=True)
-        k = int(min(np.floor(x[j] + 1e-9), (left[at] // times).min()))
-        if k < 1:
-            continue
+
+    def use(lengths, k):
         off = 0
-        for a in cols[j]:
+        for a in lengths:
             slots.setdefault(a, []).append((int(taken[a]), seq, off))
             taken[a] += k
             left[a] -= k
             off += a
+
+    for j in sorted(range(len(cols)), key=lambda j: (-x[j], cols[j])):
+        at, times = np.unique(np.array(cols[j]), return_counts=True)
+        k = int(min(np.floor(x[j] + 1e-9), (left[at] // times).min()))
+        if k < 1:
+            continue
+        use(cols[j], k)
         seq += k
+
+    for a in range(WINDOW - 1, 0, -1):  # the greedy part
+        while left[a] > 0:
+            left[a] -= 1
+            more = company(left, WINDOW - a)
+            left[a] += 1
+            if more is None:
+                break
+            at, times = np.unique(np.array([a, *more]), return_counts=True)
+            k = int((left[at] // times).min())
+            use([a, *more], k)
+            seq += k
     line = np.zeros(WINDOW + 1, np.int64)
     np.cumsum(left * np.arange(WINDOW), out=line[1:])
+    share = 1 - left.sum() / max(1, hist.sum())
     return {
+        "share": float(share),  # of the remainders, whole in a window that they fill with others
         "slots": {a: tuple(np.array(v, np.int64).T) for a, v in slots.items()},
         "taken": taken, "line": line[:-1], "total": int(line[-1]), "first": seq, "residual": left,
     }
