@@ -1,19 +1,23 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Compiled once a worker: a normaliser (spaces become the space mark, one mark goes before the text), the
-vocabulary as arcs over characters, and byte arcs for characters that no piece holds. Composed with an
-input, its states are (position, last piece) and its arcs are the pieces that may follow. For a BPE
-vocabulary sums of piece scores do not give the library's result, so the composed machine carries BPE's
-own condition: an arc from piece a to piece b costs 0 where BPE leaves the string ab as (a, b), and
-infinity where some merge would cross their border. Because merges have one order everywhere, a path is
-the BPE result if and only if each piece and each adjacent pair is, so exactly one path per prefix has
-a finite cost, and the shortest path in the tropical semiring is found left to right with one live state a
-position. No arc spans two characters that stand side by side in no piece, so inputs factor there (at
-spaces and line ends, mostly between letters and marks), and each distinct part is composed once.
-
-Defined results: null text is empty and has no ids. Any text survives decode(encode(text)). Characters
-outside the vocabulary become byte pieces. Repeated rows, ties and extra columns pass through; a
-column named like an output is replaced.
+Compiled once a worker, as three machines:
+
+* the normaliser: arcs from characters to characters (a space becomes the space mark), and one mark before the text;
+* the pieces: arcs from a piece's characters to its id. In a unigram vocabulary an arc weighs the piece's negative score. In a BPE
+  vocabulary sums of scores do not give the library's result; there the context of an arc is the piece before it, and the
+  arc from piece a to piece b weighs 0 where BPE leaves the string ab as (a, b), and infinity where some merge would cross
+  their border;
+* byte fallback: arcs from a character that is no piece to its bytes, at the weight of an unknown.
+
+Composed with an input, its states are (position, context); the ids are the labels of the shortest path in the tropical semiring
+(``shortest``: a path adds its weights, paths to one state take the least). In the BPE machine merges have one order everywhere, so a path is
+the BPE result if and only if each piece and each adjacent pair is: exactly one path per prefix has a finite
+weight, and ``path`` finds it with one live state a position. No arc spans two characters that stand side by side in no piece, so
+inputs factor there (at spaces and line ends, mostly between letters and marks), and each distinct part is composed once.
+
+Defined results: null text is empty and has no ids. A text without the space mark survives decode(encode(text)); a space mark in it
+comes back as a space. Characters outside the vocabulary become byte pieces. Repeated rows, ties and extra columns pass
+through; a column named like an output is replaced. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -35,27 +39,27 @@ MEMORY = 600_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
+INF = float("inf")
+#: What an unknown character costs more than the worst piece of a unigram vocabulary.
+UNKNOWN = 10.0
+
+
 class Transducer:
-    def __init__(self, path: str):
-        import sentencepiece
+    """``pieces`` are (text, id, score); ``byte`` has the id of each byte; ``kind`` is bpe or unigram."""
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.get_piece_size()
-        self.piece, self.score, self.raw, self.byte = {}, [0.0] * n, [b""] * n, {}
-        for i in range(n):
-            s = sp.id_to_piece(i)
-            if sp.is_byte(i):
-                b = int(s[3:-1], 16)
-                self.byte[b] = i
-                self.raw[i] = bytes([b])
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                self.piece[s] = i
-                self.score[i] = sp.get_score(i)
-                self.raw[i] = s.replace(MARK, " ").encode()
-        if len(self.byte) != 256:
+    def __init__(self, pieces: list[tuple[str, int, float]], byte: dict[int, int], kind: str = "bpe"):
+        if len(byte) != 256:
             raise ValueError("the vocabulary has no byte fallback")
+        n = 1 + max([*byte.values(), *(i for _, i, _ in pieces)])
+        self.kind, self.byte = kind, byte
+        self.piece, self.score, self.raw = {}, [0.0] * n, [b""] * n
+        for s, i, score in pieces:
+            self.piece[s], self.score[i], self.raw[i] = i, score, s.replace(MARK, " ").encode()
+        for b, i in byte.items():
+            self.raw[i] = bytes([b])
         if any(MARK in s.lstrip(MARK) or "\n" in s and len(s) > 1 for s in self.piece):
             raise ValueError("a piece spans words or lines")
+        self.unknown = UNKNOWN - min((x for _, _, x in pieces), default=0.0) if kind == "unigram" else 0.0
         #: Characters that stand side by side in some piece.
         self.beside = {s[k : k + 2] for s in self.piece for k in range(len(s) - 1)}
         #: Longest piece that ends in these three characters; shorter ends have pieces of two characters at most.
@@ -64,7 +68,6 @@ class Transducer:
             if len(s) > 2:
                 self.reach[s[-3:]] = max(len(s), self.reach.get(s[-3:], 0))
         self.text = {i: s for s, i in self.piece.items()}
-        self.longest = max(map(len, self.piece))
         self.is_byte = np.zeros(n, bool)
         self.is_byte[list(self.byte.values())] = True
         self.words: dict[str, bytes] = {}
@@ -72,6 +75,62 @@ class Transducer:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.own: dict[int, bool] = {}
 
+    @classmethod
+    def load(cls, path: str) -> Transducer:
+        """The machine of a SentencePiece model file; a model without merges among its pieces' scores is a unigram one."""
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        byte, pieces = {}, []
+        for i in range(sp.get_piece_size()):
+            s = sp.id_to_piece(i)
+            if sp.is_byte(i):
+                byte[int(s[3:-1], 16)] = i
+            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+                pieces.append((s, i, sp.get_score(i)))
+        # The scores of a BPE model are the numbers of its merges.
+        kind = "bpe" if all(x == int(x) for _, _, x in pieces) else "unigram"
+        return cls(pieces, byte, kind)
+
+    def normalise(self, text: str) -> str:
+        """The text through the normaliser."""
+        return MARK + text.replace(" ", MARK)
+
+    def weight(self, context: int, piece: int) -> float:
+        """Of the arc of a piece after a context: the piece before it, or a negative number after the start or a character in bytes."""
+        if self.kind == "unigram":
+            return -self.score[piece]
+        return 0.0 if self._whole(piece) and (context < 0 or self.follows(context, piece)) else INF
+
+    def arcs(self, w: str, end: int) -> Iterator[tuple[int, int | None]]:
+        """(length, piece) of the arcs that end at a position; (1, None) is the byte arc of a character that is no piece."""
+        reach = self.reach.get(w[end - 3 : end], 2) if end > 2 else end
+        for length in range(min(reach, end), 0, -1):
+            t = self.piece.get(w[end - length : end])
+            if t is not None:
+                yield length, t
+        if w[end - 1] not in self.piece:
+            yield 1, None
+
+    def shortest(self, w: str) -> list[int]:
+        """Ids along the shortest path of the composed machine, by dynamic programming over (position, context)."""
+        best: list[dict[int, tuple]] = [{-1: (0.0, 0, None, None)}, *({} for _ in w)]
+        for end in range(1, len(w) + 1):
+            here = best[end]
+            for length, t in self.arcs(w, end):
+                for context, (cost, *_) in best[end - length].items():
+                    total = cost + (self.unknown if t is None else self.weight(context, t))
+                    state = -2 if t is None or self.kind == "unigram" else t
+                    if total < INF and (state not in here or total < here[state][0]):
+                        here[state] = (total, length, t, context)
+        out: list[int] = []
+        end, state = len(w), min(best[-1], key=lambda q: best[-1][q][0])
+        while end:
+            _, length, t, context = best[end][state]
+            out += [t] if t is not None else [self.byte[b] for b in reversed(w[end - 1].encode("utf-8", "surrogatepass"))]
+            end, state = end - length, context
+        return out[::-1]
+
     def merges(self, s: str) -> list[str]:
         """BPE by its definition, for strings of a piece or two: join the best adjacent pair, leftmost on a tie."""
         parts = list(s)
@@ -91,7 +150,7 @@ class Transducer:
         return self.own[i]
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether the arc from piece a to piece b has a finite cost."""
+        """Whether the arc from piece a to piece b has a finite weight."""
         got = self.pairs.get((a, b))
         if got is None:
             s, t = self.text[a], self.text[b]
@@ -101,7 +160,7 @@ class Transducer:
         return got
 
     def path(self, w: str) -> list[int]:
-        """Ids along the one path of finite cost; a character without a piece is its bytes and joins nothing."""
+        """``shortest`` of the BPE machine: along the one path of finite weight; a character without a piece is its bytes and joins nothing."""
         n = len(w)
         last: list[int] = [-1] * (n + 1)  # piece that ends here; -1 start, -2 a character in bytes
         size = [0] * (n + 1)
@@ -135,7 +194,7 @@ class Transducer:
                 part = w[at:k]
                 got = self.parts.get(part)
                 if got is None:
-                    got = self.path(part)
+                    got = self.path(part) if self.kind == "bpe" else self.shortest(part)
                     if len(self.parts) < MEMORY and len(part) < 64:
                         self.parts[part] = got
                 ids += got
@@ -148,7 +207,7 @@ class Transducer:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint16)
-        s = MARK + text.replace(" ", MARK)
+        s = self.normalise(text)
         known, word = self.words.get, self._word
         return np.frombuffer(b"".join([known(w) or word(w) for w in _WORDS.findall(s)]), "<u2")
 
@@ -164,7 +223,7 @@ _MACHINES: dict[str, Transducer] = {}
 def machine(path: str) -> Transducer:
     """One machine a worker process and vocabulary."""
     if path not in _MACHINES:
-        _MACHINES[path] = Transducer(path)
+        _MACHINES[path] = Transducer.load(path)
     return _MACHINES[path]
 
 
