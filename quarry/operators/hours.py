@@ -1,8 +1,8 @@
 """Active time: stamps at most half an hour apart are one stretch of work.
 
 The first stamp and each one after a longer pause is worth two minutes, the others the time since the one
-before. Per key this is one window over the key; the merged timeline of all keys is cut into days first, so it
-needs no single-task window.
+before. Timelines, of a key or of all, are cut into days first: stamps are ordered inside (key, day), and the gaps over the
+days' edges come from one row a day, so a busy key or the merged timeline is never ordered in one task.
 """
 
 from __future__ import annotations
@@ -21,29 +21,21 @@ def millis(ts: Column) -> Column:
 
 
 def credited(df: DataFrame, keys: list[str], ms: str = "ms") -> DataFrame:
-    """(keys, n_stamps, active_ms)."""
-    gap = F.col(ms) - F.lag(ms).over(Window.partitionBy(*keys).orderBy(ms))
-    worth = F.when(gap <= IDLE_MS, gap).otherwise(F.lit(CREDIT_MS))
-    return df.withColumn("_w", worth).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_stamps"), F.sum("_w").cast("long").alias("active_ms"))
+    """(keys, n_stamps, active_ms); without keys one row, for all stamps on one timeline."""
+    stamps = df.groupBy(*keys, F.col(ms).alias("_ms")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_day", F.floor(F.col("_ms") / 86_400_000))
+    worth = lambda gap: F.when(gap <= IDLE_MS, gap).otherwise(F.lit(CREDIT_MS))
+    gap = F.col("_ms") - F.lag("_ms").over(Window.partitionBy(*keys, "_day").orderBy("_ms"))
+    inner = stamps.withColumn("_w", F.when(gap.isNull(), F.lit(0)).otherwise(worth(gap)))
+    days = inner.groupBy(*keys, "_day").agg(F.sum("_n").alias("_n"), F.sum("_w").alias("_w"), F.min("_ms").alias("_lo"), F.max("_ms").alias("_hi"))
+    edge = F.col("_lo") - F.lag("_hi").over(Window.partitionBy(*keys).orderBy("_day"))
+    return days.withColumn("_e", worth(edge)).groupBy(*keys).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_stamps"), F.coalesce(F.sum(F.col("_w") + F.col("_e")), F.lit(0)).cast("long").alias("active_ms")
+    )
 
 
 def merged(df: DataFrame, ms: str = "ms") -> DataFrame:
-    """(n_stamps, active_ms) of all stamps on one timeline.
-
-    Distinct stamps are ranked inside days; the gap over each day's edge comes from the days' first and last stamps, one
-    row a day, so only that small table is ordered in one task.
-    """
-    day = (F.col(ms) / 86_400_000).cast("long").alias("day")
-    stamps = df.groupBy(F.col(ms).alias("_ms")).agg(F.count(F.lit(1)).alias("n")).withColumn("day", (F.col("_ms") / 86_400_000).cast("long"))
-    del day
-    w = Window.partitionBy("day").orderBy("_ms")
-    gap = F.col("_ms") - F.lag("_ms").over(w)
-    inner = stamps.withColumn("_w", F.when(gap.isNull(), F.lit(0)).when(gap <= IDLE_MS, gap).otherwise(F.lit(CREDIT_MS)))
-    days = inner.groupBy("day").agg(F.sum("n").alias("n"), F.sum("_w").alias("w"), F.min("_ms").alias("lo"), F.max("_ms").alias("hi"))
-    edge = F.col("lo") - F.lag("hi").over(Window.orderBy("day"))
-    return days.withColumn("e", F.when(edge <= IDLE_MS, edge).otherwise(F.lit(CREDIT_MS))).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_stamps"), F.coalesce(F.sum(F.col("w") + F.col("e")), F.lit(0)).cast("long").alias("active_ms")
-    )
+    """(n_stamps, active_ms) of all stamps on one timeline."""
+    return credited(df, [], ms)
 
 
 def in_month(ts: Column, month: str, tz: str = "UTC") -> Column:

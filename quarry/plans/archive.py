@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import embed, facts as FA, hours, maint, recall, sessions
 from quarry.plans import tables
-from quarry.plans.registry import query
+from quarry.plans.registry import SQL, query
 from quarry.plans.tables import FACTS_SQL, TURNS_SQL, table, workspace
 from quarry.sources import transcripts as S
 
@@ -225,6 +225,12 @@ def facts_doctor(spark, sf_dir):
     return FA.doctor(leaves(spark, sf_dir), stored_facts(spark, sf_dir), "2024-06-01").where("check_no <> 13").select("leaf_path", "check_no", "severity")
 
 
+@query(f"SELECT count(*) FILTER (severity = 'error')::BIGINT AS errors, count(*) FILTER (severity = 'warning')::BIGINT AS warnings FROM ({SQL['facts_doctor']})")
+def facts_doctor_totals(spark, sf_dir):
+    d = FA.doctor(leaves(spark, sf_dir), stored_facts(spark, sf_dir), "2024-06-01")
+    return FA.doctor_totals(d.where("check_no <> 13"))
+
+
 @query(
     f"""WITH {_LEAVES_SQL}, {_STORED_SQL}, d AS ({_SIMPLE_CHECKS}), l AS (SELECT leaf_path, k, CASE WHEN ok THEN string_split(ab, ' ') END AS ts, list_filter([CASE WHEN ok THEN lower(nm) END, lower(s_name)], lambda x: x IS NOT NULL) AS names FROM d WHERE lf AND NOT bad AND ours),
 p AS (SELECT a.leaf_path AS a, b.leaf_path AS b, len(list_intersect(a.ts, b.ts)) AS n, a.names AS na, b.names AS nb FROM l a JOIN l b ON a.leaf_path < b.leaf_path AND b.k - a.k < 60)

@@ -102,3 +102,66 @@ def test_hidden_facts(spark):
     got = recall.hidden_facts(f, "how did we handle the cache-prod TICKET-123 rollout?", "p", ["seen.md"]).collect()
     assert [r.leaf_path for r in got] == ["cache-prod.md"]
     assert recall.hidden_facts(f, "short", "p").count() == 0
+
+
+RAW = ["deploy* OR latency", "cache AND rollout", '"cache prod" NOT masked', "(pod OR ticket) AND (running OR 123)", "rolling cluster", "NEAR(cache rollout, 2)", "NEAR(rolling cluster)", '"rolling out" AND check* NOT pods', "run* NOT (pod OR cluster)"]
+
+
+@pytest.mark.parametrize("query", RAW)
+def test_raw_queries_equal_sqlite(turns, query):
+    want = fts(query)
+    got = {TEXTS.index(r.text): r.score for r in search.raw_scores(turns, query).collect()}
+    assert set(got) == set(want), query
+    if "NEAR" not in query:  # a NEAR group counts as one phrase a word here
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("query", ["", "(a", "AND a", "a OR", "a NOT"])
+def test_broken_raw_queries_are_refused(turns, query):
+    with pytest.raises(ValueError):
+        search.raw_scores(turns, query)
+
+
+def test_default_search_is_stemmed_and_marked(turns):
+    assert [r.seq for r in search.keyword(turns, ["deploy"], 5).collect()] == [0]
+    hit = search.keyword(turns, ["ticket", "rollout"], 5, snippet_words=12).first()
+    assert hit.snip.startswith("«TICKET»-123 cache-prod «rollout» finished")
+    assert search.keyword(turns, [], 5, raw='"cache prod" NOT masked', snippet_words=12).count() == 2
+
+
+def test_index_equals_the_scan(spark, turns, tmp_path):
+    from quarry.operators import index
+
+    folder = f"file://{tmp_path}/index"
+    index.build(turns, folder, buckets=3)
+    rows = spark.read.parquet(f"{folder}/rows")
+    for terms, more in ((["deploys", "run"], {"any_of": True}), (["cache-prod"], {}), (["cache-prod"], {"exclude": ["masked"]}), (["rolling out now"], {})):
+        got = {r.text: r.score for r in index.match_scores(spark, folder, terms, **more).join(rows, "rid").collect()}
+        want = {r.text: r.score for r in search.match_scores(turns, terms, **more).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and want
+    top = index.keyword(spark, folder, ["rollout"], 1, where=F.col("session_id") == "cccc").collect()
+    assert [r.text for r in top] == [TEXTS[4]]
+    plan = spark.read.parquet(f"{folder}/postings").where("bucket = 1 and term = 'x'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,x)]" in plan
+
+
+def test_nearest_vectors_where_nothing_matches(spark, turns):
+    t = turns.withColumn("turn_id", F.col("seq") + F.length("session_id") * 100)
+    v = t.select("turn_id", F.array((F.col("seq") / 10).cast("float"), F.lit(0.5).cast("float")).alias("vec"))
+    mode, hits = search.keyword_or_nearest(t, ["rollout"], v, lambda x: [[1.0, 0.0]])
+    assert mode == "keyword" and hits.count() == 2
+    mode, hits = search.keyword_or_nearest(t, ["zzzz"], v, lambda x: [[1.0, 0.0]], 2, exclude=["ticket"])
+    assert mode == "semantic" and [r.seq for r in hits.collect()] == [2, 1]
+
+
+def test_recall_leaves_out_what_was_shown_and_caps_terms(spark, turns):
+    ask = "how did we handle the cache-prod TICKET-123 rollout?"
+    found = recall.run(turns, ask, "-tmp-demo", "2027-01-12T00:00:00Z", live="zz")
+    best = found.first()
+    seen = spark.createDataFrame([("x", f"turn:{best.session_id}/{best.seq}")], "session string, source string")
+    again = recall.run(turns, ask, "-tmp-demo", "2027-01-12T00:00:00Z", live="zz", seen=seen)
+    assert (best.session_id, best.seq) not in {(r.session_id, r.seq) for r in again.collect()}
+    p = recall.read_prompt(spark, " ".join(f"word{chr(97 + k)}" for k in range(14)) + " ab12 LONGEST-identifier-9")
+    assert len(p.terms) == 16 and len(p.match) == recall.MAX_MATCH_TERMS and p.match[0] == "LONGEST-identifier-9"
+    full = spark.createDataFrame([("s", f"turn:{'x' * 1000}{k}", k) for k in range(30)], "session string, source string, n long")
+    assert sorted(r.n for r in recall.trim_seen(full, max_bytes=5100).collect()) == list(range(25, 30))
