@@ -142,7 +142,7 @@ def find_spans(df: DataFrame, text_col: str = "text", out: str = "spans") -> Dat
     """``df`` with ``out``: array of (start, rank, end, kind, value, score) by start, then kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = df.withColumns({f"_{k}": _proposed(text, k) for k in KINDS})
-    spans = F.array_sort(F.concat(*(F.col(f"_{k}") for k in KINDS)))
+    spans = F.sort_array(F.concat(*(F.col(f"_{k}") for k in KINDS)))
 
     def scored(blocks):
         def score(s):

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, words
+from .common import GAP, let, words
 
 #: Rule names in bit order; a released rule never changes its bit.
 RULES = ("few_words", "repeated_words", "symbols", "repeated_lines", "word_length", "capitals")
@@ -34,38 +34,28 @@ def mask(names) -> int:
 def repeat_words(w: Column) -> Column:
     """Words covered by three-word windows that occur twice or more in ``w``.
 
-    The windows are sorted with their positions, so equal ones are neighbours; the positions of those
-    are sorted again and each adds the words up to the next one, three at most. O(n log n) per text.
+    The windows are sorted by hash and position, so equal ones are neighbours, and neighbours of one hash are compared word by word;
+    the positions of equal ones are sorted again and each adds the words up to the next one, three at most. O(n log n) per text.
     """
     n = F.size(w)
     wins = F.transform(
-        F.sequence(F.lit(1), n - 2),
-        lambda i: F.struct(
-            F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)).alias("g"), i.alias("p")
-        ),
+        F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("p"))
     )
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(_covered(F.array_sort(wins)))
+    return F.when(n < 4, F.lit(0).cast("long")).otherwise(_covered(F.sort_array(wins), w))
 
 
-def _with(value: Column, f) -> Column:
-    """Let-binding: evaluates ``value`` once for all its uses in ``f``."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
-def _covered(wins: Column) -> Column:
+def _covered(wins: Column, w: Column) -> Column:
     def hits(s: Column) -> Column:
         n = F.size(s)
-        key = lambda i: F.get(s, i)["g"]
-        at = F.filter(
-            F.transform(
-                F.sequence(F.lit(0), n - 1),
-                lambda i: F.when(
-                    ((i > 0) & (key(i) == key(i - 1))) | ((i + 1 < n) & (key(i) == key(i + 1))), F.get(s, i)["p"]
-                ),
-            ),
-            lambda p: p.isNotNull(),
-        )
-        return F.array_sort(at)
+
+        def same(i, j):
+            a, b = F.get(s, i), F.get(s, j)
+            words = [F.get(w, a["p"] + k) == F.get(w, b["p"] + k) for k in range(3)]
+            return (a["g"] == b["g"]) & words[0] & words[1] & words[2]
+
+        twice = lambda i: ((i > 0) & same(i, i - 1)) | ((i + 1 < n) & same(i, i + 1))
+        at = F.filter(F.sequence(F.lit(0), n - 1), twice)
+        return F.sort_array(F.transform(at, lambda i: F.get(s, i)["p"]))
 
     def length(p: Column) -> Column:
         n = F.size(p)
@@ -75,7 +65,7 @@ def _covered(wins: Column) -> Column:
             lambda acc, i: acc + F.when(i == n, F.lit(3)).otherwise(F.least(F.lit(3), F.get(p, i) - F.get(p, i - 1))).cast("long"),
         )
 
-    return _with(_with(wins, hits), lambda p: F.when(F.size(p) == 0, F.lit(0).cast("long")).otherwise(length(p)))
+    return let(let(wins, hits), lambda p: F.when(F.size(p) == 0, F.lit(0).cast("long")).otherwise(length(p)))
 
 
 def ledger(df: DataFrame, text_col: str = "text") -> DataFrame:
