@@ -49,11 +49,11 @@ def bind(value: Column, f) -> Column:
 
 def dedupe_first(xs: Column) -> Column:
     """Elements whose lower-case form did not appear before, first casing kept. Sorts, so long arrays cost n log n."""
-    by_form = F.array_sort(F.transform(xs, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
+    by_form = F.sort_array(F.transform(xs, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
 
     def first(s: Column) -> Column:
         kept = F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["low"] != x["low"]))
-        return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["x"].alias("x")))), lambda y: y["x"])
+        return F.transform(F.sort_array(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["x"].alias("x")))), lambda y: y["x"])
 
     return bind(by_form, first)
 

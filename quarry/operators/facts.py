@@ -223,7 +223,7 @@ def select_index(facts: DataFrame, budget: int = BUDGET, include_orphans: bool =
 def render_index(selected: DataFrame, header: str = HEADER) -> DataFrame:
     """(project, content): the included lines in index order, at most MAX_LINES a project."""
     place = F.struct(F.coalesce("index_seq", F.lit(1 << 40)).alias("i"), "leaf_path", "line")
-    lines = F.transform(F.array_sort(F.collect_list(place)), lambda x: x["line"])
+    lines = F.transform(F.sort_array(F.collect_list(place)), lambda x: x["line"])
     return selected.where("included").groupBy("project").agg(F.concat(F.lit(header), F.array_join(lines, "")).alias("content"))
 
 
@@ -282,7 +282,7 @@ def jaccard_pairs(df: DataFrame, id_col: str, terms: Column, pct: int = DUPLICAT
     d = df.select(F.col(id_col).alias("id"), F.array_distinct(terms).alias("ts")).where(F.size("ts") > 0)
     freq = d.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     order = d.select("id", F.explode("ts").alias("t")).join(freq, "t").groupBy("id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("ts")
+        F.transform(F.sort_array(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("ts")
     )
     keep = F.size("ts") - F.ceil(F.size("ts") * F.lit(pct) / 100.0).cast("int") + 1
     post = order.select("id", "ts", F.explode(F.slice("ts", F.lit(1), keep)).alias("t"))

@@ -28,7 +28,7 @@ def transcripts(spark, sf_dir):
     head = F.concat(F.lit('{"type":"'), kind, F.lit('","timestamp":"'), "ts", F.lit('","isMeta":'), (k == 5).cast("string"), F.lit(',"isSidechain":'), (F.col("seq") % 4 == 3).cast("string"))
     line = F.concat(head, F.lit(',"message":{"role":"'), "role", F.lit('","content":'), content, F.lit("}}\n"), F.when(F.col("seq") % 2 == 0, F.lit("\n")).otherwise(F.lit("{broken\n")))
     files = t.select("project", "session_id", F.struct("seq", line.alias("line")).alias("x")).groupBy("project", "session_id")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "")
     return files.agg(body.alias("b")).select(F.concat_ws("/", F.lit("/a"), "project", F.concat("session_id", F.lit(".jsonl"))).alias("path"), F.col("b").cast("binary").alias("content"))
 
 
