@@ -312,7 +312,7 @@ def _lengths(texts):
 # Sessions.
 
 
-@query(f"WITH {TURNS_SQL}, p AS (SELECT session_id, epoch_ms(replace(ts[1:19], 'T', ' ')::TIMESTAMP) AS ms FROM turns WHERE role = 'user' AND NOT starts_with(text, '↪') AND NOT starts_with(text, '<') AND NOT starts_with(text, 'This session is being continued')), g AS (SELECT session_id, CASE WHEN ms - lag(ms) OVER w <= 1800000 THEN ms - lag(ms) OVER w ELSE 120000 END AS x FROM p WINDOW w AS (PARTITION BY session_id ORDER BY ms)) SELECT session_id, count(*) AS n_stamps, sum(x)::BIGINT AS active_ms FROM g GROUP BY 1")
+@query(f"WITH {TURNS_SQL}, p AS (SELECT session_id, epoch_ms(replace(ts[1:19], 'T', ' ')::TIMESTAMP) AS ms FROM turns WHERE role = 'user' AND is_sidechain = 0 AND NOT starts_with(text, '↪') AND NOT starts_with(text, '<') AND NOT starts_with(text, 'This session is being continued')), g AS (SELECT session_id, CASE WHEN ms - lag(ms) OVER w <= 1800000 THEN ms - lag(ms) OVER w ELSE 120000 END AS x FROM p WINDOW w AS (PARTITION BY session_id ORDER BY ms)) SELECT session_id, count(*) AS n_stamps, sum(x)::BIGINT AS active_ms FROM g GROUP BY 1")
 def hours_of_prompts(spark, sf_dir):
     t = tables.turns(spark, sf_dir).where(sessions.timed_prompt())
     return hours.credited(t.withColumn("ms", hours.millis(F.col("ts"))), ["session_id"])
@@ -347,7 +347,7 @@ def _queue(spark, sf_dir):
     return t, s, q
 
 
-_Q = f"WITH {TURNS_SQL}, s AS (SELECT session_id, session_id::BIGINT AS c, max(seq) AS hi, max(ts) AS last_ts, count(*) AS n, bool_or(role = 'user') AS u FROM turns GROUP BY 1)"
+_Q = f"WITH {TURNS_SQL}, s AS (SELECT session_id, session_id::BIGINT AS c, max(seq) AS hi, max(ts) AS last_ts, count(*) AS n, bool_or(role = 'user' AND is_sidechain = 0) AS u FROM turns GROUP BY 1)"
 
 
 @query(f"{_Q} SELECT session_id, c AS enqueue_seq FROM s WHERE c % 5 = 0 UNION ALL SELECT session_id, (SELECT max(c) FROM s WHERE c % 5 = 0) + row_number() OVER (ORDER BY session_id) FROM s WHERE u AND c % 4 <> 0 AND c % 5 <> 0")

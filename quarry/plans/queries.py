@@ -296,10 +296,10 @@ def text_one_edit(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.within_one_edit(F.col("c_name"), F.lit("Customer#000000012")).alias("near"))
 
 
-@query("SELECT p_partkey, list_distinct(list_transform(range(1, greatest(length(p_name) - 1, 1)), lambda i: substr(p_name, i, 3))).len()::INT AS n, CASE WHEN length(p_type) > 10 THEN substr(p_type, 1, 10) || '…' ELSE p_type END AS capped, CASE WHEN length(p_type) > 10 THEN substr(p_type, 1, 9) || '…' ELSE p_type END AS hook FROM part")
+@query("SELECT p_partkey, least(24, list_distinct(list_transform(range(1, length(p_name || ' ' || p_type) - 1), lambda i: substr(p_name || ' ' || p_type, i, 3))).len())::INT AS n, CASE WHEN length(p_type) > 10 THEN substr(p_type, 1, 10) || '…' ELSE p_type END AS capped, CASE WHEN length(p_type) > 10 THEN substr(p_type, 1, 9) || '…' ELSE p_type END AS hook FROM part")
 def text_trigrams_caps(spark, sf_dir):
     p = F.col("p_name")
-    return table(spark, sf_dir, "part").select("p_partkey", F.size(T.trigrams(p, 1000)).alias("n"), T.cap(F.col("p_type"), 10).alias("capped"), T.hook_cap(F.col("p_type"), 10).alias("hook"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.size(T.trigrams(F.concat_ws(" ", p, "p_type"))).alias("n"), T.cap(F.col("p_type"), 10).alias("capped"), T.hook_cap(F.col("p_type"), 10).alias("hook"))
 
 
 @query("SELECT o_orderkey, CASE WHEN d < 1 THEN 'today' WHEN d < 7 THEN d || 'd' WHEN d < 30 THEN (d // 7) || 'w' WHEN d < 365 THEN (d // 30) || 'mo' ELSE (d // 365) || 'y' END AS age FROM (SELECT o_orderkey, greatest(0, date_diff('day', o_orderdate::DATE, DATE '1998-08-02')) AS d FROM orders)")
@@ -373,17 +373,20 @@ def redact_by_session(spark, sf_dir):
 # Dashboards.
 
 
-@query(f"WITH {TURNS_SQL} SELECT count(*) AS n_turns, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT project) AS n_projects, count(DISTINCT session_id) AS n_sessions FROM turns")
+@query(f"WITH {TURNS_SQL} SELECT count(*) AS n_turns, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT project) AS n_projects, count(DISTINCT session_id) AS n_sessions FROM turns WHERE is_meta = 0")
 def stats_overview(spark, sf_dir):
     return stats.overview(tables.turns(spark, sf_dir))
 
 
-@query("SELECT role, count(*) AS n_turns FROM conversations GROUP BY 1")
+@query(f"WITH {TURNS_SQL} SELECT role, count(*) AS n_turns FROM turns WHERE is_meta = 0 GROUP BY 1")
 def stats_roles(spark, sf_dir):
     return stats.by_role(tables.turns(spark, sf_dir))
 
 
-@query(f"WITH {TURNS_SQL} SELECT project, count(*) AS n_turns, count(DISTINCT session_id) AS n_sessions, min(cwd) AS cwd FROM turns GROUP BY 1")
+@query(
+    f"""WITH {TURNS_SQL}, r AS (SELECT * FROM turns WHERE is_meta = 0), d AS (SELECT project, cwd, row_number() OVER (PARTITION BY project ORDER BY count(*) DESC, length(cwd), cwd) AS k FROM r GROUP BY project, cwd)
+SELECT r.project, count(*) AS n_turns, count(DISTINCT session_id) AS n_sessions, any_value(d.cwd) AS cwd FROM r JOIN d ON d.project = r.project AND k = 1 GROUP BY 1"""
+)
 def stats_projects(spark, sf_dir):
     return stats.by_project(tables.turns(spark, sf_dir))
 
@@ -457,8 +460,8 @@ def hours_merged(spark, sf_dir):
 
 # Sessions.
 
-_TYPED = "role = 'user' AND NOT starts_with(text, '↪') AND NOT starts_with(text, '<') AND NOT starts_with(lower(text), '[request interrupted') AND NOT starts_with(lower(text), 'this session is being continued')"
-_REPLY = "role = 'assistant' AND NOT starts_with(text, '⚙')"
+_TYPED = "role = 'user' AND is_sidechain = 0 AND NOT starts_with(text, '↪') AND NOT starts_with(text, '<') AND NOT starts_with(lower(text), '[request interrupted') AND NOT starts_with(lower(text), 'this session is being continued')"
+_REPLY = "role = 'assistant' AND is_sidechain = 0 AND NOT starts_with(text, '⚙')"
 
 
 @query(
@@ -504,7 +507,7 @@ def sessions_card(spark, sf_dir):
 
 # Tags and related terms.
 
-_WORDS = f"w AS (SELECT session_id, seq, p, w[p] AS word FROM (SELECT session_id, seq, w, unnest(range(1, len(w) + 1)) AS p FROM (SELECT session_id, seq, regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._-]*') AS w FROM turns)))"
+_WORDS = "w AS (SELECT session_id, seq, p, w[p] AS word FROM (SELECT session_id, seq, w, unnest(range(1, len(w) + 1)) AS p FROM (SELECT session_id, seq, regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._-]*') AS w FROM turns WHERE is_meta = 0 AND is_sidechain = 0)))"
 
 
 @query(
@@ -512,7 +515,7 @@ _WORDS = f"w AS (SELECT session_id, seq, p, w[p] AS word FROM (SELECT session_id
 v AS (SELECT *, regexp_replace(x, '^[._-]+|[._-]+$', '', 'g') AS tr FROM p), q AS (SELECT session_id, lower(tr) AS value, sum(n) AS freq FROM v GROUP BY ALL),
 c AS (SELECT v.session_id, value, freq, f FROM v JOIN q ON v.session_id = q.session_id AND lower(tr) = value WHERE {_DISTINCTIVE} AND (regexp_matches(tr, '[0-9_.-]') OR (length(tr) >= 2 AND regexp_matches(tr, '[A-Z]') AND NOT regexp_matches(tr, '[a-z]')) OR length(tr) >= 6) AND regexp_matches(value, '[a-z]') AND NOT starts_with(value, 'redacted')),
 k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY freq DESC, f, value) - 1 AS rank FROM c),
-xe AS (SELECT session_id, lower(e) AS e, count(*) AS n FROM (SELECT session_id, unnest(regexp_extract_all(text, '\\.([A-Za-z0-9]+)', 1)) AS e FROM turns) WHERE lower(e) IN ({", ".join(f"'{e}'" for e in tags.EXTENSIONS)}) GROUP BY ALL),
+xe AS (SELECT session_id, lower(e) AS e, count(*) AS n FROM (SELECT session_id, unnest(regexp_extract_all(text, '\\.([A-Za-z0-9]+)', 1)) AS e FROM turns WHERE is_meta = 0 AND is_sidechain = 0) WHERE lower(e) IN ({", ".join(f"'{e}'" for e in tags.EXTENSIONS)}) GROUP BY ALL),
 ke AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, e) - 1 AS rank FROM xe)
 SELECT session_id, 'topic' AS ns, 'topic:' || value AS tag, min(rank)::INT AS rank FROM k WHERE rank < 10 GROUP BY ALL UNION ALL SELECT session_id, 'ext', 'ext:' || e, rank::INT FROM ke WHERE rank < 8"""
 )
@@ -520,6 +523,16 @@ def tags_derived(spark, sf_dir):
     return tags.derive(tables.turns(spark, sf_dir))
 
 
+@query(
+    f"""WITH {TURNS_SQL}, t AS (SELECT DISTINCT session_id, CASE seq % 3 WHEN 0 THEN 'bash' WHEN 1 THEN 'read' ELSE 'web_fetch' END AS v FROM turns WHERE is_meta = 0 AND is_sidechain = 0)
+SELECT session_id, 'tool:' || v AS tag, (row_number() OVER (PARTITION BY session_id ORDER BY v) - 1)::INT AS rank FROM t"""
+)
+def tags_tools(spark, sf_dir):
+    call = F.when(F.col("seq") % 3 == 0, F.lit("⚙ Bash {} ⚙ BASH")).when(F.col("seq") % 3 == 1, F.lit("⚙ Read {}")).otherwise(F.lit("x ⚙ Web_Fetch"))
+    d = tags.derive(tables.turns(spark, sf_dir).withColumn("text", call))
+    return d.where("ns = 'tool'").select("session_id", "tag", "rank")
+
+
 _ANCHOR = "licensed"
 
 
@@ -546,7 +559,7 @@ _ANCHOR2 = "erlich"
 @query(
     f"""WITH {TURNS_SQL}, tk AS (SELECT *, regexp_extract_all(lower(text), '[a-z0-9]+') AS k FROM turns),
 a AS (SELECT session_id, arg_min(ts, seq) AS ts FROM tk WHERE list_contains(k, '{_ANCHOR2}') GROUP BY 1 ORDER BY ts DESC, session_id LIMIT 300),
-t AS (SELECT DISTINCT session_id, lower(x) AS low FROM (SELECT session_id, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._-]*')) AS x FROM turns WHERE session_id IN (SELECT session_id FROM a)) WHERE {_DISTINCTIVE}),
+t AS (SELECT DISTINCT session_id, lower(x) AS low FROM (SELECT session_id, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._-]*')) AS x FROM turns WHERE is_meta = 0 AND is_sidechain = 0 AND session_id IN (SELECT session_id FROM a)) WHERE {_DISTINCTIVE}),
 f AS (SELECT * FROM t WHERE regexp_matches(low, '[a-z]') AND NOT (starts_with(low, '{_ANCHOR2}') OR starts_with('{_ANCHOR2}', low))),
 c AS (SELECT low, count(*) AS n_sessions, regexp_extract_all(low, '[a-z0-9]+') AS ts FROM f GROUP BY low HAVING count(*) >= 2 ORDER BY n_sessions DESC, low LIMIT 1500),
 u AS (SELECT turn_id, k, unnest(list_distinct(k)) AS h FROM tk),
@@ -657,7 +670,7 @@ def maint_merge_turns(spark, sf_dir):
 
 @query(
     """SELECT s.session_id, CASE WHEN NOT u THEN 'pruned' WHEN hi <= ck THEN 'unchanged' WHEN c % 5 = 0 THEN 'duplicate' ELSE 'queued' END AS state
-FROM (SELECT conv_id AS c, conv_id::VARCHAR AS session_id, bool_or(role = 'user') AS u, max(turn) AS hi, CASE WHEN conv_id % 4 = 0 THEN max(turn) ELSE -1 END AS ck FROM conversations GROUP BY conv_id) s"""
+FROM (SELECT conv_id AS c, conv_id::VARCHAR AS session_id, bool_or(role = 'user' AND turn % 5 <> 4) AS u, max(turn) AS hi, CASE WHEN conv_id % 4 = 0 THEN max(turn) ELSE -1 END AS ck FROM conversations GROUP BY conv_id) s"""
 )
 def maint_enqueue_gate(spark, sf_dir):
     t = tables.turns(spark, sf_dir)

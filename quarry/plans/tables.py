@@ -19,19 +19,20 @@ def workspace(spark: SparkSession, name: str) -> str:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as turns of eight projects, one session an hour and one turn a minute."""
+    """Conversations as turns of eight projects, one session an hour and one turn a minute; some are meta or a side chain, some in a subdirectory."""
     c = table(spark, sf_dir, "conversations")
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60)
     project = F.concat(F.lit("p"), (F.col("conv_id") % 8).cast("string"))
     return c.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), "role", "text", project.alias("project"),
-        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.lit(0).alias("is_meta"), F.lit(0).alias("is_sidechain"), F.concat(F.lit("/home/me/work/team/"), project).alias("cwd"),
+        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), (F.col("turn") % 7 == 6).cast("int").alias("is_meta"), (F.col("turn") % 5 == 4).cast("int").alias("is_sidechain"),
+        F.concat(F.lit("/home/me/work/team/"), project, F.when(F.col("turn") % 3 == 1, F.lit("/sub")).otherwise(F.lit(""))).alias("cwd"),
     )
 
 
 TURNS_SQL = """turns AS (SELECT conv_id * 1000 + turn AS turn_id, conv_id::VARCHAR AS session_id, turn AS seq, role, text, 'p' || (conv_id % 8) AS project,
-  strftime(make_timestamp((1704067200 + conv_id * 3600 + turn * 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts, 0 AS is_meta, 0 AS is_sidechain,
-  '/home/me/work/team/p' || (conv_id % 8) AS cwd FROM conversations)"""
+  strftime(make_timestamp((1704067200 + conv_id * 3600 + turn * 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts, (turn % 7 = 6)::INT AS is_meta, (turn % 5 = 4)::INT AS is_sidechain,
+  '/home/me/work/team/p' || (conv_id % 8) || CASE WHEN turn % 3 = 1 THEN '/sub' ELSE '' END AS cwd FROM conversations)"""
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
