@@ -38,19 +38,27 @@ def listing(sessions: DataFrame, tags: DataFrame | None = None, project: str | N
     d = d.orderBy(F.col("last_ts").desc_nulls_last(), "session_id")
     d = d.limit(limit) if limit >= 0 else d
     if tags is not None:
-        place = F.when(F.col("ns") == "tool", 0).when(F.col("ns") == "ext", 1).otherwise(2)
-        own = tags.join(d.select("session_id"), "session_id", "left_semi").groupBy("session_id").agg(
-            F.transform(F.sort_array(F.collect_list(F.struct(place.alias("p"), "rank", "tag"))), lambda x: x["tag"]).alias("tags")
-        )
-        d = d.join(own, "session_id", "left")
+        d = d.join(_in_order(tags.join(d.select("session_id"), "session_id", "left_semi")), "session_id", "left")
     return d
 
 
+def _in_order(tags: DataFrame) -> DataFrame:
+    """(session_id, tags): tools, extensions, topics, each by rank. A session has some thirty tags at most."""
+    place = F.when(F.col("ns") == "tool", 0).when(F.col("ns") == "ext", 1).otherwise(2)
+    return tags.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("p"), "rank", "tag"))), lambda x: x["tag"]).alias("tags"))
+
+
 def dump(turns: DataFrame, session_id: str, since: int = -1) -> DataFrame:
     """The turns of a session after ``since``, in order."""
     return turns.where((F.col("session_id") == session_id) & (F.col("seq") > since)).orderBy("seq").select("seq", "role", "text")
 
 
+def dump_header(turns: DataFrame, tags: DataFrame, session_id: str) -> DataFrame:
+    """(session_id, boundary, num_turns, tags) of a dump; no row for an unknown session."""
+    one = turns.where(F.col("session_id") == session_id).groupBy("session_id").agg(F.max("seq").alias("boundary"), F.count(F.lit(1)).alias("num_turns"))
+    return one.join(_in_order(tags.where(F.col("session_id") == session_id)), "session_id", "left")
+
+
 def boundary(turns: DataFrame) -> DataFrame:
     """Last sequence number per session."""
     return turns.groupBy("session_id").agg(F.max("seq").alias("boundary"))

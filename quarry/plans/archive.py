@@ -336,6 +336,16 @@ def sessions_with_tags(spark, sf_dir):
     return sessions.listing(sessions.rollup(t), own, limit=30).select("session_id", F.array_join("tags", ",").alias("tags"))
 
 
+@query(
+    f"""WITH {TURNS_SQL}, t AS (SELECT role, min(seq) AS f FROM turns WHERE session_id = '3' GROUP BY 1)
+SELECT '3' AS session_id, (SELECT max(seq) FROM turns WHERE session_id = '3') AS boundary, (SELECT count(*) FROM turns WHERE session_id = '3') AS num_turns, (SELECT array_to_string(list(role ORDER BY f, role), ',') FROM t) AS tags"""
+)
+def sessions_dump_header(spark, sf_dir):
+    t = tables.turns(spark, sf_dir)
+    own = t.groupBy("session_id", F.col("role").alias("tag")).agg(F.min("seq").alias("rank")).withColumn("ns", F.lit("topic"))
+    return sessions.dump_header(t, own, "3").select("session_id", "boundary", "num_turns", F.array_join("tags", ",").alias("tags"))
+
+
 # Queue and upkeep.
 
 
@@ -393,12 +403,12 @@ def queue_drop_and_mark(spark, sf_dir):
     return s.join(q.select("session_id", F.lit(True).alias("q")), "session_id", "left").select("session_id", "checkpointed_seq", F.coalesce("q", F.lit(False)).alias("queued"))
 
 
-@query(f"{_Q} SELECT 'dropped' AS state, count(*) FILTER (c % 5 = 0 AND session_id <> '20')::BIGINT AS left_over FROM s UNION ALL SELECT 'deferred', count(*) FILTER (c % 5 = 0)::BIGINT FROM s UNION ALL SELECT 'kept', count(*) FILTER (c % 5 = 0)::BIGINT FROM s")
+@query(f"{_Q} SELECT 'dropped' AS state, count(*) FILTER (c % 5 = 0 AND session_id <> '0')::BIGINT AS left_over FROM s UNION ALL SELECT 'deferred', count(*) FILTER (c % 5 = 0)::BIGINT FROM s UNION ALL SELECT 'kept', count(*) FILTER (c % 5 = 0)::BIGINT FROM s")
 def queue_distill_finish(spark, sf_dir):
     t, s, q = _queue(spark, sf_dir)
     s = s.withColumn("skipped_lines", F.lit(0))
-    last = t.where("session_id = '20'").agg(F.max("seq")).first()[0]
-    done = [maint.distill_finish(q, s, t, "20", last), maint.distill_finish(q, s, t, "20", last + 1), maint.distill_finish(q, s, t, "20", last - 1)]
+    last = t.where("session_id = '0'").agg(F.max("seq")).first()[0]
+    done = [maint.distill_finish(q, s, t, "0", last), maint.distill_finish(q, s, t, "0", last + 1), maint.distill_finish(q, s, t, "0", last - 1)]
     out = [d[1].agg(F.count(F.lit(1)).alias("left_over")).select(F.lit(d[0]).alias("state"), "left_over") for d in done]
     return out[0].union(out[1]).union(out[2])
 
