@@ -403,12 +403,12 @@ def queue_drop_and_mark(spark, sf_dir):
     return s.join(q.select("session_id", F.lit(True).alias("q")), "session_id", "left").select("session_id", "checkpointed_seq", F.coalesce("q", F.lit(False)).alias("queued"))
 
 
-@query(f"{_Q} SELECT 'dropped' AS state, count(*) FILTER (c % 5 = 0 AND session_id <> '0')::BIGINT AS left_over FROM s UNION ALL SELECT 'deferred', count(*) FILTER (c % 5 = 0)::BIGINT FROM s UNION ALL SELECT 'kept', count(*) FILTER (c % 5 = 0)::BIGINT FROM s")
+@query(f"{_Q} SELECT 'dropped' AS state, count(*) FILTER (c % 5 = 0 AND session_id <> '5')::BIGINT AS left_over FROM s UNION ALL SELECT 'deferred', count(*) FILTER (c % 5 = 0)::BIGINT FROM s UNION ALL SELECT 'kept', count(*) FILTER (c % 5 = 0)::BIGINT FROM s")
 def queue_distill_finish(spark, sf_dir):
     t, s, q = _queue(spark, sf_dir)
     s = s.withColumn("skipped_lines", F.lit(0))
-    last = t.where("session_id = '0'").agg(F.max("seq")).first()[0]
-    done = [maint.distill_finish(q, s, t, "0", last), maint.distill_finish(q, s, t, "0", last + 1), maint.distill_finish(q, s, t, "0", last - 1)]
+    last = t.where("session_id = '5'").agg(F.max("seq")).first()[0]
+    done = [maint.distill_finish(q, s, t, "5", last), maint.distill_finish(q, s, t, "5", last + 1), maint.distill_finish(q, s, t, "5", last - 1)]
     out = [d[1].agg(F.count(F.lit(1)).alias("left_over")).select(F.lit(d[0]).alias("state"), "left_over") for d in done]
     return out[0].union(out[1]).union(out[2])
 
