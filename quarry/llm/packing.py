@@ -19,6 +19,7 @@ apart by a row key, and null ids are carried. An empty table gives no piece. Ext
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 WINDOW = 2048
 END_ID = 1
@@ -37,8 +38,8 @@ BUCKETS = 64
 TRIPLE_LENGTHS, FOUR_LENGTHS = 96, 20
 DEEP = 8
 SWEEPS = 60
-#: Entries of a worker's word memory; later words are encoded anew each time.
-MEMORY = 500_000
+#: Entries of a worker's memory of words and parts of words; later ones are encoded anew each time.
+MEMORY = 400_000
 
 #: Printable ASCII but the apostrophe, and Latin letters that are single code points in NFC.
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
@@ -67,22 +68,25 @@ class WordEncoder:
         self.model = self.whole.model
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
 
     def _part(self, p: str) -> bytes:
-        got = self.parts.get(p)
+        got = self.words.get(p)  # a part by itself is a word with the same ids
         if got is None:
             s = p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode()))
-            got = np.array([t.id for t in self.model.tokenize(s)], "<u2").tobytes()
-            if len(self.parts) < MEMORY:
-                self.parts[p] = got
+            got = struct.pack(f"<{len(ids)}H", *ids) if (ids := [t.id for t in self.model.tokenize(s)]) else b""
+            if len(self.words) < MEMORY and len(p) < 64:
+                self.words[p] = got
         return got
 
     def _word(self, w: str) -> bytes:
         if _PLAIN.fullmatch(w) and "<|" not in w:
-            got = b"".join(map(self._part, _PARTS.findall(w.lower())))
+            parts = _PARTS.findall(w.lower())
+            got = b"".join(map(self._part, parts))
+            if len(parts) == 1 and parts[0] == w:
+                return got
         else:
-            got = np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u2").tobytes()
+            ids = self.whole.encode(w, add_special_tokens=False).ids
+            got = struct.pack(f"<{len(ids)}H", *ids)
         if len(self.words) < MEMORY and len(w) < 64:
             self.words[w] = got
         return got
@@ -142,7 +146,7 @@ def tokenise(df: DataFrame, vocabulary: str, id_col: str, text_col: str) -> Data
                 )
 
     src = df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    return src.mapInArrow(go, f"id {kind}, row long, n long, seq0 long, crcs array<long>, rem int, rem_crc long, ids binary")
+    return src.mapInArrow(tidy(go), f"id {kind}, row long, n long, seq0 long, crcs array<long>, rem int, rem_crc long, ids binary")
 
 
 def nnls(columns: list[tuple[int, ...]], target: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
