@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +69,21 @@ def folded(items: Column, zero: Column, total, merge, step) -> Column:
     return let(items, lambda xs: let(chunked(xs), over))
 
 
+def tidy(go):
+    """``go``, a function of batches for ``mapInArrow``; a Python worker outlives its task, so what the task freed is given back at its end."""
+
+    @functools.wraps(go)
+    def run(batches):
+        try:
+            yield from go(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 class Scratch:
     """Tables in the folder that spark.checkpoint.dir names, which driver and executors share.
 
@@ -157,14 +175,16 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
         both = e.select("u", "v", F.lit(0).alias("above")).union(e.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(1).alias("above")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.sum("above").alias("n")).where("n > 0").select("u", F.least("u", "m").alias("m"), "n")
         up = e.select(F.col("v").alias("u"), F.col("u").alias("w"))  # neighbours w above u
-        large = many_to_one(up, scratch.cut(low, "low"), "u", "n", total).select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = scratch.cut(low, "low")
+        large = many_to_one(up, low, "u", "n", total).select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.cut(large, "large")
+        scratch.drop(low)
         # Small star: u and its lower neighbours go to the smallest of them.
         low = scratch.cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "low")
         pulled = many_to_one(large, low.where("n > 1"), "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         nxt = scratch.cut(low.select("u", F.col("m").alias("v")).union(pulled).distinct(), "star")
-        scratch.drop(e)
-        scratch.drop(large)
+        for done in (e, large, low):
+            scratch.drop(done)
         e = nxt
         # Done when each child has one root and no root is a child.
         if e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():

@@ -108,6 +108,15 @@ def passes(policy: str = "v1") -> Column:
     return F.col("failed").bitwiseAND(F.lit(mask(POLICIES[policy])).cast("long")) == 0
 
 
+def sole_rule(policy: str = "v1") -> Column:
+    """The rule of a policy that alone rejects a document, which would stay without it; null where none or several do."""
+    bits = F.col("failed").bitwiseAND(F.lit(mask(POLICIES[policy])).cast("long"))
+    out = F.lit(None).cast("string")
+    for r in POLICIES[policy]:
+        out = F.when(bits == 1 << RULES.index(r), F.lit(r)).otherwise(out)
+    return out
+
+
 def ablation(led: DataFrame, policy: str = "v1") -> DataFrame:
     """Per rule of a policy: documents that fail it, and those that only it rejects.
 

@@ -37,6 +37,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "failed",
         (~quality_rules.passes("base")).alias("base_failed"),
         quality_rules.passes("v1").alias("kept"),
+        quality_rules.sole_rule("v1").alias("sole_rule"),
     )
 
 
@@ -114,7 +115,8 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
         + CASE WHEN 100 * n_symbols > 30 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
         + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 16 ELSE 0 END
         + CASE WHEN 100 * n_upper > 50 * n_letters THEN 32 ELSE 0 END)::BIGINT AS failed FROM m)
-SELECT *, (failed & 3) <> 0 AS base_failed, (failed & 63) = 0 AS kept FROM b
+SELECT *, (failed & 3) <> 0 AS base_failed, (failed & 63) = 0 AS kept,
+  CASE failed & 63 WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines' WHEN 16 THEN 'word_length' WHEN 32 THEN 'capitals' END AS sole_rule FROM b
 """
 
 

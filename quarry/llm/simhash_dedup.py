@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, components, hot_keys, many_to_one
+from .common import Scratch, blocks, components, hot_keys, many_to_one, tidy
 
 RADIUS = 4
 #: Buckets up to this many distinct fingerprints are compared inside their task.
@@ -190,7 +190,7 @@ def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     keyed = distinct.select(F.explode(halves).alias("key"), "fp")
     crowded = F.broadcast(scratch.cut(hot_keys(keyed, "key", "fp"), "crowded"))  # SHARE keys at most
     found = scratch.cut(
-        keyed.join(crowded, "key", "left_anti").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_runs(RADIUS), "a long, b long, key long"), "links"
+        keyed.join(crowded, "key", "left_anti").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidy(_runs(RADIUS)), "a long, b long, key long"), "links"
     )
     edges = found.where("b is not null").select("a", "b")
     hot = keyed.join(crowded, "key").select("fp").union(found.where("b is null").select(F.col("a").alias("fp"))).distinct()
@@ -307,7 +307,7 @@ def _similar(df: DataFrame, id_col: str, text_col: str, width: int, similarity:
     scratch = Scratch(df.sparkSession, "similar")
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    rows = scratch.cut(docs.mapInArrow(_sketch(width, False), f"id {kind}, t long, h binary, keys array<bigint>"), "sketches")
+    rows = scratch.cut(docs.mapInArrow(tidy(_sketch(width, False)), f"id {kind}, t long, h binary, keys array<bigint>"), "sketches")
     one = rows.groupBy("h").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows"))
     # The class number is the place in a written table, so it stays the same for all that read it.
     one = scratch.cut(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -318,9 +318,9 @@ def _similar(df: DataFrame, id_col: str, text_col: str, width: int, similarity:
     need = members.select("cid").distinct().join(one.select("cid", "h", "first"), "cid")
     # A repeated id may bring other texts along; a set that is not of hash h is left out again.
     texts = docs.join(need.withColumnRenamed("first", "id"), "id").select("cid", "h", "text")
-    sets = scratch.cut(texts.mapInArrow(_sketch(width, True), "cid long, sh binary"), "sets")
+    sets = scratch.cut(texts.mapInArrow(tidy(_sketch(width, True)), "cid long, sh binary"), "sets")
     fed = blocks(members, ["key"], "n", "cid", BLOCK).join(sets, "cid").select("key", "i", "j", "cid", "blk", "sh")
-    edges = fed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cid").mapInArrow(_alike(similarity), "a long, b long")
+    edges = fed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cid").mapInArrow(tidy(_alike(similarity)), "a long, b long")
     comp = components(scratch.cut(edges, "edges"), scratch)
     placed = one.join(comp, one["cid"] == comp["node"], "left").select("h", "first", "rows", F.coalesce("root", "cid").alias("root"))
     placed = scratch.cut(placed, "placed")
