@@ -17,6 +17,9 @@ from quarry.functions import text as T
 from quarry.operators import search
 
 BUCKETS, SPREAD = 64, 4
+# Known schemas, so that a look-up reads no file to learn them.
+POSTINGS = "rid long, dl long, term string, tf long, positions array<int>, bucket int"
+STATS = "n long, avg_dl double, buckets int"
 
 
 def postings(df: DataFrame, id_cols: Sequence[str], tokenizer: Callable[[Column], Column] = T.index_tokens) -> DataFrame:
@@ -45,15 +48,24 @@ def build(df: DataFrame, folder: str, tokenizer: Callable[[Column], Column] = T.
     lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"), F.lit(buckets).alias("buckets")).write.mode(mode).parquet(f"{folder}/stats")
 
 
-def _occurrences(spark: SparkSession, folder: str, phrase: Sequence[str], buckets: int) -> DataFrame:
-    """(rid, dl, tf) of the rows that hold a phrase; a phrase of several words is met by positions."""
-    words = list(dict.fromkeys(phrase))
-    where = spark.range(1).select(*[bucket_of(F.lit(w), buckets) for w in words]).first()
-    p = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(sorted(set(where))) & F.col("term").isin(words))
+def _phrases(spark: SparkSession, terms: Sequence[str], tokenizer: Callable[[Column], Column]) -> list[list[tuple[str, int]]]:
+    """Each term as (token, hash) in one job; a term without any token is an empty list."""
+    if not terms:
+        return []
+    one = lambda x: F.struct(x.alias("t"), F.xxhash64(x).alias("h"))
+    row = spark.range(1).select(*[F.transform(tokenizer(F.lit(t)), one).alias(f"t{i}") for i, t in enumerate(terms)]).first()
+    return [[(x.t, x.h) for x in xs] for xs in row]
+
+
+def _occurrences(spark: SparkSession, folder: str, phrase: Sequence[tuple[str, int]], buckets: int) -> DataFrame:
+    """(rid, dl, tf) of the rows that hold a phrase of (token, hash); a phrase of several words is met by positions."""
+    words = sorted({t for t, _ in phrase})
+    where = sorted({h % buckets for _, h in phrase})
+    p = spark.read.schema(POSTINGS).parquet(f"{folder}/postings").where(F.col("bucket").isin(where) & F.col("term").isin(words))
     if len(phrase) == 1:
         return p.select("rid", "dl", "tf")
     back = lambda k: F.transform("positions", lambda x: x - k)
-    starts = [p.where(F.col("term") == w).select("rid", "dl", back(k).alias(f"s{k}")) for k, w in enumerate(phrase)]
+    starts = [p.where(F.col("term") == w).select("rid", "dl", back(k).alias(f"s{k}")) for k, (w, _) in enumerate(phrase)]
     met = reduce(lambda a, b: a.join(b.drop("dl"), "rid"), starts)
     both = reduce(F.array_intersect, [F.col(f"s{k}") for k in range(len(phrase))])
     return met.select("rid", "dl", F.size(both).cast("long").alias("tf")).where("tf > 0")
@@ -63,9 +75,9 @@ def match_scores(
     spark: SparkSession, folder: str, terms: Sequence[str], any_of: bool = False, exclude: Sequence[str] = (), tokenizer: Callable[[Column], Column] = T.index_tokens
 ) -> DataFrame:
     """(rid, score) of matching rows, as ``search.match_scores`` gives over a scan."""
-    st = spark.read.parquet(f"{folder}/stats").first()
-    empty = spark.range(1)
-    want, unwanted = search.phrases_of(empty, terms, tokenizer), search.phrases_of(empty, exclude, tokenizer)
+    st = spark.read.schema(STATS).parquet(f"{folder}/stats").first()
+    asked = _phrases(spark, [*terms, *exclude], tokenizer)
+    want, unwanted = [p for p in asked[: len(terms)] if p], [p for p in asked[len(terms) :] if p]
     if not want:
         raise ValueError("no search terms")
     found = [_occurrences(spark, folder, p, st.buckets).withColumn("k", F.lit(k)) for k, p in enumerate(want)]
