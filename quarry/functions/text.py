@@ -77,9 +77,14 @@ def is_anchor(t: Column) -> Column:
     return is_identifier(t) | (F.length(t) >= 6)
 
 
+def distinctive_words(text: Column) -> Column:
+    """Distinctive terms as they come, repeats included."""
+    return F.filter(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9][A-Za-z0-9._-]*"), 0), is_distinctive)
+
+
 def extract_terms(text: Column) -> Column:
     """Distinctive terms in order of first appearance, one per lower-case form, first casing kept."""
-    return dedupe_first(F.filter(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9][A-Za-z0-9._-]*"), 0), is_distinctive))
+    return dedupe_first(distinctive_words(text))
 
 
 def turn_tokens(lowered: Column) -> Column:

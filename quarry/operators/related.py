@@ -29,11 +29,11 @@ def session_terms(turns: DataFrame, sessions: DataFrame, anchor: str) -> DataFra
     """(session_id, low, term): distinctive terms of the sessions, with a letter, none matching a term of the anchor."""
     d = turns.where(F.coalesce(F.col("is_meta"), F.lit(0)) == 0).where(F.coalesce(F.col("is_sidechain"), F.lit(0)) == 0)
     d = d.join(sessions.select("session_id"), "session_id", "left_semi")
-    t = d.select("session_id", "seq", F.explode(T.extract_terms(F.coalesce("text", F.lit("")))).alias("term")).withColumn("low", F.lower("term"))
+    t = d.select("session_id", "seq", F.posexplode(T.distinctive_words(F.coalesce("text", F.lit("")))).alias("pos", "term")).withColumn("low", F.lower("term"))
     out = t.where(F.col("low").rlike("[a-z]"))
     for a in {anchor.lower(), *(p for p in anchor.lower().split() if p)}:
         out = out.where(~T.token_matches(F.col("low"), F.lit(a)))
-    return out.groupBy("session_id", "low").agg(F.min_by("term", "seq").alias("term"))
+    return out.groupBy("session_id", "low").agg(F.min_by("term", F.struct("seq", "pos")).alias("term"))
 
 
 def terms(turns: DataFrame, anchor: str, limit: int = 20, project: str | None = None, tokenizer=T.index_tokens) -> DataFrame:
