@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_quotes, line_dedup, packing, pii, pu_classifier, quality_rules, simhash_dedup, sp_wfst, url_templates, vector_dedup
-from .common import ship
+from . import chat_quotes, collocations, hard_negatives, line_dedup, packing, pii, pu_classifier, quality_rules, simhash_dedup, sp_wfst, url_templates, vector_dedup, wavelet
+from .common import Scratch, ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,29 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), labels)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
+    e = e.where(F.col("embedding").isNotNull() & F.forall("embedding", finite))
+    e = e.select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("vector"),
+    )
+    return hard_negatives.mine(e, F.col("vec_id") % 100 == 0)
+
+
+def op13_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = Scratch(spark, "token-files").base
+    shards = wavelet.write(docs, folder, vocabulary("word_bpe_49k.json"))
+    return wavelet.documents(shards, folder)
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
@@ -93,6 +116,9 @@ QUERIES = {
     "op8_wfst": op8_wfst,
     "op9_pu_quality": op9_pu_quality,
     "op10_url_templates": op10_url_templates,
+    "op11_collocations": op11_collocations,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_wavelet": op13_wavelet,
 }
 
 SQL = {}
@@ -182,3 +208,32 @@ SELECT w.conv_id, w.turn, w.role, body, nq AS n_quoted_lines, ml AS max_level, p
   row_number() OVER (PARTITION BY w.conv_id ORDER BY coalesce(top, w.turn), w.turn, body) - 1 AS position, '<|' || coalesce(w.role, 'user') || '|>' || chr(10) || body || chr(10) AS chat
 FROM w LEFT JOIN e ON w.conv_id = e.conv_id AND w.turn = e.turn LEFT JOIN d ON w.conv_id = d.conv_id AND w.turn = d.turn
 """
+
+SQL["op11_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS rid, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+x AS (SELECT lang, phrase, k, f AS a, w, unnest(range(1, k)) AS cut FROM c),
+y AS (SELECT x.*, fl.f AS l, fr.f AS r, ((2000000::HUGEINT * a) // (fl.f + fr.f)::HUGEINT)::BIGINT AS score FROM x
+  JOIN f fl ON fl.lang = x.lang AND fl.phrase = array_to_string(x.w[1:x.cut], ' ') JOIN f fr ON fr.lang = x.lang AND fr.phrase = array_to_string(x.w[x.cut + 1:], ' ')),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+s AS (SELECT lang, f, k, w, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))))) AS phrase FROM c WHERE k > 2),
+o AS (SELECT lang, phrase, max(f) AS longer FROM s GROUP BY ALL),
+q AS (SELECT z.* FROM z LEFT JOIN o ON o.lang = z.lang AND o.phrase = z.phrase WHERE o.longer IS NULL OR 100::HUGEINT * o.longer < 80::HUGEINT * z.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM q)
+SELECT r.lang, rank, phrase, a, l, r.r, n, score, k::INT AS words, cut::INT AS cut FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+"""
+
+SQL["op12_hard_negatives"] = r"""
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor, b.id AS other, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor, other AS positive, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5),
+n AS (SELECT p.anchor, p.positive, p.score AS ps, s.other, s.score AS ns, row_number() OVER (PARTITION BY p.anchor, p.positive ORDER BY s.score DESC, s.other) AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor AS anchor_id, positive AS positive_id, rank::INT AS rank, other AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 5
+"""
