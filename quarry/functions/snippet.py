@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry.functions.porter import stem
+from quarry.session import ship
 
 _TOKEN = re.compile(r"[^\W_]+")
 OPEN, CLOSE, MORE = "«", "»", "…"
@@ -54,4 +55,5 @@ def snippet(text: Column, phrases: list[list[str]], size: int = 12, stemmed: boo
         for s in parts:
             yield s.map(lambda t: None if t is None else snippet_of(t, phrases, size, stemmed))
 
+    ship()
     return cut(text)

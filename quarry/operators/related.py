@@ -20,6 +20,8 @@ def anchor_sessions(turns: DataFrame, anchor: str, project: str | None = None, t
     if not phrases:
         d = d.where(F.lit(False))
     else:
+        if tokenizer is T.index_tokens:
+            phrases, tokenizer = search.words_of(d, phrases), T.tokens
         d = d.where(search.phrase_count(tokenizer(F.coalesce("text", F.lit(""))), phrases[0]) > 0)
     first = d.groupBy("session_id").agg(F.min("seq").alias("seq"), F.min_by("ts", "seq").alias("ts"))
     return first.orderBy(F.col("ts").desc_nulls_last(), "session_id").limit(MAX_SESSIONS)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.functions import porter
 from quarry.functions import text as T
 from quarry.functions.snippet import snippet
 
@@ -24,11 +25,18 @@ FOLD_WINDOW = 4
 RELAXED_LIMIT, TRIGRAMS = 50, 24
 
 
-def phrase_count(tokens: Column, phrase: Sequence[str]) -> Column:
-    """Occurrences of consecutive tokens; the token array is evaluated once."""
+def phrase_count(tokens: Column, phrase: Sequence[str | tuple[str, ...]]) -> Column:
+    """Occurrences of consecutive tokens, each a word or one of several; the token array is evaluated once."""
     if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
+        return F.size(F.filter(tokens, lambda t: _is(t, phrase[0])))
     k = len(phrase)
+    if not all(isinstance(p, str) for p in phrase):
+
+        def any_of(ts: Column) -> Column:
+            at = F.sequence(F.lit(0), F.greatest(F.size(ts) - 1, F.lit(0)))
+            return F.size(F.filter(at, lambda i: reduce(lambda a, b: a & b, [F.coalesce(_is(F.get(ts, i + j), p), F.lit(False)) for j, p in enumerate(phrase)])))
+
+        return T.bind(tokens, any_of)
     want = F.array(*[F.lit(p) for p in phrase])
 
     def count(ts: Column) -> Column:
@@ -38,6 +46,28 @@ def phrase_count(tokens: Column, phrase: Sequence[str]) -> Column:
     return T.bind(tokens, count)
 
 
+def _is(token: Column, word: str | tuple[str, ...]) -> Column:
+    return token == word if isinstance(word, str) else token.isin(list(word)) if word else F.lit(False)
+
+
+def words_of(df: DataFrame, phrases: list[list[str]], text_cols: Sequence[str] = ("text",)) -> list[list[tuple[str, ...]]]:
+    """Phrases of stems as phrases of the words that ``df`` has of each stem.
+
+    A word and its stem agree but for the stem's last two characters, so only words that begin that way are sought, and
+    each distinct one is stemmed once; whole texts never leave the JVM.
+    """
+    stems = sorted({t for p in phrases for t in p})
+    heads = sorted({t[: max(1, len(t) - 2)] for t in stems})
+    begins = lambda w: reduce(lambda a, b: a | b, [w.startswith(h) for h in heads])
+    near = F.array_distinct(F.concat(*[F.filter(T.tokens(F.coalesce(F.col(c), F.lit(""))), begins) for c in text_cols]))
+    words = df.select(F.explode(near).alias("w")).distinct()
+    found = words.groupBy(F.spark_partition_id()).agg(F.collect_list("w").alias("ws")).select(F.explode(F.arrays_zip(porter.stems(F.col("ws")).alias("s"), F.col("ws").alias("w"))).alias("x"))
+    of: dict[str, list[str]] = {}
+    for r in found.select("x.s", "x.w").where(F.col("s").isin(stems)).collect():
+        of.setdefault(r["s"], []).append(r["w"])
+    return [[tuple(sorted(of.get(t, ()))) for t in p] for p in phrases]
+
+
 def phrases_of(df: DataFrame, terms: Sequence[str], tokenizer: Callable[[Column], Column]) -> list[list[str]]:
     """Each term as the tokens the index would have; a term without any is left out."""
     if not terms:
@@ -92,6 +122,9 @@ def match_scores(
     want, unwanted = phrases_of(df, terms, tokenizer), phrases_of(df, exclude, tokenizer)
     if not want:
         return df.where(F.lit(False)).withColumn("score", F.lit(0.0))
+    if tokenizer is T.index_tokens:  # the words of the stems, counted unstemmed
+        both = words_of(df, [*want, *unwanted], text_cols)
+        want, unwanted, tokenizer = both[: len(want)], both[len(want) :], T.tokens
     c = counted(df, want, tokenizer, text_cols)
     stats = statistics(c, len(want))
     hit = [F.get("_tf", F.lit(i)) > 0 for i in range(len(want))]
@@ -211,6 +244,8 @@ def raw_scores(df: DataFrame, query: str, tokenizer: Callable[[Column], Column]
     toks = phrases_of(df, [t for t, _ in q.phrases], tokenizer)
     if len(toks) < len(q.phrases):
         raise ValueError("a phrase of the query has no word")
+    if tokenizer is T.index_tokens and not any(prefix for _, prefix in q.phrases) and not q.near:
+        toks, tokenizer = words_of(df, toks), T.tokens
     ts = tokenizer(F.coalesce(F.col("text"), F.lit("")))
 
     def count(x: Column) -> Column:

@@ -22,11 +22,13 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DOCS_SQL = "docs AS (SELECT source AS session_id, doc_id AS seq, text FROM documents)"
 
 
-def _bm25_sql(source: str, with_sql: str, phrases: list[list[str]], cols: str, cond: str, unwanted: list[list[str]] = (), text: str = "text") -> str:
+def _bm25_sql(source: str, with_sql: str, phrases: list[list[str]], cols: str, cond: str, unwanted: list[list[str]] = (), text: str = "text", single: bool = False) -> str:
     """``scored``: rows of ``source`` with tf0.. per phrase and the BM25 score over the whole table."""
     every = [*phrases, *unwanted]
     lit = lambda p: "[" + ", ".join(f"'{w}'" for w in p) + "]"
     tf = ", ".join(f"len(list_filter(range(1, len(k) - {len(p) - 2}), lambda i: k[i:i+{len(p) - 1}] = {lit(p)})) AS tf{i}" for i, p in enumerate(every))
+    if single:  # words alone: counted without slices
+        tf = ", ".join(f"len(list_filter(k, lambda x: x = '{p[0]}')) AS tf{i}" for i, p in enumerate(every))
     n_with = ", ".join(f"count(*) FILTER (tf{i} > 0) AS m{i}" for i in range(len(phrases)))
     idf = lambda i: f"CASE WHEN ln((n - m{i} + 0.5) / (m{i} + 0.5)) > 0 THEN ln((n - m{i} + 0.5) / (m{i} + 0.5)) ELSE 1e-6 END"
     score = " + ".join(f"({idf(i)}) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / a))" for i in range(len(phrases)))
@@ -165,7 +167,7 @@ _BUILT: dict[tuple, str] = {}
 
 
 def _index(spark, sf_dir):
-    """The folder of an index of the documents, built once a session."""
+    """The folder of an index of the documents, built once a session: the first query that asks pays for it, the others look up."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
         folder = workspace(spark, "index")
@@ -178,7 +180,7 @@ def _index(spark, sf_dir):
 def search_indexed(spark, sf_dir):
     folder = _index(spark, sf_dir)
     s = index.match_scores(spark, folder, ["licensed", "password", "the"], any_of=True, tokenizer=T.ascii_tokens)
-    return spark.read.parquet(f"{folder}/rows").select("rid", "session_id", "seq").join(s, "rid").select("session_id", "seq", _score())
+    return index.rows(spark, folder).select("rid", "session_id", "seq").join(s, "rid").select("session_id", "seq", _score())
 
 
 @query(
@@ -197,7 +199,120 @@ def search_indexed_top(spark, sf_dir):
 def search_indexed_phrase(spark, sf_dir):
     folder = _index(spark, sf_dir)
     s = index.match_scores(spark, folder, ["of-the", "with"], exclude=["from"], tokenizer=T.ascii_tokens)
-    return spark.read.parquet(f"{folder}/rows").select("rid", "session_id", "seq").join(s, "rid").select("session_id", "seq", _score())
+    return index.rows(spark, folder).select("rid", "session_id", "seq").join(s, "rid").select("session_id", "seq", _score())
+
+
+def _changed_index(spark, sf_dir):
+    """The folder of an index that has gone through every change, a version each: built (1), appended to (2), forgotten from (3), masked (4), compacted (5)."""
+    key = (spark.sparkContext.applicationId, sf_dir, "changed")
+    if key not in _BUILT:
+        folder, d = workspace(spark, "index"), docs(spark, sf_dir)
+        old = F.length("session_id") < 5
+        index.build(d.where(old), folder, T.ascii_tokens)
+        index.append(d.where(~old), folder, T.ascii_tokens)
+        index.forget(spark, folder, F.col("text").contains("password"), T.ascii_tokens)
+        index.replace(spark, folder, F.col("text").contains("licensed"), F.replace(F.col("text"), F.lit("licensed"), F.lit("[MASKED] grant")), T.ascii_tokens)
+        index.compact(spark, folder)
+        _BUILT[key] = folder
+    return _BUILT[key]
+
+
+def _at_version(spark, sf_dir, version, terms):
+    folder = _changed_index(spark, sf_dir)
+    s = index.match_scores(spark, folder, terms, any_of=True, tokenizer=T.ascii_tokens, version=version)
+    return index.rows(spark, folder, version).select("rid", "session_id", "seq").join(s, "rid").select("session_id", "seq", _score())
+
+
+_AFTER = " SELECT session_id, seq, round(score, 6) AS score FROM scored"
+_LEFT_SQL = "docs AS (SELECT source AS session_id, doc_id AS seq, text FROM documents WHERE NOT contains(text, 'password'))"
+_MASKED_SQL = "docs AS (SELECT source AS session_id, doc_id AS seq, replace(text, 'licensed', '[MASKED] grant') AS text FROM documents WHERE NOT contains(text, 'password'))"
+
+
+@query(_bm25_sql("docs", _DOCS_SQL, [["licensed"], ["password"], ["the"]], "session_id, seq", "tf0 + tf1 + tf2 > 0", single=True) + _AFTER)
+def index_appended(spark, sf_dir):
+    """A second segment: the look-up equals a scan of both."""
+    return _at_version(spark, sf_dir, 2, ["licensed", "password", "the"])
+
+
+@query(_bm25_sql("docs", _LEFT_SQL, [["licensed"], ["password"], ["and"]], "session_id, seq", "tf0 + tf1 + tf2 > 0", single=True) + _AFTER)
+def index_forgotten(spark, sf_dir):
+    """Rows taken out count nowhere any more."""
+    return _at_version(spark, sf_dir, 3, ["licensed", "password", "and"])
+
+
+@query(_bm25_sql("docs", _MASKED_SQL, [["licensed"], ["masked"], ["grant"], ["with"]], "session_id, seq", "tf0 + tf1 + tf2 + tf3 > 0", single=True) + _AFTER)
+def index_remasked(spark, sf_dir):
+    """Rows with another text, in one commit."""
+    return _at_version(spark, sf_dir, 4, ["licensed", "masked", "grant", "with"])
+
+
+@query(SQL["index_remasked"])
+def index_compacted(spark, sf_dir):
+    """One segment again, with the same answers."""
+    return _at_version(spark, sf_dir, 5, ["licensed", "masked", "grant", "with"])
+
+
+@query(
+    _bm25_sql("docs", _DOCS_SQL, [["the"], ["licensed"]], "session_id, seq", "tf0 + tf1 > 0", single=True)
+    + " SELECT session_id, seq, round(score, 6) AS score FROM scored ORDER BY scored.score, session_id, seq LIMIT 25"
+)
+def index_top(spark, sf_dir):
+    """The best rows of a frequent and a rare word, from the blocks that can hold one."""
+    top, _ = index.top(spark, _index(spark, sf_dir), ["the", "licensed"], 25, id_cols=("session_id", "seq"), tokenizer=T.ascii_tokens)
+    return top.select("session_id", "seq", _score())
+
+
+@query(
+    _bm25_sql("docs", _DOCS_SQL, [["licensed"], ["and"]], "session_id, seq", "tf0 + tf1 > 0", single=True)
+    + """, h AS (SELECT *, row_number() OVER (ORDER BY score, session_id, seq) AS r FROM scored QUALIFY r <= 40),
+f AS (SELECT *, count(*) OVER (PARTITION BY session_id) - 1 AS n_more, min(r) OVER (PARTITION BY session_id) AS b FROM h)
+SELECT session_id, seq, round(score, 6) AS score, n_more::BIGINT AS n_more FROM f WHERE r = b ORDER BY r LIMIT 10"""
+)
+def index_folded(spark, sf_dir):
+    hits = index.keyword(spark, _index(spark, sf_dir), ["licensed", "and"], 10, any_of=True, fold=True, id_cols=("session_id", "seq"), tokenizer=T.ascii_tokens)
+    return hits.select("session_id", "seq", _score(), "n_more")
+
+
+@query(SQL["search_raw"])
+def index_raw(spark, sf_dir):
+    folder = _index(spark, sf_dir)
+    s = index.raw_scores(spark, folder, '("of the" OR licensed) AND with NOT from', T.ascii_tokens)
+    return index.rows(spark, folder).select("rid", "session_id", "seq").join(s, "rid").select("session_id", "seq", _score())
+
+
+def _trigram_index(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir, "trigrams")
+    if key not in _BUILT:
+        folder = workspace(spark, "trigrams")
+        index.build_trigrams(docs(spark, sf_dir), folder)
+        _BUILT[key] = folder
+    return _BUILT[key]
+
+
+def _parts_sql(parts: list[str], tail: str) -> str:
+    """``b``: rows with BM25 over parts of words, none of which can overlap itself."""
+    tf = ", ".join(f"((length(low) - length(replace(low, '{p}', ''))) // {len(p)})::BIGINT AS tf{i}" for i, p in enumerate(parts))
+    idf = [f"(CASE WHEN ln((n - m{i} + 0.5) / (m{i} + 0.5)) > 0 THEN ln((n - m{i} + 0.5) / (m{i} + 0.5)) ELSE 1e-6 END)" for i in range(len(parts))]
+    score = " + ".join(f"{idf[i]} * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / a))" for i in range(len(parts)))
+    return f"""WITH {_DOCS_SQL}, l AS (SELECT session_id, seq, lower(text) AS low FROM docs), c AS (SELECT *, greatest(length(low) - 2, 0) AS dl, {tf} FROM l),
+s AS (SELECT count(*) AS n, avg(dl) AS a, {", ".join(f"count(*) FILTER (tf{i} > 0) AS m{i}" for i in range(len(parts)))} FROM c),
+b AS (SELECT session_id, seq, low, -({score}) AS score FROM c, s WHERE {" + ".join(f"tf{i}" for i in range(len(parts)))} > 0 ORDER BY score, session_id, seq LIMIT {50 if len(parts) > 1 else 30}){tail}"""
+
+
+@query(_parts_sql(["icens"], " SELECT session_id, seq, round(score, 6) AS score, false AS nearest FROM b"))
+def index_fuzzy_substring(spark, sf_dir):
+    return index.fuzzy(spark, _trigram_index(spark, sf_dir), ["icens"], 30).select("session_id", "seq", _score(), "nearest")
+
+
+@query(
+    _parts_sql(
+        _TRI,
+        """, w AS (SELECT DISTINCT session_id, seq, score, unnest(regexp_extract_all(low, '[a-z0-9_-]+') || regexp_extract_all(low, '[a-z0-9]+')) AS w FROM b)
+SELECT DISTINCT session_id, seq, round(score, 6) AS score, true AS nearest FROM w WHERE abs(length(w) - 8) <= 1 AND damerau_levenshtein(w, 'licesned') <= 1""",
+    )
+)
+def index_fuzzy_one_edit(spark, sf_dir):
+    return index.fuzzy(spark, _trigram_index(spark, sf_dir), ["licesned"], 50).select("session_id", "seq", _score(), "nearest")
 
 
 @query(r"SELECT doc_id AS seq, regexp_replace(array_to_string(string_split(trim(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')), ' ')[1:12], ' '), '\b(the|and)\b', '«\1»', 'gi') AS snip FROM documents WHERE regexp_matches(array_to_string(string_split(trim(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')), ' ')[1:12], ' '), '\b(?i:the|and)\b')")

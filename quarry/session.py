@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +23,18 @@ def session(app: str = "quarry", master: str | None = None, **conf: str) -> Spar
     for k, v in (base | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def ship(spark: SparkSession | None = None) -> None:
+    """Send this package to the executors, once a context, so that Python workers can import it anywhere; the active session's by default."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or getattr(spark.sparkContext, "_quarry_shipped", False):
+        return
+    sc = spark.sparkContext
+    sc._quarry_shipped = True
+    root = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry-package.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(to))

@@ -129,22 +129,6 @@ def test_default_search_is_stemmed_and_marked(turns):
     assert search.keyword(turns, [], 5, raw='"cache prod" NOT masked', snippet_words=12).count() == 2
 
 
-def test_index_equals_the_scan(spark, turns, tmp_path):
-    from quarry.operators import index
-
-    folder = f"file://{tmp_path}/index"
-    index.build(turns, folder, buckets=3)
-    rows = spark.read.parquet(f"{folder}/rows")
-    for terms, more in ((["deploys", "run"], {"any_of": True}), (["cache-prod"], {}), (["cache-prod"], {"exclude": ["masked"]}), (["rolling out now"], {})):
-        got = {r.text: r.score for r in index.match_scores(spark, folder, terms, **more).join(rows, "rid").collect()}
-        want = {r.text: r.score for r in search.match_scores(turns, terms, **more).collect()}
-        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and want
-    top = index.keyword(spark, folder, ["rollout"], 1, where=F.col("session_id") == "cccc").collect()
-    assert [r.text for r in top] == [TEXTS[4]]
-    plan = spark.read.parquet(f"{folder}/postings").where("bucket = 1 and term = 'x'")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,x)]" in plan
-
-
 def test_nearest_vectors_where_nothing_matches(spark, turns):
     t = turns.withColumn("turn_id", F.col("seq") + F.length("session_id") * 100)
     v = t.select("turn_id", F.array((F.col("seq") / 10).cast("float"), F.lit(0.5).cast("float")).alias("vec"))

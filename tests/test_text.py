@@ -75,3 +75,16 @@ def test_redaction(spark):
     }
     rows = spark.createDataFrame(list(cases.items()), "text string, want string").select("want", R.redact(F.col("text")).alias("got")).collect()
     assert [r.got for r in rows] == [r.want for r in rows]
+
+
+def test_stems_begin_like_their_words():
+    """What search.words_of rests on: a word has its stem's characters but for the last two."""
+    import random
+
+    from quarry.functions import porter
+
+    rng = random.Random(1)
+    ends = [e for e, _ in porter._STEP2 + porter._STEP3] + list(porter._STEP4) + ["ed", "ing", "s", "es", "ies", "y", "eed", "ly", "ll", "e", "sses"]
+    for _ in range(30000):
+        w = "".join(rng.choice("abcdelpstyzii") for _ in range(rng.randrange(1, 7))) + "".join(rng.choice(ends) for _ in range(rng.randrange(0, 4)))
+        assert w.startswith(porter.stem(w)[: max(1, len(porter.stem(w)) - 2)]), w
