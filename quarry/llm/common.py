@@ -6,32 +6,18 @@ import ctypes
 import functools
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import ship
+
 #: A word is a run of characters other than space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a context, so that Python workers can import it anywhere."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quarry_shipped", False):
-        return
-    sc._quarry_shipped = True
-    root = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry-package.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(to))
-
-
 def words(text: Column) -> Column:
     """The words of a text; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
@@ -69,6 +55,20 @@ def folded(items: Column, zero: Column, total, merge, step) -> Column:
     return let(items, lambda xs: let(chunked(xs), over))
 
 
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` as one column ``row`` beside computed ones, so that no name of its own can clash."""
+    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"), *[c.alias(k) for k, c in columns.items()])
+
+
+def unpacked(columns: list[str], **new: Column) -> list[Column]:
+    """The columns of a packed frame, some of them replaced."""
+    return [new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def tidy(go):
     """``go``, a function of batches for ``mapInArrow``; a Python worker outlives its task, so what the task freed is given back at its end."""
 
@@ -95,6 +95,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        ship(spark)
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             if not spark.sparkContext.master.startswith("local"):

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import folded, let
+from .common import folded, let, packed, unpacked
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -140,8 +140,10 @@ def _piece(blocks: Column, start: Column, size: Column) -> Column:
 
 def find_spans(df: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
     """``df`` with ``out``: array of (start, rank, end, kind, value, score) by start, then kind."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = df.withColumns({f"_{k}": _proposed(text, k) for k in KINDS})
+    kept = [c for c in df.columns if c != out]
+    d = packed(df, text=F.coalesce(F.col(text_col), F.lit("")))
+    text = F.col("text")
+    d = d.withColumns({f"_{k}": _proposed(text, k) for k in KINDS})
     spans = F.sort_array(F.concat(*(F.col(f"_{k}") for k in KINDS)))
 
     def scored(blocks):
@@ -158,9 +160,9 @@ def find_spans(df: DataFrame, text_col: str = "text", out: str = "spans") -> Dat
 
     d = d.withColumn("_all", spans)
     none = F.transform("_all", lambda s: s.withField("score", F.lit(0.0)))
-    d = d.withColumn(out, F.when(F.size("_all") > 0, let(_blocks(text), lambda b: F.transform("_all", scored(b)))).otherwise(none))
-    d = d.withColumn(out, F.filter(F.col(out), lambda s: (s["rank"] < len(BASE)) | (s["score"] >= THRESHOLD)))
-    return d.drop("_all", *(f"_{k}" for k in KINDS))
+    d = d.withColumn("_spans", F.when(F.size("_all") > 0, let(_blocks(text), lambda b: F.transform("_all", scored(b)))).otherwise(none))
+    found = F.filter("_spans", lambda s: (s["rank"] < len(BASE)) | (s["score"] >= THRESHOLD))
+    return d.select(*unpacked(kept), found.alias(out))
 
 
 def joined(spans: Column) -> Column:
@@ -185,7 +187,9 @@ def mask_text(text: Column, spans: Column) -> Column:
 
 def mask(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with personal data in ``text_col`` masked and ``n_chars``, if there, counted anew; a null text stays null."""
-    d = find_spans(df, text_col, "_spans").withColumn(text_col, F.when(F.col(text_col).isNotNull(), mask_text(F.col(text_col), F.col("_spans"))))
+    d = find_spans(packed(df, text=F.col(text_col)))
+    d = d.withColumn("masked", F.when(F.col("text").isNotNull(), mask_text(F.col("text"), F.col("spans"))))
+    new = {text_col: F.col("masked")}
     if "n_chars" in df.columns and text_col == "text":
-        d = d.withColumn("n_chars", F.length(text_col).cast(df.schema["n_chars"].dataType))
-    return d.select(*df.columns)
+        new["n_chars"] = F.length("masked").cast(df.schema["n_chars"].dataType)
+    return d.select(unpacked(df.columns, **new))

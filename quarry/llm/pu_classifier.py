@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 POSITIVES = 8000
 UNLABELLED = 16000
 BUCKETS = 512
@@ -183,6 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def measured(docs: DataFrame, text_col: str = "text", out: str = "x") -> DataFrame:
     """``docs`` with ``out``, the features as 32-bit floats in bytes; for the bounded samples."""
+    ship(docs.sparkSession)
 
     @F.pandas_udf("binary")
     def f(texts: pd.Series) -> pd.Series:
@@ -194,6 +197,7 @@ def measured(docs: DataFrame, text_col: str = "text", out: str = "x") -> DataFra
 def score(docs: DataFrame, model: Model | None, prior: float, text_col: str = "text", out: str = "score") -> DataFrame:
     if model is None:
         return docs.withColumn(out, F.lit(float(prior)))
+    ship(docs.sparkSession)
 
     @F.pandas_udf("double")
     def s(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, components, hot_keys, many_to_one, tidy
+from .common import Scratch, blocks, components, hot_keys, many_to_one, packed, ship, tidy, unpacked
 
 RADIUS = 4
 #: Buckets up to this many distinct fingerprints are compared inside their task.
@@ -76,6 +76,7 @@ def simhash(h: np.ndarray) -> int:
 
 def fingerprints(df: DataFrame, text_col: str = "text", width: int = 4, out: str = "fp") -> DataFrame:
     """``df`` with ``out``, the fingerprint as a signed long."""
+    ship(df.sparkSession)
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
@@ -340,5 +341,6 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     Rows with a null id stay. Rows that repeat an id and a shingle set share their fate; rows that repeat an id alone do not.
     """
     own = (F.col("id") == F.col("head.id")) & (F.col("h") == F.col("head.h"))
-    lost = _similar(df, id_col, text_col, width, SIMILARITY).where(~own).select(F.col("id").alias("_id"), F.col("t").alias("_t")).distinct()
-    return df.join(lost, (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_t")), "left_anti").select(*df.columns)
+    lost = _similar(df, id_col, text_col, width, SIMILARITY).where(~own).select(F.col("id").alias("i"), F.col("t").alias("h")).distinct()
+    d = packed(df, id=F.col(id_col), t=F.xxhash64(text_col))
+    return d.join(lost, (F.col("id") == F.col("i")) & (F.col("t") == F.col("h")), "left_anti").select(unpacked(df.columns))
