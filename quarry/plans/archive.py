@@ -10,6 +10,8 @@ from quarry.plans import tables
 from quarry.plans.registry import SQL, query
 from quarry.plans.tables import FACTS_SQL, TURNS_SQL, table, workspace
 from quarry.sources import transcripts as S
+from quarry.sources.store import Store
+from quarry.streaming.transcripts import ingest
 
 # Ingest. Conversations as transcripts: the shape of a record follows its turn, some lines are blank, broken, meta or a machine's.
 
@@ -49,6 +51,26 @@ def ingest_turns(spark, sf_dir):
     return S.parse_files(transcripts(spark, sf_dir)).select("session_id", "project", "seq", "ts", "role", "is_sidechain", F.sha2("text", 256).alias("digest"))
 
 
+@query(SQL["ingest_turns"])
+def ingest_split_files(spark, sf_dir):
+    """The same from files, which are read in ranges of bytes."""
+    root = workspace(spark, "transcripts")
+    S.write_files(transcripts(spark, sf_dir), root)
+    return S.read_transcripts(spark, root).select("session_id", "project", "seq", "ts", "role", "is_sidechain", F.sha2("text", 256).alias("digest"))
+
+
+@query(SQL["ingest_turns"])
+def ingest_growing_files(spark, sf_dir):
+    """The same as a stream, in two batches: first a part of each file that ends anywhere in a line, then what was appended."""
+    root, store, checkpoint = (workspace(spark, n) for n in ("transcripts", "archive", "offsets"))
+    files = transcripts(spark, sf_dir)
+    S.write_files(files.withColumn("content", F.substring("content", F.lit(1), (F.octet_length("content") * (F.abs(F.hash("path")) % 100) / 100).cast("int"))), root)
+    ingest(spark, root, store, checkpoint).awaitTermination()
+    S.write_files(files, root)
+    ingest(spark, root, store, checkpoint).awaitTermination()
+    return Store(spark, store).read("turns").select("session_id", "project", "seq", "ts", "role", "is_sidechain", F.sha2("text", 256).alias("digest"))
+
+
 @query("SELECT conv_id::VARCHAR AS session_id FROM conversations GROUP BY conv_id HAVING conv_id % 3 = 0 OR (conv_id % 3 = 1 AND conv_id % 2 = 0)")
 def ingest_changed_files(spark, sf_dir):
     """Of a listing, files unknown, grown, or not read to their end."""

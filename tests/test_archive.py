@@ -7,7 +7,8 @@ from quarry import schema
 from quarry.operators import embed, facts as FA, hours, maint, sessions, stats
 from quarry.sources import transcripts as S
 from quarry.streaming.activity import active_windows
-from quarry.streaming.transcripts import TranscriptSource
+from quarry.sources.store import Store
+from quarry.streaming.transcripts import _Reader, ingest
 
 RECORDS = [
     {"type": "user", "timestamp": "2026-06-12T01:00:00Z", "message": {"role": "user", "content": "deploying cache-prod today, password=hunter2 should be masked"}},
@@ -50,18 +51,62 @@ def test_flatten_shapes():
     assert S.result_text({"text": "a"}) == "a" and S.result_text(None) == "" and S.result_text({"b": 1, "a": [1]}) == '{"a": [1], "b": 1}' and S.result_text(True) == "true"
 
 
-def test_stream_reads_appended_lines_once(spark, tmp_path):
-    """Lines that arrive in steps, half a line among them, give the turns of one full read."""
-    root, out, ckpt = tmp_path / "root", tmp_path / "out", tmp_path / "ckpt"
-    spark.dataSource.register(TranscriptSource)
+@pytest.mark.parametrize("size", [1 << 26, 50])
+def test_stream_reads_appended_lines_once(spark, tmp_path, size):
+    """Lines that arrive in steps, half a line among them, give the turns of one full read; a file that shrank keeps what was stored."""
+    root, folder, ckpt = tmp_path / "root", f"file://{tmp_path}/store", f"file://{tmp_path}/ckpt"
     whole = lines()
-    cuts = [whole.index("\n") + 1, whole.index("\n") + 40, len(whole)]
-    for stop in cuts:
+    for stop in (whole.index("\n") + 1, whole.index("\n") + 40, len(whole), len(whole)):
         write(root, "p", "s1", whole[:stop])
-        q = spark.readStream.format("quarry_transcripts").option("root", str(root)).load().writeStream.format("parquet").option("checkpointLocation", str(ckpt)).trigger(once=True).start(str(out))
-        q.awaitTermination(60)
-    got = sorted((r.session_id, r.seq, r.role) for r in spark.read.parquet(str(out)).collect())
-    assert got == [("s1", 0, "user"), ("s1", 1, "assistant"), ("s1", 2, "user"), ("s1", 5, "user")]
+        ingest(spark, f"file://{root}", folder, ckpt, size).awaitTermination(120)
+    write(root, "q", "s2", lines(1))
+    ingest(spark, f"file://{root}", folder, ckpt, size).awaitTermination(120)
+    store = Store(spark, folder)
+    full = S.read_transcripts(spark, str(root))
+    cols = ["session_id", "project", "seq", "role", "text", "is_sidechain", "ts"]
+    assert sorted(map(tuple, store.read("turns").select(cols).collect())) == sorted(map(tuple, full.select(cols).collect()))
+    assert {r.path.split("/")[-1]: r["lines"] for r in store.read("cursors").collect()} == {"s1.jsonl": whole.count("\n"), "s2.jsonl": 1}
+    n = store.read("turns").count()
+    write(root, "q", "s2", "{}\n")
+    ingest(spark, f"file://{root}", folder, ckpt, size).awaitTermination(120)
+    write(root, "q", "s2", "{}\n" + json.dumps(RECORDS[0]) + "\n")
+    ingest(spark, f"file://{root}", folder, ckpt, size).awaitTermination(120)
+    assert store.read("turns").count() == n + 1 and {r.seq for r in store.read("turns").where("session_id = 's2'").collect()} == {0, 1}
+
+
+def test_the_driver_lists_and_opens_nothing(tmp_path, monkeypatch):
+    write(tmp_path, "p", "s1", lines())
+    r = _Reader(f"file://{tmp_path}", (), 100)
+    monkeypatch.setattr("builtins.open", None)
+    end = r.latestOffset()
+    assert list(end.values()) == [len(lines().encode())]
+    parts = r.partitions({}, end)
+    assert [p.start for p in parts] == list(range(0, parts[-1].stop, 100)) and parts[-1].stop == len(lines().encode())
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 50])
+def test_a_file_in_any_number_of_ranges(spark, tmp_path, ranges):
+    """Long lines, blank and broken ones, carriage returns, bytes that are no text, and a tail without an end."""
+    rows = [json.dumps({"type": "user", "message": {"content": f"line {k} " + "é" * (k * 37 % 400)}}, ensure_ascii=False).encode() for k in range(300)]
+    for k in range(0, 300, 7):
+        rows[k] = [b"", b"{broken", rows[k] + b"\r", rows[k].replace(b"line", b"\xff\xfe"), b" \r"][k % 5]
+    for name, body in (("a", b"\n".join(rows) + b"\n"), ("b", b"\n".join(rows)), ("c", b""), ("d", rows[1]), ("e", b"\n\n" + rows[1] + b"\n")):
+        (tmp_path / "p").mkdir(exist_ok=True)
+        (tmp_path / "p" / f"{name}.jsonl").write_bytes(body)
+    want = sorted((name, r["seq"], r["text"]) for name in "abcde" for r in S.records((tmp_path / "p" / f"{name}.jsonl").read_bytes())[0])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(-(-(tmp_path / "p" / "a.jsonl").stat().st_size // ranges)))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0" if ranges > 1 else "4194304")
+    try:
+        d = S.read_transcripts(spark, str(tmp_path))
+        got = sorted((r.session_id, r.seq, r.text) for r in d.collect())
+        assert got == want and len(got) > 500
+        raw = spark.read.text(f"{tmp_path}/p/a.jsonl").select("_metadata.file_block_start").distinct().count()
+        assert (raw == 1) if ranges == 1 else raw >= ranges - 1
+        assert "binaryFile" not in d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 @pytest.mark.parametrize("ms, want", [([5], 120000), ([0, 1800000], 1920000), ([0, 1800001], 240000)])
