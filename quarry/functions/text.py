@@ -175,7 +175,25 @@ def human(n: Column) -> Column:
     """1234567 as 1.2M."""
     v = n.cast("double")
     one = lambda q, u: F.concat(F.format_string("%.1f", v / q), F.lit(u))
-    return F.when(v >= 1e9, one(1e9, "B")).when(v >= 1e6, one(1e6, "M")).when(v >= 1e3, one(1e3, "K")).otherwise(n.cast("string"))
+    a = F.abs(v)
+    return F.when(a >= 1e12, one(1e12, "T")).when(a >= 1e9, one(1e9, "B")).when(a >= 1e6, one(1e6, "M")).when(a >= 1e3, one(1e3, "K")).otherwise(n.cast("string"))
+
+
+def human_bytes(n: Column, space: bool = False) -> Column:
+    """1500000 as 1.5MB (or 1.5 MB), 2000 as 2KB; digits as the binary quotient rounds, ties to even."""
+    gap = " " if space else ""
+
+    def one(w: Column, unit: str) -> Column:
+        q = w / 1000.0
+        # On a tie of the decimal digits the quotient lies a little below or above it, or on it: w - 1000 q tells, in two exact parts.
+        high = F.floor(q * 1048576.0).cast("double") / 1048576.0
+        off = (w - high * 1000.0) - (q - high) * 1000.0
+        down = (w % 100 == 50) & ((off > 0) | ((off == 0) & (F.floor(w / 100) % 2 == 0)))
+        return F.concat(F.regexp_replace(F.format_string("%.1f", q - F.when(down, 0.01).otherwise(0.0)), r"\.0$", ""), F.lit(gap + unit))
+
+    v = n.cast("double")
+    small = F.concat(n.cast("string"), F.lit(gap + "B"))
+    return F.when(v >= 1e12, one(v / 1e9, "TB")).when(v >= 1e9, one(v / 1e6, "GB")).when(v >= 1e6, one(v / 1e3, "MB")).when(v >= 1e3, one(v, "KB")).otherwise(small)
 
 
 def commas(n: Column) -> Column:

@@ -44,8 +44,10 @@ def backfill(turns: DataFrame, embeddings: DataFrame, encoder: Callable[[Sequenc
 
 
 def store(embeddings: DataFrame, new: DataFrame, turns: DataFrame) -> DataFrame:
-    """Vectors replaced by newer ones of the same turn and model; only turns that still exist take new ones."""
-    new = new.join(turns.select("turn_id"), "turn_id", "left_semi").dropDuplicates(["turn_id", "model"])
+    """Vectors replaced by newer ones of the same turn and model; only turns that still exist take new ones. Of several new ones of a turn the greatest counts."""
+    new = new.join(turns.select("turn_id"), "turn_id", "left_semi")
+    rest = [c for c in new.columns if c not in ("turn_id", "model")]
+    new = new.groupBy("turn_id", "model").agg(F.max(F.struct(*sorted(rest, key="vec".__ne__))).alias("_v")).select("turn_id", "model", "_v.*")
     return embeddings.join(new.select("turn_id", "model"), ["turn_id", "model"], "left_anti").select(*embeddings.columns).unionByName(new.select(*embeddings.columns))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,13 +44,18 @@ def read_prompt(spark, text: str) -> Prompt | None:
     if len(text.strip()) < MIN_PROMPT:
         return None
     p = F.lit(text)
-    terms, anchors = spark.range(1).select(T.extract_terms(p), F.filter(T.extract_terms(p), T.is_anchor)).first()
-    if len(terms) < MIN_TERMS:
-        return None
-    match = terms
-    if len(terms) > MAX_MATCH_TERMS:  # anchors first, longer ones first
-        match = sorted(terms, key=lambda t: (t not in anchors, -len(t.encode())))[:MAX_MATCH_TERMS]
-    return Prompt(terms, match)
+    terms, match = spark.range(1).select(T.extract_terms(p), match_terms(T.extract_terms(p))).first()
+    return Prompt(terms, match) if len(terms) >= MIN_TERMS else None
+
+
+def match_terms(terms: Column, most: int = MAX_MATCH_TERMS) -> Column:
+    """All terms, or of more than ``most`` the first by: anchors first, longer ones first, as they came."""
+
+    def cut(ts: Column) -> Column:
+        keyed = F.transform(ts, lambda t, i: F.struct((~T.is_anchor(t)).alias("a"), (-F.octet_length(t)).alias("n"), i.alias("i"), t.alias("t")))
+        return F.when(F.size(ts) <= most, ts).otherwise(F.transform(F.slice(F.sort_array(keyed), 1, most), lambda x: x["t"]))
+
+    return T.bind(terms, cut)
 
 
 def _has(tokens, term: str):

@@ -10,7 +10,8 @@ from quarry.plans import tables
 from quarry.plans.registry import SQL, query
 from quarry.plans.tables import FACTS_SQL, TURNS_SQL, table, workspace
 from quarry.sources import transcripts as S
-from quarry.sources.store import Store
+from quarry.operators.archive import Archive
+from quarry.sources.store import Store, union
 from quarry.streaming.transcripts import ingest
 
 # Ingest. Conversations as transcripts: the shape of a record follows its turn, some lines are blank, broken, meta or a machine's.
@@ -71,6 +72,16 @@ def ingest_growing_files(spark, sf_dir):
     return Store(spark, store).read("turns").select("session_id", "project", "seq", "ts", "role", "is_sidechain", F.sha2("text", 256).alias("digest"))
 
 
+@query("SELECT 'p' || (conv_id % 8) AS project, conv_id::VARCHAR AS session_id, true AS sized FROM conversations GROUP BY conv_id")
+def ingest_listing(spark, sf_dir):
+    """The transcripts of a folder, by their names, with the sizes of what was written."""
+    root = workspace(spark, "transcripts")
+    files = transcripts(spark, sf_dir)
+    S.write_files(files, root)
+    size = files.select(F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("session_id"), F.octet_length("content").alias("bytes"))
+    return S.list_transcripts(spark, root).join(size, "session_id").select("project", "session_id", (F.col("size") == F.col("bytes")).alias("sized"))
+
+
 @query("SELECT conv_id::VARCHAR AS session_id FROM conversations GROUP BY conv_id HAVING conv_id % 3 = 0 OR (conv_id % 3 = 1 AND conv_id % 2 = 0)")
 def ingest_changed_files(spark, sf_dir):
     """Of a listing, files unknown, grown, or not read to their end."""
@@ -290,6 +301,11 @@ def recall_hidden(spark, sf_dir):
 # Text.
 
 
+@query("SELECT doc_id, CASE WHEN n >= 1000000 THEN rtrim(rtrim(printf('%.1f', n / 1e6), '0'), '.') || ' MB' WHEN n >= 1000 THEN rtrim(rtrim(printf('%.1f', n / 1e3), '0'), '.') || ' KB' ELSE n || ' B' END AS size FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents)")
+def text_human_bytes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.human_bytes(F.octet_length("text"), space=True).alias("size"))
+
+
 @query(
     r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat, format('{:,}', n_chars) AS commas, CASE WHEN n_chars >= 1000 THEN printf('%.1f', round(n_chars / 100.0) / 10) || 'K' ELSE n_chars::VARCHAR END AS human, substr(source, 1, 8) AS sid8 FROM documents"""
 )
@@ -500,6 +516,48 @@ def maint_merge_names(spark, sf_dir):
     return s.select("session_id", "num_turns", "project")
 
 
+_ARCHIVES: dict[tuple, tuple] = {}
+
+
+def _archive(spark, sf_dir):
+    """An archive after four commits: created from even sessions (1), odd ones ingested (2), one forgotten (3), planted keys masked (4); and the version before each."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ARCHIVES:
+        t = tables.turns(spark, sf_dir).withColumn("text", F.concat("text", F.when(F.col("seq") % 3 == 0, F.lit(f" key {_AWS}")).otherwise(F.lit(""))))
+        even = F.col("session_id").cast("long") % 2 == 0
+        a = Archive(spark, workspace(spark, "archive"))
+        a.create(t.where(even))
+        a.ingest(t.where(~even))
+        a.forget("7", "2024-01-01", confirm=True)
+        a.redact()
+        a.ingest(t.where("session_id = '7'"))  # a tombstone keeps it away
+        _ARCHIVES[key] = a
+    return _ARCHIVES[key]
+
+
+@query(
+    f"""WITH {TURNS_SQL}, v AS (SELECT unnest([1, 2, 3, 4, 5]) AS version)
+SELECT version, count(*) AS turns, count(DISTINCT session_id) AS sessions, count(*) FILTER (seq % 3 = 0 AND version >= 4) AS masked FROM turns, v
+WHERE (conv_even OR version > 1) AND (session_id <> '7' OR version < 3) GROUP BY version""".replace("conv_even", "session_id::INT % 2 = 0")
+)
+def archive_versions(spark, sf_dir):
+    """Readers of any version see it whole: turns, sessions and masked turns at each."""
+    a = _archive(spark, sf_dir)
+    out = []
+    for v in range(1, 6):
+        t = a.read("turns", v).agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("text").contains("‹redacted-aws-key›")).alias("masked"))
+        out.append(t.join(a.read("sessions", v).agg(F.count(F.lit(1)).alias("sessions"))).select(F.lit(v).alias("version"), "turns", "sessions", "masked"))
+    return union(out)
+
+
+@query(
+    f"""WITH {TURNS_SQL} SELECT session_id, seq, sha256(text || CASE WHEN seq % 3 = 0 THEN ' key ‹redacted-aws-key›' ELSE '' END) AS digest FROM turns WHERE session_id <> '7'"""
+)
+def archive_turns(spark, sf_dir):
+    """The turns of the newest version."""
+    return _archive(spark, sf_dir).read("turns").select("session_id", "seq", F.sha2("text", 256).alias("digest"))
+
+
 @query("SELECT 'conversations' AS name, count(*) AS n FROM conversations UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'due', 0 UNION ALL SELECT 'newer refused', 1")
 def maint_snapshot(spark, sf_dir):
     """A snapshot is written and read; within a day no further one is due, and a newer version is refused."""

@@ -406,6 +406,18 @@ def text_distinctive_terms(spark, sf_dir):
     return d.select("doc_id", F.size("t").alias("n_terms"), F.get("t", F.lit(0)).alias("first_term"))
 
 
+@query(
+    f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._-]*'), lambda x: {_DISTINCTIVE}) AS w FROM documents),
+p AS (SELECT doc_id, w[i] AS x, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)), u AS (SELECT doc_id, arg_min(x, i) AS x, min(i) AS i FROM p GROUP BY doc_id, lower(x)),
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY (NOT (regexp_matches(x, '[0-9_.-]') OR (length(x) >= 2 AND regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')) OR length(x) >= 6)), -strlen(x), i) AS r FROM u)
+SELECT doc_id, string_agg(x, ' ' ORDER BY CASE WHEN n > 12 THEN r ELSE i END) AS terms FROM k WHERE n <= 12 OR r <= 12 GROUP BY doc_id"""
+)
+def recall_match_terms(spark, sf_dir):
+    """The terms that a text as prompt would match by, twelve at most."""
+    d = table(spark, sf_dir, "documents").select("doc_id", recall.match_terms(T.extract_terms(F.col("text"))).alias("t"))
+    return d.where(F.size("t") > 0).select("doc_id", F.array_join("t", " ").alias("terms"))
+
+
 @query("SELECT c_custkey, damerau_levenshtein(c_name, 'Customer#000000012') <= 1 AS near FROM customer")
 def text_one_edit(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.within_one_edit(F.col("c_name"), F.lit("Customer#000000012")).alias("near"))

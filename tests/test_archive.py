@@ -7,7 +7,8 @@ from quarry import schema
 from quarry.operators import embed, facts as FA, hours, maint, sessions, stats
 from quarry.sources import transcripts as S
 from quarry.streaming.activity import active_windows
-from quarry.sources.store import Store
+from quarry.operators.archive import Archive
+from quarry.sources.store import StaleWriter, Store
 from quarry.streaming.transcripts import _Reader, ingest
 
 RECORDS = [
@@ -246,3 +247,33 @@ def test_registered_queries_equal_their_sql(spark, sf):
         rel = con.execute(Q.SQL[name])
         cols = [c[0] for c in rel.description]
         assert sorted(map(str, rel.fetchall())) == sorted(str(tuple(r[c] for c in cols)) for r in df.collect()), name
+
+
+def test_archive_commits_whole_changes(spark, tmp_path):
+    """Ingest, forget, mask, tag and merge, each a version; a writer that began too early is refused or begins again."""
+    a = Archive(spark, f"file://{tmp_path}/a")
+    a.create(turns_of(spark, [("s1", 0, "user", "password=hunter22 alpha-beta"), ("s2", 0, "user", "gamma")]).withColumn("turn_id", F.monotonically_increasing_id()))
+    base = a.store.manifest()
+    more = turns_of(spark, [("s1", 0, "user", "other"), ("s1", 1, "assistant", "more"), ("s3", 0, "user", "x")]).withColumn("turn_id", F.lit(7).cast("long"))
+    assert a.ingest(more) == 2
+    rows = lambda v=None: sorted((r.session_id, r.seq, r.text) for r in a.read("turns", v).collect())
+    assert rows() == [("s1", 0, "password=hunter22 alpha-beta"), ("s1", 1, "more"), ("s2", 0, "gamma"), ("s3", 0, "x")]
+    with pytest.raises(StaleWriter):
+        a.store.write({"turns": a.read("turns").limit(0)}, base)
+    with pytest.raises(ValueError):
+        a.forget("s3", "2026")
+    a.forget("s3", "2026", confirm=True)
+    a.ingest(more)
+    assert not [r for r in rows() if r[0] == "s3"] and {r.session_id for r in a.read("sessions").collect()} == {"s1", "s2"}
+    a.redact()
+    assert rows()[0][2] == "password=‹redacted› alpha-beta" and rows(1)[0][2].startswith("password=hunter22")
+    a.retag(spark.createDataFrame([("s1",)], "session_id string"))
+    assert "topic:alpha-beta" in {r.tag for r in a.read("tags").collect()}
+    other = Archive(spark, f"file://{tmp_path}/b")
+    other.create(turns_of(spark, [("s3", 0, "user", "no"), ("s4", 0, "user", "token=abcdefgh1234567890 yes")]).withColumn("turn_id", F.lit(9).cast("long")))
+    a.merge(other)
+    assert {r.session_id for r in a.read("sessions").collect()} == {"s1", "s2", "s4"} and a.read("turns").where("session_id = 's4'").count() == 1
+    a.vacuum(1)
+    assert len(rows()) == 4
+    with pytest.raises(Exception):
+        a.read("turns", 1)

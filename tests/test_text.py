@@ -88,3 +88,17 @@ def test_stems_begin_like_their_words():
     for _ in range(30000):
         w = "".join(rng.choice("abcdelpstyzii") for _ in range(rng.randrange(1, 7))) + "".join(rng.choice(ends) for _ in range(rng.randrange(0, 4)))
         assert w.startswith(porter.stem(w)[: max(1, len(porter.stem(w)) - 2)]), w
+
+
+def test_byte_sizes(spark):
+    ns = [0, 999, 1000, 1150, 1250, 1350, 2000, 999_950, 1_000_000, 1_250_000, 1_050_000, 3_650_000_000, 7 * 10**12, *range(1050, 90_000, 100)]
+    got = spark.createDataFrame([(n,) for n in ns], "n long").select("n", T.human_bytes(F.col("n")).alias("a"), T.human_bytes(F.col("n"), True).alias("b")).collect()
+
+    def plain(n, gap=""):
+        v = float(n)
+        for unit in ("B", "KB", "MB", "GB", "TB"):
+            if v < 1000 or unit == "TB":
+                return (str(int(v)) if unit == "B" else f"{v:.1f}".removesuffix(".0")) + gap + unit
+            v /= 1000
+
+    assert [(r.a, r.b) for r in got] == [(plain(r.n), plain(r.n, " ")) for r in got]
