@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import search
+from quarry.operators import index, search
+from quarry.sources.store import Store
 
 MAX_SESSIONS = 300
 MAX_TERMS = 1500
@@ -29,23 +30,29 @@ def anchor_sessions(turns: DataFrame, anchor: str, project: str | None = None, t
 
 def session_terms(turns: DataFrame, sessions: DataFrame, anchor: str) -> DataFrame:
     """(session_id, low, term): distinctive terms of the sessions, with a letter, none matching a term of the anchor."""
+    words = told_apart(distinctive(turns.join(sessions.select("session_id"), "session_id", "left_semi")), anchor)
+    return words.groupBy("session_id", "low").agg(F.min_by("term", F.struct("seq", "pos")).alias("term"))
+
+
+def distinctive(turns: DataFrame) -> DataFrame:
+    """(session_id, seq, pos, term, low): distinctive words with a letter, of turns that are neither meta nor of a side chain."""
     d = turns.where(F.coalesce(F.col("is_meta"), F.lit(0)) == 0).where(F.coalesce(F.col("is_sidechain"), F.lit(0)) == 0)
-    d = d.join(sessions.select("session_id"), "session_id", "left_semi")
     t = d.select("session_id", "seq", F.posexplode(T.distinctive_words(F.coalesce("text", F.lit("")))).alias("pos", "term")).withColumn("low", F.lower("term"))
-    out = t.where(F.col("low").rlike("[a-z]"))
+    return t.where(F.col("low").rlike("[a-z]"))
+
+
+def told_apart(words: DataFrame, anchor: str) -> DataFrame:
+    """Words none of which matches a term of the anchor."""
     for a in {anchor.lower(), *(p for p in anchor.lower().split() if p)}:
-        out = out.where(~T.token_matches(F.col("low"), F.lit(a)))
-    return out.groupBy("session_id", "low").agg(F.min_by("term", F.struct("seq", "pos")).alias("term"))
+        words = words.where(~T.token_matches(F.col("low"), F.lit(a)))
+    return words
 
 
 def terms(turns: DataFrame, anchor: str, limit: int = 20, project: str | None = None, tokenizer=T.index_tokens) -> DataFrame:
     """(term, n_sessions, df, score), best first."""
     sessions = anchor_sessions(turns, anchor, project, tokenizer)
     per = session_terms(turns, sessions, anchor)
-    cand = per.groupBy("low").agg(F.count(F.lit(1)).alias("n_sessions"), F.min("term").alias("term")).where(F.col("n_sessions") >= MIN_SESSIONS)
-    cand = cand.orderBy(F.col("n_sessions").desc(), "low").limit(MAX_TERMS).select("low", "n_sessions", "term", tokenizer(F.col("low")).alias("toks")).collect()
-    spark = turns.sparkSession
-    cand = spark.createDataFrame([(*r[:3], " ".join(r.toks), list(r.toks)) for r in cand], "low string, n_sessions long, term string, gram string, toks array<string>")
+    cand = candidates(per, tokenizer)
     # Rows per candidate: only the runs of tokens that begin like a candidate leave a row, each once; candidates (MAX_TERMS at most) are broadcast.
     heads: dict[int, set[str]] = {}
     for r in cand.select("toks").collect():
@@ -62,13 +69,75 @@ def terms(turns: DataFrame, anchor: str, limit: int = 20, project: str | None =
     rows = turns.select(tokenizer(F.coalesce("text", F.lit(""))).alias("t")).where(F.size("t") > 0)
     hits = rows.select(F.explode(T.bind(F.col("t"), grams)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     df = cand.where(F.size("toks") > 0).select("low", "gram").join(hits, "gram").select("low", "df")
-    total = turns.count()
+    return ranked(cand, df, turns.count(), limit)
+
+
+def candidates(per: DataFrame, tokenizer) -> DataFrame:
+    """(low, n_sessions, term, gram, toks): the MAX_TERMS terms of most sessions, with their tokens."""
+    cand = per.groupBy("low").agg(F.count(F.lit(1)).alias("n_sessions"), F.min("term").alias("term")).where(F.col("n_sessions") >= MIN_SESSIONS)
+    cand = cand.orderBy(F.col("n_sessions").desc(), "low").limit(MAX_TERMS).select("low", "n_sessions", "term", tokenizer(F.col("low")).alias("toks")).collect()
+    return per.sparkSession.createDataFrame([(*r[:3], " ".join(r.toks), list(r.toks)) for r in cand], "low string, n_sessions long, term string, gram string, toks array<string>")
+
+
+def ranked(cand: DataFrame, df: DataFrame, total: int, limit: int) -> DataFrame:
+    """Candidates by score, from the rows (low, df) that hold them."""
     eff = F.greatest(F.coalesce("df", F.lit(0)), "n_sessions", F.lit(1))
     score = (1 + F.log(F.col("n_sessions").cast("double"))) * F.greatest(F.lit(0.0), F.log(F.lit(float(total)) / eff))
     out = cand.join(df, "low", "left").select("low", "term", "n_sessions", F.coalesce("df", F.lit(0)).alias("df"), score.alias("score"))
     return out.orderBy(F.col("score").desc(), F.col("n_sessions").desc(), "low").limit(limit)
 
 
+# The same from stored structures: the index for anchors and frequencies, a forward index from sessions to their terms.
+
+FORWARD = "bucket int, session_id string, low string, term string, seq long, pos int"
+
+
+def add_to_forward(turns: DataFrame, folder: str, buckets: int = 64) -> int:
+    """Write the terms of (new) turns to the forward index in ``folder``, one row a session and term; nothing that is there is read."""
+    spark = turns.sparkSession
+    store = Store(spark, folder)
+    base = store.manifest()
+    buckets = base["facts"].get("buckets", buckets)
+    d = distinctive(turns).groupBy("session_id", "low").agg(F.min(F.struct("seq", "pos", "term")).alias("x"))
+    d = d.select(index.bucket_of(F.col("session_id"), buckets).alias("bucket"), "session_id", "low", "x.term", F.col("x.seq").cast("long").alias("seq"), "x.pos")
+    staged = store.stage("terms", d.repartition("bucket").sortWithinPartitions("bucket", "session_id", "low"), ["bucket"])
+    return store.commit(base, add={"terms": [staged]}, schemas={"terms": spark.createDataFrame([], FORWARD).schema}, facts={"buckets": buckets})
+
+
+def indexed_terms(spark: SparkSession, index_folder: str, forward_folder: str, anchor: str, limit: int = 20, project: str | None = None, tokenizer=T.index_tokens) -> DataFrame:
+    """``terms`` without a scan of texts: anchors and rows per term come from postings, the sessions' terms from the forward index."""
+    r = index.Reader(spark, index_folder, tokenizer)
+    phrase = r.phrases([anchor])[0]
+    rows = r.rows().drop("text")
+    if project:
+        rows = rows.where(search.like_contains(F.col("project"), project))
+    rows = rows if "ts" in rows.columns else rows.withColumn("ts", F.lit(None).cast("string"))
+    found = r.occurrences(phrase, r.words(phrase)).select("rid") if phrase else rows.select("rid").limit(0)
+    first = rows.join(found, "rid").groupBy("session_id").agg(F.min_by("ts", "seq").alias("ts"))
+    newest = [x["session_id"] for x in first.orderBy(F.col("ts").desc_nulls_last(), "session_id").limit(MAX_SESSIONS).collect()]
+    store = Store(spark, forward_folder)
+    m = store.manifest()
+    where = spark.createDataFrame([(x,) for x in newest], "s string").select(index.bucket_of(F.col("s"), m["facts"]["buckets"])).distinct()
+    per = store.read("terms", m).where(F.col("bucket").isin([x[0] for x in where.collect()]) & F.col("session_id").isin(newest))
+    per = told_apart(per, anchor).groupBy("session_id", "low").agg(F.min_by("term", F.struct("seq", "pos")).alias("term"))
+    cand = candidates(per, _plain_or(tokenizer, r))
+    rows_with = {x.low: list(x.toks) for x in cand.collect() if x.toks}
+    words = r.words([t for ts in rows_with.values() for t in ts])
+    # (low, k, n, word): the words that may stand at each place of a candidate; MAX_TERMS candidates at most.
+    need = [(low, k, len(ts), w) for low, ts in rows_with.items() for k, t in enumerate(ts) for w in words[t]]
+    need = spark.createDataFrame(need, "low string, k int, n int, word string")
+    hits = r.hits(r.blocks([w for ws in words.values() for w in ws])).join(F.broadcast(need), F.col("term") == F.col("word"))
+    one = hits.where("n = 1").select("low", "rid")
+    more = hits.where("n > 1").select("low", "rid", "k", "n", F.explode(F.transform("positions", lambda p: p - F.col("k"))).alias("at"))
+    more = more.groupBy("low", "rid", "at", "n").agg(F.count_distinct("k").alias("m")).where("m = n").select("low", "rid")
+    df = one.unionByName(more).distinct().groupBy("low").agg(F.count(F.lit(1)).alias("df"))
+    return ranked(cand, df, r.n, limit)
+
+
+def _plain_or(tokenizer, r: index.Reader):
+    return T.index_tokens if r.facts["stemmed"] else tokenizer
+
+
 def _starts(ts: Column, heads: list[str]):
     return lambda i: F.get(ts, i - 1).isin(heads)
 

@@ -680,6 +680,22 @@ s AS (SELECT low, n_sessions, coalesce(df, 0)::BIGINT AS df, (1 + ln(n_sessions)
 SELECT low, n_sessions, df, round(score, 6) AS score FROM s ORDER BY s.score DESC, n_sessions DESC, low LIMIT 20"""
 
 
+def _forward(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir, "forward")
+    if key not in _BUILT:
+        folder = workspace(spark, "forward")
+        related.add_to_forward(docs(spark, sf_dir).withColumns({"is_meta": F.lit(0), "is_sidechain": F.lit(0)}), folder)
+        _BUILT[key] = folder
+    return _BUILT[key]
+
+
+@query(SQL["related_terms"])
+def related_terms_indexed(spark, sf_dir):
+    """From the index and the forward index, which the first query that asks for them builds."""
+    d = related.indexed_terms(spark, _index(spark, sf_dir), _forward(spark, sf_dir), _ANCHOR, 20, tokenizer=T.ascii_tokens)
+    return d.select("low", "n_sessions", "df", F.round("score", 6).alias("score"))
+
+
 _ANCHOR2 = "erlich"
 
 

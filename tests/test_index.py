@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import index, search
+from quarry.operators import index, related, search
 from quarry.sources.store import StaleWriter, Store
 
 WORDS = "deploy deployed deploying cache prod rollout roll rolling ticket of the café latency licensed license masked secret pod run running check".split()
@@ -224,3 +224,20 @@ def test_two_writers_from_one_version(spark, tmp_path):
     assert store.read("a").count() == 0 and store.read("b").count() == 5
     with pytest.raises(Exception):
         store.read("a", 1)
+
+
+@pytest.mark.parametrize("tokenizer", [T.index_tokens, T.ascii_tokens])
+def test_related_terms_equal_the_scan(spark, tmp_path, tokenizer):
+    df = frame(spark, [t.replace("cache prod", "cache-prod").replace("rolling ticket", "Rolling_Ticket") for t in texts(250, 9)])
+    df = df.withColumns({"ts": F.concat(F.lit("2026-01-0"), F.col("seq") % 7 + 1), "is_meta": (F.col("seq") % 9 == 0).cast("int"), "is_sidechain": F.lit(0)}).cache()
+    folder, forward = f"file://{tmp_path}/i", f"file://{tmp_path}/f"
+    one = F.col("seq") % 3 < 2
+    index.build(df.where(one), folder, tokenizer, buckets=2)
+    index.append(df.where(~one), folder, tokenizer)
+    related.add_to_forward(df.where(one), forward, 2)
+    related.add_to_forward(df.where(~one), forward)
+    got, want = related.indexed_terms(spark, folder, forward, "latency", 12, tokenizer=tokenizer), related.terms(df, "latency", 12, tokenizer=tokenizer)
+    assert [tuple(r)[:4] for r in got.collect()] == [tuple(r)[:4] for r in want.collect()] != []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan
+    assert related.indexed_terms(spark, folder, forward, "zzz", tokenizer=tokenizer).count() == 0
