@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
@@ -14,6 +13,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as T
 from quarry.operators import search
+from quarry.session import shared_folder
 
 TYPES = ("user", "feedback", "project", "reference")
 DUPLICATE_PCT = 35
@@ -185,39 +185,50 @@ def index_order() -> list[Column]:
 
 def index_lines(facts: DataFrame, include_orphans: bool = False) -> DataFrame:
     """Active facts with their index ``line``, ``n_bytes`` and ``place`` in their project."""
+    return lines_of(facts, include_orphans).withColumn("place", F.row_number().over(Window.partitionBy("project").orderBy(*index_order())))
+
+
+def lines_of(facts: DataFrame, include_orphans: bool = False) -> DataFrame:
+    """Active facts with their index ``line`` and ``n_bytes``."""
     d = with_status(facts)
     if not include_orphans:
         d = d.where(F.col("index_seq").isNotNull() | (F.col("pinned") != 0))
     tail = F.when(F.coalesce("hook", F.lit("")) != "", F.concat(F.lit(" — "), "hook")).otherwise(F.lit(""))
     line = F.concat(F.lit("- ["), F.col("title"), F.lit("]("), F.col("leaf_path"), F.lit(")"), tail, F.lit("\n"))
-    d = d.withColumn("line", line).withColumn("n_bytes", F.octet_length("line"))
-    return d.withColumn("place", F.row_number().over(Window.partitionBy("project").orderBy(*index_order())))
+    return d.withColumn("line", line).withColumn("n_bytes", F.octet_length("line"))
 
 
 def select_index(facts: DataFrame, budget: int = BUDGET, include_orphans: bool = False, header: str = HEADER, max_lines: int = MAX_LINES) -> DataFrame:
-    """(project, leaf_path, line, n_bytes, index_seq, place, included): per project, best facts first, each line that still fits goes in.
+    """(project, leaf_path, line, n_bytes, index_seq, included): per project, best facts first, each line that still fits goes in.
 
-    Skipping a line that does not fit and trying the next is sequential: a project's lines are read in rank order as a stream of Arrow
-    batches, with a count and a sum as the only state, so no project is gathered.
+    In rounds: of the lines that are no longer than the room left, the best ones (as many as may still go in, so ``max_lines`` a project at
+    most) go in up to the first that no longer fits. A line that was passed over is longer than the room, which only shrinks, so it
+    never comes back. Each round takes a line or more in every project that is not done; few rounds are needed as few lines are passed over. Tasks keep
+    their own best lines before any are sent, so no project is gathered.
     """
-    d = index_lines(facts, include_orphans).select("project", "leaf_path", "line", "n_bytes", F.col("index_seq").cast("long").alias("index_seq"), "place")
+    spark = facts.sparkSession
     room, space = budget - len(header.encode()), max_lines - header.count("\n")
-
-    def go(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        project, used, n = object(), 0, 0
-        for rb in parts:
-            fits = []
-            for p, size in zip(rb.column("project").to_pylist(), rb.column("n_bytes").to_pylist()):
-                if p != project:
-                    project, used, n = p, 0, 0
-                ok = used + size <= room and n < space
-                used, n = used + size * ok, n + ok
-                fits.append(ok)
-            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(fits, pa.bool_())], names=[*rb.schema.names, "included"])
-
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema)
-    # The window left each project in one partition; only the order is asked for again.
-    return d.sortWithinPartitions("project", "place").mapInArrow(go, f"{shape}, included boolean")
+    folder = shared_folder(spark, "index-lines")
+    keys = ["pinned", "type", "updated_at", "hits", "index_seq", "leaf_path"]
+    d = lines_of(facts, include_orphans).select("project", *keys, "line", "n_bytes").withColumn("id", F.monotonically_increasing_id())
+    d.write.parquet(f"{folder}/lines")
+    d = spark.read.schema(d.schema).parquet(f"{folder}/lines")
+    taken = spark.createDataFrame([], "project string, id long, n_bytes int").withColumn("project", F.col("project").cast(d.schema["project"].dataType))
+    best = Window.partitionBy("project").orderBy(*index_order(), "id")
+    so_far = best.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for n in range(max(0, space) if room > 0 else 0):
+        used = taken.groupBy(F.col("project").alias("p")).agg(F.sum("n_bytes").alias("used"), F.count(F.lit(1)).alias("in"))
+        left = d.select("project", *keys, "n_bytes", "id").join(used, F.col("project").eqNullSafe(F.col("p")), "left").drop("p")
+        left = left.withColumns({"used": F.coalesce("used", F.lit(0)), "in": F.coalesce("in", F.lit(0))}).where(F.col("n_bytes") <= room - F.col("used"))
+        left = left.join(taken.select("id"), "id", "left_anti").withColumn("k", F.row_number().over(best)).where((F.col("k") <= space) & (F.col("k") + F.col("in") <= space))
+        new = left.withColumn("sum", F.sum("n_bytes").over(so_far)).where(F.col("sum") <= room - F.col("used")).select("project", "id", "n_bytes")
+        new.write.parquet(f"{folder}/taken-{n:04d}")
+        new = spark.read.schema(new.schema).parquet(f"{folder}/taken-{n:04d}")
+        if new.isEmpty():
+            break
+        taken = taken.unionByName(new)
+    out = d.join(taken.select("id", F.lit(True).alias("in")), "id", "left")
+    return out.select("project", "leaf_path", "line", "n_bytes", F.col("index_seq").cast("long").alias("index_seq"), F.coalesce("in", F.lit(False)).alias("included"))
 
 
 def render_index(selected: DataFrame, header: str = HEADER) -> DataFrame:

@@ -1,4 +1,6 @@
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -277,3 +279,20 @@ def test_archive_commits_whole_changes(spark, tmp_path):
     assert len(rows()) == 4
     with pytest.raises(Exception):
         a.read("turns", 1)
+
+
+def test_index_selection_in_rounds(spark):
+    """Against the sequential rule, with one project that holds nearly all facts, lines of all lengths, ties and a null project."""
+    rng = random.Random(3)
+    rows = [("big" if rng.random() < 0.9 else rng.choice(["a", None]), f"l{i % 590}.md", "t", "h" * rng.choice([1, 5, 40, 200, 700]), rng.choice([0, 0, 0, 1]), rng.choice(["user", "note"]), rng.randrange(3), "2026", i, "active", None) for i in range(600)]
+    f = spark.createDataFrame(rows, "project string, leaf_path string, title string, hook string, pinned int, type string, hits int, updated_at string, index_seq long, status string, superseded_at string")
+    for budget, most in ((3000, 200), (900, 200), (20_000, 30), (60, 200), (5, 200)):
+        ranked = sorted(FA.index_lines(f).collect(), key=lambda r: (r.project or "", r.place))
+        want, state = Counter(), {}
+        for r in ranked:
+            used, n = state.get(r.project, (len(FA.HEADER), 2))
+            if used + r.n_bytes <= budget and n < most:
+                state[r.project] = used + r.n_bytes, n + 1
+                want[r.project, r.line] += 1
+        got = Counter((r.project, r.line) for r in FA.select_index(f, budget=budget, max_lines=most).where("included").collect())
+        assert got == want and FA.select_index(f, budget=budget, max_lines=most).count() == 600
