@@ -324,6 +324,27 @@ def search_snippets(spark, sf_dir):
     return search.with_snippets(hits, ["the", "and"], 12, stemmed=False).select("seq", "snip")
 
 
+_SNIP = ["the", "with", "licensed", "password"]
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id AS seq, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+h AS (SELECT seq, len(w) AS n, i - 1 AS i, list_position({_SNIP}, strip_accents(lower(w[i]))) AS k FROM (SELECT seq, w, unnest(range(1, len(w) + 1)) AS i FROM t) WHERE list_contains({_SNIP}, strip_accents(lower(w[i])))),
+a AS (SELECT DISTINCT seq, least(i, greatest(0, n - 12)) AS s FROM h UNION SELECT seq, 0 FROM h),
+c AS (SELECT a.seq, s, count(DISTINCT k) AS m FROM a LEFT JOIN h ON h.seq = a.seq AND i >= s AND i < s + 12 GROUP BY ALL),
+b AS (SELECT seq, s FROM c QUALIFY row_number() OVER (PARTITION BY seq ORDER BY m DESC, s) = 1)
+SELECT b.seq, array_to_string(w[s + 1:s + 12], ' ') AS words FROM b JOIN t ON t.seq = b.seq"""
+)
+def search_snippet_windows(spark, sf_dir):
+    """The stretch that a snippet of a whole text shows: the twelve words with most of the asked ones."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}\p{N}]+"), 0)
+    form = lambda w: T.strip_marks(F.lower(w))
+    hits = d.where(F.exists(words, lambda w: form(w).isin(_SNIP)))
+    shown = F.regexp_extract_all(F.col("snip"), F.lit(r"[\p{L}\p{N}]+"), 0)
+    return search.with_snippets(hits, _SNIP, 12, stemmed=False).select("seq", F.array_join(shown, " ").alias("words"))
+
+
 def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("turn_id"), F.col("label").cast("string").alias("session_id"), F.col("embedding").alias("vec"))
 

@@ -102,3 +102,20 @@ def test_byte_sizes(spark):
             v /= 1000
 
     assert [(r.a, r.b) for r in got] == [(plain(r.n), plain(r.n, " ")) for r in got]
+
+
+def test_snippet_windows():
+    """Against counting every window, and in time for a text full of hits."""
+    import random
+    import time
+
+    from quarry.functions.snippet import best_start, snippet_of
+
+    rng = random.Random(2)
+    for _ in range(400):
+        n, size = rng.randrange(6, 60), rng.randrange(1, 6)
+        hits = [(a, a + rng.randrange(1, 4), rng.randrange(4)) for a in rng.choices(range(n - 3), k=rng.randrange(1, 20))]
+        every = {i: len({k for a, b, k in hits if a >= i and b <= i + size}) for i in {min(h[0], n - size) for h in hits} | {0}}
+        assert best_start(hits, n, size) == min(every, key=lambda i: (-every[i], i))
+    t = time.time()
+    assert snippet_of("a b " * 60_000 + "c a b", [["a"], ["b"], ["c"]], 3, False) == "…«a» «b» «c»… " .rstrip() and time.time() - t < 20
