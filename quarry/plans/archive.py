@@ -574,12 +574,21 @@ def maint_snapshot(spark, sf_dir):
 
 @query("SELECT n FROM (SELECT row_number() OVER (ORDER BY doc_id) AS n, count(*) OVER () AS m FROM documents) WHERE n > m - 100")
 def recall_trim_seen(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    d = table(spark, sf_dir, "documents").select(F.lit("s").alias("session"), F.lit("turn:x").alias("source"), F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("n"))
+    """A log with a line a document, numbered by its id; the newest hundred stay."""
+    d = table(spark, sf_dir, "documents").select(F.lit("s").alias("session"), F.lit("turn:x").alias("source"), (F.col("doc_id") + 1).alias("n"))
     return recall.trim_seen(d, max_lines=150, keep=100).select("n")
 
 
+@query(
+    """WITH l AS (SELECT doc_id + 1 AS n, octet_length(encode(source)) + octet_length(encode('turn:' || doc_id)) + 2 AS b FROM documents),
+k AS (SELECT *, sum(b) OVER (ORDER BY n DESC) AS room FROM l QUALIFY row_number() OVER (ORDER BY n DESC) <= 2000) SELECT n FROM k WHERE room <= 3000"""
+)
+def recall_trim_seen_bytes(spark, sf_dir):
+    """The same, where the bytes of the log are what binds."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("session"), F.concat(F.lit("turn:"), F.col("doc_id").cast("string")).alias("source"), (F.col("doc_id") + 1).alias("n"))
+    return recall.trim_seen(d, max_bytes=3000).select("n")
+
+
 @query(f"WITH {TURNS_SQL}, x AS (SELECT session_id, seq, lower(text) AS l, text FROM turns) SELECT session_id, 'topic:marked' AS tag FROM x GROUP BY 1 HAVING min(seq) >= 0 AND session_id::INT % 3 <> 0")
 def tags_replaced(spark, sf_dir):
     """Tags of sessions that changed go; those derived anew from turns without words are none."""

@@ -539,12 +539,12 @@ def stats_projects(spark, sf_dir):
     return stats.by_project(tables.turns(spark, sf_dir))
 
 
-_DAILY = "WITH d AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n_turns FROM orders WHERE o_totalprice > 200000 GROUP BY 1), z AS (SELECT strftime(x, '%Y-%m-%d') AS day FROM (SELECT unnest(range(min(day)::DATE, max(day)::DATE + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS x FROM d)), f AS (SELECT z.day, coalesce(n_turns, 0)::BIGINT AS n_turns FROM z LEFT JOIN d ON z.day = d.day)"
+_DAILY = "WITH d AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n_turns FROM orders GROUP BY 1), z AS (SELECT strftime(x, '%Y-%m-%d') AS day FROM (SELECT unnest(range(min(day)::DATE, max(day)::DATE + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS x FROM d)), f AS (SELECT z.day, coalesce(n_turns, 0)::BIGINT AS n_turns FROM z LEFT JOIN d ON z.day = d.day)"
 
 
 def _daily(spark, sf_dir):
     """Large orders as turns, so that some days have none."""
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 200000")
+    o = table(spark, sf_dir, "orders")
     return stats.zero_filled(stats.daily(o.select(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.lit(0).alias("is_meta"))))
 
 
