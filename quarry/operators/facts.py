@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as T
 from quarry.operators import search
-from quarry.session import shared_folder
+from quarry.session import shared_folder, ship
 
 TYPES = ("user", "feedback", "project", "reference")
 DUPLICATE_PCT = 35
@@ -288,7 +288,8 @@ def jaccard_pairs(df: DataFrame, id_col: str, terms: Column, pct: int = DUPLICAT
     """(a, b, pct): pairs a < b whose term sets share ``pct`` percent (integer division) of their union.
 
     Prefix filter: with terms in order of rarity, two sets that share enough must share one of their first
-    size - ceil(pct/100 * size) + 1 terms, so only those are joined on, and each pair is verified once.
+    size - ceil(pct/100 * size) + 1 terms, so only those are joined on. A pair is made at the first such term alone, if the sizes and
+    what follows that term in both leave room for enough shared terms, and verified there. ``first_duplicates`` needs no pairs of equal sets.
     """
     d = df.select(F.col(id_col).alias("id"), F.array_distinct(terms).alias("ts")).where(F.size("ts") > 0)
     freq = d.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
@@ -296,11 +297,110 @@ def jaccard_pairs(df: DataFrame, id_col: str, terms: Column, pct: int = DUPLICAT
         F.transform(F.sort_array(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("ts")
     )
     keep = F.size("ts") - F.ceil(F.size("ts") * F.lit(pct) / 100.0).cast("int") + 1
-    post = order.select("id", "ts", F.explode(F.slice("ts", F.lit(1), keep)).alias("t"))
-    pairs = post.alias("a").join(post.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id")))
+    post = order.select("id", "ts", keep.alias("keep"), F.posexplode(F.slice("ts", F.lit(1), keep)).alias("at", "t"))
+    na, nb = F.size("a.ts"), F.size("b.ts")
+    room = F.least(na - F.col("a.at"), nb - F.col("b.at"))
+    enough = lambda n: n * (100 + pct) >= F.lit(pct) * (na + nb)
+    first = F.get(F.array_intersect(F.slice("a.ts", F.lit(1), F.col("a.keep")), F.slice("b.ts", F.lit(1), F.col("b.keep"))), F.lit(0)) == F.col("a.t")
+    pairs = post.alias("a").join(post.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id")) & enough(room) & first)
     shared = F.size(F.array_intersect("a.ts", "b.ts"))
-    p = F.floor(shared * 100 / (F.size("a.ts") + F.size("b.ts") - shared)).cast("int")
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), p.alias("pct")).where(F.col("pct") >= pct).distinct()
+    p = F.floor(shared * 100 / (na + nb - shared)).cast("int")
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), p.alias("pct")).where(F.col("pct") >= pct)
+
+
+def _meets_all(kept: list[frozenset], never: frozenset, most: int, picks: frozenset = frozenset()) -> bool:
+    """Whether ``most`` names or fewer, none of them in ``never``, take one name or more from every set in ``kept``."""
+    free = next((s for s in kept if not s & picks), None)
+    if free is None:
+        return True
+    return len(picks) < most and any(_meets_all(kept, never, most, picks | {n}) for n in free - never)
+
+
+def _heads(members: DataFrame, most: int) -> DataFrame:
+    """Of each group ``g`` the members (g, id, names, pct) that may be the least one without certain names, whatever these are.
+
+    In ascending order a member stays if some ``most`` names, not its own, occur in all that stay already: only a leaf with these
+    names can want it. No more than binomial(2 * most, most) can stay (six, with two names a leaf). What stays of parts of a
+    group stays for the whole, so tasks thin their own members before any are sent.
+    """
+    ship(members.sparkSession)
+
+    def thin(rows: list[tuple]) -> list[tuple]:
+        kept: list[tuple] = []
+        for r in rows:
+            names = frozenset(r[1])
+            if _meets_all([k[3] for k in kept], names, most):
+                kept.append((*r[:3], names))
+        return [k[:3] for k in kept]
+
+    def frame(groups: dict) -> pd.DataFrame:
+        return pd.DataFrame([(g, *r) for g, rs in groups.items() for r in rs], columns=["g", "id", "names", "pct"])
+
+    def here(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        groups: dict = {}
+        for part in parts:
+            for g, i, names, pct in part.itertuples(index=False):
+                old = groups.get(g, [])
+                groups[g] = thin(sorted([*old, (i, tuple(names), pct)])) if old else [(i, tuple(names), pct)]
+            if len(groups) > 50_000:  # bounded memory; the rest is done after the shuffle
+                yield frame(groups)
+                groups = {}
+        yield frame(groups)
+
+    def sorted_groups(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, []
+        for part in parts:
+            done: dict = {}
+            for g, i, names, pct in part.itertuples(index=False):
+                if g != now:
+                    if kept:
+                        done[now] = kept
+                    now, kept = g, []
+                kept = thin([*kept, (i, tuple(names), pct)])
+            yield frame(done)
+        if kept:
+            yield frame({now: kept})
+
+    kind = members.schema["id"].dataType.simpleString()
+    schema = f"g string, id {kind}, names array<string>, pct int"
+    d = members.select("g", "id", "names", F.col("pct").cast("int").alias("pct")).mapInPandas(here, schema)
+    return d.repartition("g").sortWithinPartitions("g", "id").mapInPandas(sorted_groups, schema)
+
+
+def first_duplicates(df: DataFrame, id_col: str, names: Column, keys: Column, terms: Column, pct: int = DUPLICATE_PCT, most_names: int = 2) -> DataFrame:
+    """(id, of, how, pct): per row the least earlier id that shares a key with it (how 0, pct null) or ``pct`` percent of the terms (how 1).
+
+    Rows with a name in common do not count; a row has ``most_names`` names at most. Without pairs of rows: rows of one
+    term set are one class, only classes are compared, and of a class and all classes near it the few heads are kept. So n rows of one text
+    cost n rows. Null ids are left out, null names, keys and terms are none; repeated ids are one row each.
+    """
+    none = F.array().cast("array<string>")
+    clean = lambda c: F.coalesce(F.array_distinct(F.filter(c.cast("array<string>"), lambda x: x.isNotNull())), none)
+    d = df.select(F.col(id_col).alias("id"), clean(names).alias("names"), clean(keys).alias("keys"), F.array_sort(clean(terms)).alias("ts")).where("id is not null")
+    d = d.withColumn("c", F.when(F.size("ts") > 0, F.sha2(F.to_json("ts"), 256)))
+    folder = shared_folder(df.sparkSession, "duplicates")
+
+    def cut(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{name}")
+
+    d = cut(d, "rows")  # read several times, as are near classes and their heads
+    keyed = d.select("id", "names", F.explode("keys").alias("g"))
+    by_key = _heads(keyed.withColumn("pct", F.lit(None).cast("int")), most_names)
+    termed = d.where("c is not null").select("id", "names", F.col("c").alias("g"), "ts")
+    near = cut(jaccard_pairs(cut(termed.groupBy("g").agg(F.any_value("ts").alias("ts")), "classes"), "g", F.col("ts"), pct), "near")
+    near = near.union(near.select("b", "a", "pct"))
+    own = cut(_heads(termed.withColumn("pct", F.lit(100)), most_names), "heads")
+    others = near.join(own.select(F.col("g").alias("b"), "id", "names"), "b").select(F.col("a").alias("g"), "id", "names", "pct")
+    by_terms = _heads(own.unionByName(others), most_names)
+
+    def found(rows: DataFrame, heads: DataFrame, how: int) -> DataFrame:
+        h = heads.select("g", F.col("id").alias("of"), F.col("names").alias("theirs"), "pct")
+        d = rows.select("g", "id", "names").join(h, "g").where((F.col("of") < F.col("id")) & ~F.arrays_overlap("names", "theirs"))
+        return d.select("id", F.struct("of", F.lit(how).alias("how"), "pct").alias("m"))
+
+    best = found(keyed, by_key, 0).union(found(termed, by_terms, 1)).groupBy("id").agg(F.min("m").alias("m"))
+    return best.select("id", "m.of", "m.how", "m.pct")
 
 
 @F.pandas_udf(BooleanType())
@@ -315,8 +415,11 @@ def _spliced(bodies: pd.Series) -> pd.Series:
     return bodies.map(bad)
 
 
-def doctor(leaves: DataFrame, facts: DataFrame, now: str) -> DataFrame:
-    """(leaf_path, check_no, severity, message), in leaf and check order. ``leaves`` are parsed; ``facts`` of one project."""
+def doctor(leaves: DataFrame, facts: DataFrame, now: str, duplicates: bool = True) -> DataFrame:
+    """(leaf_path, check_no, severity, message), in leaf and check order. ``leaves`` are parsed; ``facts`` of one project.
+
+    Check 13 writes tables of its own; without ``duplicates`` it is left out.
+    """
     d = leaves.withColumn("spliced", _spliced("body")).join(facts, "leaf_path", "full_outer")
     listed, row = F.col("content").isNotNull() | F.col("error").isNotNull(), F.col("status").isNotNull()
     here = F.col("content").isNotNull() & F.col("error").isNull()
@@ -358,19 +461,18 @@ def doctor(leaves: DataFrame, facts: DataFrame, now: str) -> DataFrame:
     wanted = links(leaves.where("error is null")).withColumn("k", link_key(F.col("target"))).join(stems, "k", "left_anti")
     dangling = wanted.select(F.col("src").alias("leaf_path"), F.lit(12).alias("check_no"), soft.alias("severity"), F.concat(F.lit("dangling link "), "target").alias("message"))
 
+    out = out.union(dup).union(dangling)
+    if not duplicates:
+        return out.orderBy("leaf_path", "check_no")
     live = d.where(here & F.col("ours"))
     terms = F.transform(T.extract_terms(F.coalesce("leaf_description", F.lit(""))), lambda t: F.regexp_replace(F.lower(t), r"\.+$", ""))
     fold = lambda x: F.replace(x, F.lit("_"), F.lit("-"))
-    folded = live.select("leaf_path", F.explode(F.array_distinct(F.transform(F.concat("names", F.array(F.lower(_stem()))), fold))).alias("k"))
-    by_name = folded.alias("a").join(folded.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.leaf_path") < F.col("b.leaf_path")))
-    by_name = by_name.select(F.col("a.leaf_path").alias("a"), F.col("b.leaf_path").alias("b"), F.lit(0).alias("how"), F.lit("names differ only by - and _").alias("why"))
-    alike = jaccard_pairs(live, "leaf_path", terms).select("a", "b", F.lit(1).alias("how"), F.concat(F.lit("descriptions share "), F.col("pct").cast("string"), F.lit("% of terms")).alias("why"))
-    own = live.select("leaf_path", "names")
-    pairs = by_name.union(alike).join(own.select(F.col("leaf_path").alias("a"), F.col("names").alias("na")), "a").join(own.select(F.col("leaf_path").alias("b"), F.col("names").alias("nb")), "b")
+    folded = F.transform(F.concat("names", F.array(F.lower(_stem()))), fold)
     # A pair with one exact name is a duplicate name already.
-    similar = pairs.where(~F.arrays_overlap("na", "nb")).groupBy(F.col("b").alias("leaf_path")).agg(F.min(F.struct("a", "how", "why")).alias("m"))
-    similar = similar.select("leaf_path", F.lit(13).alias("check_no"), soft.alias("severity"), F.concat(F.lit("possible duplicate of "), "m.a", F.lit(": "), "m.why").alias("message"))
-    return out.union(dup).union(dangling).union(similar).orderBy("leaf_path", "check_no")
+    similar = first_duplicates(live, "leaf_path", F.col("names"), folded, terms)
+    why = F.when(F.col("how") == 0, F.lit("names differ only by - and _")).otherwise(F.concat(F.lit("descriptions share "), F.col("pct").cast("string"), F.lit("% of terms")))
+    similar = similar.select(F.col("id").alias("leaf_path"), F.lit(13).alias("check_no"), soft.alias("severity"), F.concat(F.lit("possible duplicate of "), "of", F.lit(": "), why).alias("message"))
+    return out.union(similar).orderBy("leaf_path", "check_no")
 
 
 def doctor_totals(findings: DataFrame) -> DataFrame:

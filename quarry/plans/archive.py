@@ -255,13 +255,12 @@ UNION ALL SELECT leaf_path, 12, 'warning' FROM lk WHERE t NOT IN (SELECT x FROM
 )
 def facts_doctor(spark, sf_dir):
     """All checks but 13, which has its own query."""
-    return FA.doctor(leaves(spark, sf_dir), stored_facts(spark, sf_dir), "2024-06-01").where("check_no <> 13").select("leaf_path", "check_no", "severity")
+    return FA.doctor(leaves(spark, sf_dir), stored_facts(spark, sf_dir), "2024-06-01", duplicates=False).select("leaf_path", "check_no", "severity")
 
 
 @query(f"SELECT count(*) FILTER (severity = 'error')::BIGINT AS errors, count(*) FILTER (severity = 'warning')::BIGINT AS warnings FROM ({SQL['facts_doctor']})")
 def facts_doctor_totals(spark, sf_dir):
-    d = FA.doctor(leaves(spark, sf_dir), stored_facts(spark, sf_dir), "2024-06-01")
-    return FA.doctor_totals(d.where("check_no <> 13"))
+    return FA.doctor_totals(FA.doctor(leaves(spark, sf_dir), stored_facts(spark, sf_dir), "2024-06-01", duplicates=False))
 
 
 @query(

@@ -807,6 +807,19 @@ def facts_jaccard_duplicates(spark, sf_dir):
     return FA.jaccard_pairs(b.union(changed), "id", T.ascii_tokens(F.col("text")))
 
 
+@query(
+    """WITH t AS (SELECT p_partkey AS k, [p_brand, 'size ' || p_size] AS names, [p_type || p_partkey % 97] AS keys, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+')) AS ts FROM part),
+p AS (SELECT b.k AS id, a.k AS f, list_has_any(a.keys, b.keys) AS same, len(list_intersect(a.ts, b.ts)) AS n, len(a.ts) + len(b.ts) AS total FROM t a JOIN t b ON a.k < b.k WHERE NOT list_has_any(a.names, b.names)),
+m AS (SELECT id, min(f) AS f FROM p WHERE same OR n * 100 // (total - n) >= 35 GROUP BY 1)
+SELECT m.id, m.f AS of, CASE WHEN same THEN 0 ELSE 1 END AS how, CASE WHEN NOT same THEN n * 100 // (total - n) END::INT AS pct FROM m JOIN p ON p.id = m.id AND p.f = m.f"""
+)
+def facts_first_duplicates(spark, sf_dir):
+    """Parts by type and words, which make few classes, without those of the same brand or size."""
+    p = table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("string")
+    return FA.first_duplicates(p, "p_partkey", F.array("p_brand", F.concat(F.lit("size "), size)), F.array(F.concat("p_type", (F.col("p_partkey") % 97).cast("string"))), T.ascii_tokens(F.concat_ws(" ", "p_name", "p_type")))
+
+
 # Maintenance.
 
 

@@ -200,6 +200,36 @@ def test_facts_doctor_links_and_index(spark):
     assert ("a.md", 13) not in got and ("a.md", 15) not in got
 
 
+def test_first_duplicates_equal_a_walk_over_all_pairs(spark):
+    rng = random.Random(5)
+    pick = lambda pool, k: [rng.choice(pool) for _ in range(rng.randint(0, k))]
+    rows = [(f"{i:03d}.md", pick("mnopqr", 2), pick("xyz", 1), pick(["ab", "cd", "ef", "gh", "ij", "kl"], 4)) for i in range(400)]
+    rows += [("400.md", None, None, None), ("401.md", ["m", None], ["x", None], [None]), (None, ["m"], ["x"], ["ab"])]
+    want = {}
+    for j, (b, nb, kb, tb) in enumerate(rows[:-1]):
+        nb, kb, tb = ({x for x in v or () if x} for v in (nb, kb, tb))
+        for a, na, ka, ta in rows[:j]:
+            na, ka, ta = ({x for x in v or () if x} for v in (na, ka, ta))
+            pct = len(ta & tb) * 100 // len(ta | tb) if ta and tb else 0
+            if not na & nb and (ka & kb or pct >= 35):
+                want[b] = (a, 0, None) if ka & kb else (a, 1, pct)
+                break
+    df = spark.createDataFrame(rows, "p string, n array<string>, k array<string>, t array<string>").repartition(7)
+    got = FA.first_duplicates(df, "p", F.col("n"), F.col("k"), F.col("t"))
+    assert {r.id: (r.of, r.how, r.pct) for r in got.collect()} == want and len(want) > 200
+    assert FA.first_duplicates(df.limit(0), "p", F.col("n"), F.col("k"), F.col("t")).count() == 0
+
+
+def test_first_duplicates_of_one_text(spark):
+    """Equal texts cost a row each: as pairs these would be 80 million."""
+    i = F.col("id").cast("string")
+    d = spark.range(40_000).select("id", F.array(F.concat(F.lit("n"), i)).alias("n"), F.array(F.concat(F.lit("k"), i)).alias("k"), F.array(F.lit("cache"), F.lit("rollout")).alias("t"))
+    got = FA.first_duplicates(d, "id", F.col("n"), F.col("k"), F.col("t"))
+    assert tuple(got.agg(F.count(F.lit(1)), F.max("of"), F.min("pct"), F.max("how")).first()) == (39_999, 0, 100, 1)
+    kept = FA._heads(d.select(F.lit("g").alias("g"), "id", F.col("n").alias("names"), F.lit(100).alias("pct")), 2)
+    assert kept.count() <= 6
+
+
 def test_index_budget_skips_and_goes_on(spark):
     rows = [{"project": "p", "leaf_path": f"{i}.md", "title": "t" * n, "hook": "", "type": "user", "index_seq": i, "status": "active", "pinned": 0, "hits": 0, "updated_at": "2026-01-01"} for i, n in enumerate((10, 60, 5, 1))]
     facts = spark.createDataFrame(rows, schema.FACTS)
