@@ -3,8 +3,9 @@
 A document of n tokens (its ids, then the end id) fills n // WINDOW windows by itself; only its
 remainder, shorter than a window, needs company. The histogram of remainder lengths (WINDOW - 1 counts
 at most, whatever the corpus) goes to the driver. There, shallow combinations of two to four lengths
-that fill a window exactly are enumerated, non-negative least squares gives how often each is used, and
-rounding down keeps within the histogram. What is left is packed greedily: the longest length takes the fewest others, DEEP
+that fill a window exactly are enumerated, and non-negative least squares gives how often each is used. Repeats are rounded
+down, then up in order of their fractions as far as the histogram allows, and what is left is solved again, with combinations of its own,
+until a round places nothing (three or four rounds). The residual is packed greedily: the longest length takes the fewest others, DEEP
 at most, that fill its window exactly, as often as they last. The few lengths without such company are laid end to end
 and cut at window ends; the last, partial window is cut at powers of two, which need no padding. So padding is zero.
 
@@ -212,8 +213,6 @@ def plan(hist: np.ndarray) -> dict:
     or before it. Ranks from ``taken[a]`` on lie on the residual line, from ``line[a]`` tokens on.
     """
     left = hist.astype(np.int64).copy()
-    cols = combinations(left)
-    x = nnls(cols, left) if cols else np.zeros(0)
     slots: dict[int, list[tuple[int, int, int]]] = {}
     taken = np.zeros(WINDOW, np.int64)
     seq = 0
@@ -226,13 +225,21 @@ def plan(hist: np.ndarray) -> dict:
             left[a] -= k
             off += a
 
-    for j in sorted(range(len(cols)), key=lambda j: (-x[j], cols[j])):
-        at, times = np.unique(np.array(cols[j]), return_counts=True)
-        k = int(min(np.floor(x[j] + 1e-9), (left[at] // times).min()))
-        if k < 1:
-            continue
-        use(cols[j], k)
-        seq += k
+    while cols := combinations(left):
+        x = nnls(cols, left)
+        whole = np.floor(x + 1e-9)
+        before = seq
+        # Whole repeats by size, then one more by fraction, as far as the histogram goes; what is left is solved again.
+        for part, most in ((x, whole), (x - whole, np.ceil(x - whole))):
+            for j in sorted(range(len(cols)), key=lambda j: (-part[j], cols[j])):
+                at, times = np.unique(np.array(cols[j]), return_counts=True)
+                k = int(min(most[j], (left[at] // times).min()))
+                if k > 0:
+                    use(cols[j], k)
+                    seq += k
+        if seq == before:
+            break
+    solved = 1 - left.sum() / max(1, hist.sum())
 
     for a in range(WINDOW - 1, 0, -1):  # the greedy part
         while left[a] > 0:
@@ -249,7 +256,7 @@ def plan(hist: np.ndarray) -> dict:
     np.cumsum(left * np.arange(WINDOW), out=line[1:])
     share = 1 - left.sum() / max(1, hist.sum())
     return {
-        "share": float(share),  # of the remainders, whole in a window that they fill with others
+        "solved": float(solved), "share": float(share),  # of the remainders, whole in a window that they fill with others: by least squares; by these and greedily
         "slots": {a: tuple(np.array(v, np.int64).T) for a, v in slots.items()},
         "taken": taken, "line": line[:-1], "total": int(line[-1]), "first": seq, "residual": left,
     }

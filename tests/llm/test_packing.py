@@ -69,6 +69,30 @@ def test_plan_uses_every_rank_once():
     assert p["first"] > 500
 
 
+def test_least_squares_place_most_of_sparse_lengths():
+    """Counts of one or two a length, as long as documents here on average: the solution is nearly all fractions, yet over half find a place."""
+    rng = np.random.default_rng(4)
+    hist = np.zeros(packing.WINDOW, np.int64)
+    np.add.at(hist, np.clip(rng.gamma(2.0, 330.0, 1000).astype(int), 1, packing.WINDOW - 1), 1)
+    p = packing.plan(hist)
+    assert 0.5 < p["solved"] <= p["share"] and (p["taken"] <= hist).all()
+    filled = {}
+    for a, (first, base, off) in p["slots"].items():
+        ends = [*first[1:], p["taken"][a]]
+        for f, b, o, e in zip(first, base, off, ends):
+            for k in range(int(e - f)):
+                filled.setdefault(int(b) + k, []).append((int(o), a))
+    assert len(filled) == p["first"]
+    for parts in filled.values():
+        at = 0
+        for o, a in sorted(parts):
+            assert o == at
+            at += a
+        assert at == packing.WINDOW
+    empty = packing.plan(np.zeros(packing.WINDOW, np.int64))
+    assert empty["first"] == 0 and empty["solved"] == 1.0
+
+
 def test_nnls():
     cols = [(1, 3), (2, 2), (1, 1, 2)]
     target = np.array([0.0, 30, 40, 10])
