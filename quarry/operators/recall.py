@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as T
-from quarry.operators import search
+from quarry.operators import index, search
 
 MIN_PROMPT = 8
 MIN_TERMS = 2
@@ -62,12 +62,28 @@ def _has(tokens, term: str):
     return F.exists(tokens, lambda x: T.token_matches_loose(x, F.lit(term)))
 
 
+def _elsewhere(project: str, live: str | None) -> Column:
+    where = F.col("project") == project
+    return where if live is None else where & (F.col("session_id") != live)
+
+
 def candidates(turns: DataFrame, prompt: Prompt, project: str, live: str | None = None, tokenizer=T.index_tokens) -> DataFrame:
     """The best matches in the project, of other sessions, with ``n_matched`` of all terms and whether an anchor is among them."""
-    where = F.col("project") == project
-    if live is not None:
-        where = where & (F.col("session_id") != live)
-    best = search.match_scores(turns, prompt.match, any_of=True, tokenizer=tokenizer, where=where).orderBy("score", "session_id", "seq").limit(CANDIDATES)
+    best = search.match_scores(turns, prompt.match, any_of=True, tokenizer=tokenizer, where=_elsewhere(project, live))
+    return _judged(best.orderBy("score", "session_id", "seq").limit(CANDIDATES), prompt)
+
+
+def indexed_candidates(spark, folder: str, prompt: Prompt, project: str, live: str | None = None, tokenizer=T.index_tokens) -> DataFrame:
+    """``candidates`` from a stored index of turns: postings of the terms, then ids and projects of the rows, then the texts of the best alone."""
+    r = index.Reader(spark, folder, tokenizer)
+    s = index.match_scores(spark, folder, prompt.match, any_of=True, tokenizer=tokenizer, version=r.m["version"])
+    ids = r.rows().where(_elsewhere(project, live)).select("rid", "session_id", "seq")
+    best = ids.join(s, "rid").orderBy("score", "session_id", "seq").limit(CANDIDATES).select("rid", "score").collect()  # CANDIDATES rows at most
+    scores = spark.createDataFrame([tuple(x) for x in best], "rid long, score double")
+    return _judged(r.look_up(scores, [x["rid"] for x in best]).drop("rid"), prompt)
+
+
+def _judged(best: DataFrame, prompt: Prompt) -> DataFrame:
     toks = T.turn_tokens(F.lower("text"))
     hit = [_has(toks, t.lower()) for t in prompt.terms]
     n = reduce(lambda a, b: a + b, [h.cast("int") for h in hit])
@@ -79,8 +95,24 @@ def run(turns: DataFrame, prompt_text: str, project: str, now: str, live: str |
     """(session_id, seq, ts, text, score, rank): the lines to show; empty to stay silent. ``now`` is an ISO time."""
     prompt = read_prompt(turns.sparkSession, prompt_text)
     if prompt is None:
-        return turns.where(F.lit(False)).select("session_id", "seq", "ts", "text", F.lit(0.0).alias("score"), F.lit(0.0).alias("rank"))
-    c = candidates(turns, prompt, project, live, tokenizer).where((F.col("n_matched") >= prompt.required) & F.col("anchored"))
+        return _silent(turns)
+    return _lines(candidates(turns, prompt, project, live, tokenizer), prompt, now, seen, shown_facts)
+
+
+def run_indexed(spark, folder: str, prompt_text: str, project: str, now: str, live: str | None = None, seen: DataFrame | None = None, shown_facts: int = 0, tokenizer=T.index_tokens) -> DataFrame:
+    """``run`` from a stored index of turns; no text is read but those of the best ``CANDIDATES`` rows."""
+    prompt = read_prompt(spark, prompt_text)
+    if prompt is None:
+        return _silent(index.rows(spark, folder))
+    return _lines(indexed_candidates(spark, folder, prompt, project, live, tokenizer), prompt, now, seen, shown_facts)
+
+
+def _silent(turns: DataFrame) -> DataFrame:
+    return turns.where(F.lit(False)).select("session_id", "seq", "ts", "text", F.lit(0.0).alias("score"), F.lit(0.0).alias("rank"))
+
+
+def _lines(c: DataFrame, prompt: Prompt, now: str, seen: DataFrame | None, shown_facts: int) -> DataFrame:
+    c = c.where((F.col("n_matched") >= prompt.required) & F.col("anchored"))
     everything = Window.partitionBy()  # CANDIDATES rows at most
     c = c.withColumn("best", F.min("score").over(everything)).where((F.col("best") >= 0) | (F.col("score") <= F.col("best") / FLOOR))
     age = F.greatest(F.lit(0), F.unix_timestamp(F.try_to_timestamp(F.lit(now))) - F.unix_timestamp(F.try_to_timestamp("ts"))) / 86400.0

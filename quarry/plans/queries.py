@@ -754,6 +754,19 @@ def recall_lines(spark, sf_dir):
     return out.select("session_id", "seq", "ts", "text", _score(), F.round("rank", 6).alias("rank"))
 
 
+@query(SQL["recall_lines"])
+def recall_lines_indexed(spark, sf_dir):
+    """The same lines from a stored index of the turns, built once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "turns")
+    if key not in _BUILT:
+        folder = workspace(spark, "index")
+        index.build(tables.turns(spark, sf_dir), folder, T.ascii_tokens)
+        _BUILT[key] = folder
+    prompt = "how did the erlich and schsch work with erheit hetion?"
+    out = recall.run_indexed(spark, _BUILT[key], prompt, "p1", "2024-06-01T00:00:00Z", live="1", tokenizer=T.ascii_tokens)
+    return out.select("session_id", "seq", "ts", "text", _score(), F.round("rank", 6).alias("rank"))
+
+
 # Facts.
 
 

@@ -149,3 +149,23 @@ def test_recall_leaves_out_what_was_shown_and_caps_terms(spark, turns):
     assert len(p.terms) == 16 and len(p.match) == recall.MAX_MATCH_TERMS and p.match[0] == "LONGEST-identifier-9"
     full = spark.createDataFrame([("s", f"turn:{'x' * 1000}{k}", k) for k in range(30)], "session string, source string, n long")
     assert sorted(r.n for r in recall.trim_seen(full, max_bytes=5100).collect()) == list(range(25, 30))
+
+
+def test_recall_through_the_index_equals_the_scan(spark, turns, tmp_path):
+    from quarry.operators import index
+
+    ask, now, folder = "how did we handle the cache-prod TICKET-123 rollout?", "2027-01-12T00:00:00Z", f"file://{tmp_path}/ix"
+    index.build(turns, folder)
+
+    def same(left, project="-tmp-demo", **more):
+        shape = lambda d: [(r.session_id, r.seq, r.text, round(r.score, 9), round(r["rank"], 9)) for r in d.collect()]
+        want = shape(recall.run(left, ask, project, now, **more))
+        assert shape(recall.run_indexed(spark, folder, ask, project, now, **more)) == want
+        return want
+
+    best = same(turns, live="zzz")[0]
+    assert same(turns, live=best[0]) != [best] and not same(turns, project="other")
+    same(turns, seen=spark.createDataFrame([("x", f"turn:{best[0]}/{best[1]}")], "session string, source string"))
+    index.forget(spark, folder, F.col("session_id") == best[0])
+    assert best[0] not in {r[0] for r in same(turns.where(F.col("session_id") != best[0]))}
+    assert recall.run_indexed(spark, folder, "short", "-tmp-demo", now).count() == 0
