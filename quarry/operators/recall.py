@@ -91,12 +91,15 @@ def _judged(best: DataFrame, prompt: Prompt) -> DataFrame:
     return best.withColumns({"n_matched": n, "anchored": anchor})
 
 
-def run(turns: DataFrame, prompt_text: str, project: str, now: str, live: str | None = None, seen: DataFrame | None = None, shown_facts: int = 0, tokenizer=T.index_tokens) -> DataFrame:
-    """(session_id, seq, ts, text, score, rank): the lines to show; empty to stay silent. ``now`` is an ISO time."""
+def run(turns: DataFrame, prompt_text: str, project: str, now: str, live: str | None = None, seen: DataFrame | None = None, shown_facts: int = 0, tokenizer=T.index_tokens, ahead: bool = False) -> DataFrame:
+    """(session_id, seq, ts, text, score, rank): the lines to show; empty to stay silent. ``now`` is an ISO time.
+
+    Turns from after ``now`` count as just written, or with ``ahead`` as ever newer, so their bonus grows with the distance.
+    """
     prompt = read_prompt(turns.sparkSession, prompt_text)
     if prompt is None:
         return _silent(turns)
-    return _lines(candidates(turns, prompt, project, live, tokenizer), prompt, now, seen, shown_facts)
+    return _lines(candidates(turns, prompt, project, live, tokenizer), prompt, now, seen, shown_facts, ahead)
 
 
 def run_indexed(spark, folder: str, prompt_text: str, project: str, now: str, live: str | None = None, seen: DataFrame | None = None, shown_facts: int = 0, tokenizer=T.index_tokens) -> DataFrame:
@@ -111,11 +114,12 @@ def _silent(turns: DataFrame) -> DataFrame:
     return turns.where(F.lit(False)).select("session_id", "seq", "ts", "text", F.lit(0.0).alias("score"), F.lit(0.0).alias("rank"))
 
 
-def _lines(c: DataFrame, prompt: Prompt, now: str, seen: DataFrame | None, shown_facts: int) -> DataFrame:
+def _lines(c: DataFrame, prompt: Prompt, now: str, seen: DataFrame | None, shown_facts: int, ahead: bool = False) -> DataFrame:
     c = c.where((F.col("n_matched") >= prompt.required) & F.col("anchored"))
     everything = Window.partitionBy()  # CANDIDATES rows at most
     c = c.withColumn("best", F.min("score").over(everything)).where((F.col("best") >= 0) | (F.col("score") <= F.col("best") / FLOOR))
-    age = F.greatest(F.lit(0), F.unix_timestamp(F.try_to_timestamp(F.lit(now))) - F.unix_timestamp(F.try_to_timestamp("ts"))) / 86400.0
+    age = F.unix_timestamp(F.try_to_timestamp(F.lit(now))) - F.unix_timestamp(F.try_to_timestamp("ts"))
+    age = (age if ahead else F.greatest(F.lit(0), age)) / 86400.0
     bonus = RECENCY * F.least(F.abs("best"), F.lit(MAX_SCALE)) * F.coalesce(F.pow(F.lit(0.5), age / HALF_LIFE), F.lit(0.0))
     c = c.withColumn("rank", F.col("score") - bonus)
     if seen is not None:

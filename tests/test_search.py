@@ -169,3 +169,33 @@ def test_recall_through_the_index_equals_the_scan(spark, turns, tmp_path):
     index.forget(spark, folder, F.col("session_id") == best[0])
     assert best[0] not in {r[0] for r in same(turns.where(F.col("session_id") != best[0]))}
     assert recall.run_indexed(spark, folder, "short", "-tmp-demo", now).count() == 0
+
+
+def later_turns(spark, folder):
+    """Turns of project p1 from before and from after the time at which the recall queries ask, as a table of conversations."""
+    said = ["erlich schsch work erheit", "erlich schsch", "erlich erheit hetion some more words here", "nothing of it at all", "other words only", "yet other ones"]
+    rows = [(conv, 0, "user", said[k % 6]) for k, conv in enumerate([9, 3609, 4601, 4761, *range(17, 200, 2), *range(5001, 5100, 4)])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    return folder
+
+
+def by_sql(folder, query):
+    import duckdb
+
+    from quarry.plans.registry import SQL
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{folder}/conversations.parquet/*.parquet')")
+    return con.execute(SQL[query]).fetchall()
+
+
+def test_recall_lines_of_turns_after_the_asking_equal_their_sql(spark, tmp_path):
+    from quarry.plans import queries
+
+    folder = later_turns(spark, str(tmp_path))
+    got = [tuple(r) for r in queries.QUERIES["recall_lines"](spark, folder).collect()]
+    assert got == by_sql(folder, "recall_lines") and max(r[2] for r in got) > "2024-06-01"
+    # By themselves they count as just written.
+    ask = "how did the erlich and schsch work with erheit hetion?"
+    plain = recall.run(queries.tables.turns(spark, folder), ask, "p1", "2024-06-01T00:00:00Z", live="1", tokenizer=T.ascii_tokens).collect()
+    assert plain and all(r["rank"] >= r["score"] - 1.5 for r in plain)
