@@ -102,12 +102,12 @@ def run(turns: DataFrame, prompt_text: str, project: str, now: str, live: str |
     return _lines(candidates(turns, prompt, project, live, tokenizer), prompt, now, seen, shown_facts, ahead)
 
 
-def run_indexed(spark, folder: str, prompt_text: str, project: str, now: str, live: str | None = None, seen: DataFrame | None = None, shown_facts: int = 0, tokenizer=T.index_tokens) -> DataFrame:
+def run_indexed(spark, folder: str, prompt_text: str, project: str, now: str, live: str | None = None, seen: DataFrame | None = None, shown_facts: int = 0, tokenizer=T.index_tokens, ahead: bool = False) -> DataFrame:
     """``run`` from a stored index of turns; no text is read but those of the best ``CANDIDATES`` rows."""
     prompt = read_prompt(spark, prompt_text)
     if prompt is None:
         return _silent(index.rows(spark, folder))
-    return _lines(indexed_candidates(spark, folder, prompt, project, live, tokenizer), prompt, now, seen, shown_facts)
+    return _lines(indexed_candidates(spark, folder, prompt, project, live, tokenizer), prompt, now, seen, shown_facts, ahead)
 
 
 def _silent(turns: DataFrame) -> DataFrame:

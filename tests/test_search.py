@@ -199,3 +199,10 @@ def test_recall_lines_of_turns_after_the_asking_equal_their_sql(spark, tmp_path)
     ask = "how did the erlich and schsch work with erheit hetion?"
     plain = recall.run(queries.tables.turns(spark, folder), ask, "p1", "2024-06-01T00:00:00Z", live="1", tokenizer=T.ascii_tokens).collect()
     assert plain and all(r["rank"] >= r["score"] - 1.5 for r in plain)
+
+
+def test_recall_lines_indexed_of_turns_after_the_asking_equal_their_sql(spark, tmp_path):
+    from quarry.plans import queries
+
+    folder = later_turns(spark, str(tmp_path))
+    assert [tuple(r) for r in queries.QUERIES["recall_lines_indexed"](spark, folder).collect()] == by_sql(folder, "recall_lines_indexed")
