@@ -2,8 +2,8 @@
 
     ingest(spark, root, folder, checkpoint).awaitTermination()
 
-Offsets are sizes in bytes per file: the driver lists files and opens none. A batch reads the new bytes of each file in ranges, each a
-task; a line belongs to the range in which it ends, so a task looks back from its start to the line's beginning. Lines are counted per
+Offsets are sizes in bytes per file: the driver lists files and opens none. A batch reads the new bytes of each file in ranges, short
+ones several to a task; a line belongs to the range in which it ends, so a task looks back from its start to the line's beginning. Lines are counted per
 range, and what a file had before comes from the store's table ``cursors``. Each batch is one commit of ``turns`` and ``cursors``, with
 its number, so a batch that runs again changes nothing.
 
@@ -26,6 +26,8 @@ from quarry.sources.store import Store
 from quarry.sources.transcripts import NOISE, _turns, turn_of
 
 RANGE = 64 << 20
+#: A task reads ranges of this many bytes together, or of a SHARE-th of the batch, and MANY ranges at most.
+LEAST, SHARE, MANY = 1 << 20, 256, 500
 BACK = 1 << 16
 #: k is a turn's line in its range; the row with k = -1 has the range's number of lines instead.
 SCHEMA = "path string, start long, fresh boolean, lines long, k long, uuid string, ts string, role string, text string, is_meta int, is_sidechain int, cwd string"
@@ -38,6 +40,34 @@ class _Part(InputPartition):
         self.path, self.start, self.stop, self.fresh = path, start, stop, fresh
 
 
+class _Parts(InputPartition):
+    def __init__(self, parts: list[_Part]):
+        super().__init__(0)
+        self.parts = parts
+
+    @property
+    def start(self) -> int:
+        return self.parts[0].start
+
+    @property
+    def stop(self) -> int:
+        return self.parts[-1].stop
+
+
+def _dealt(parts: list[_Part], size: int) -> list[_Parts]:
+    """Ranges as tasks: small ones go together, so that many short files are not as many tasks."""
+    room = min(size, max(LEAST, sum(p.stop - p.start for p in parts) // SHARE))
+    out, held = [], 0
+    for p in parts:
+        n = p.stop - p.start
+        if not out or held + n > room or len(out[-1].parts) == MANY:
+            out.append(_Parts([]))
+            held = 0
+        out[-1].parts.append(p)
+        held += n
+    return out
+
+
 def line_start(f, at: int) -> int:
     """Where the line begins that place ``at`` of a file is in."""
     while at > 0:
@@ -70,10 +100,14 @@ class _Reader(DataSourceStreamReader):
             if stop < at:
                 at, fresh = 0, True
             out += [_Part(path, a, min(a + self.size, stop), fresh) for a in range(at, stop, self.size)]
-        return out
+        return _dealt(out, self.size)
 
-    def read(self, part: _Part) -> Iterator[tuple]:
+    def read(self, parts: _Parts) -> Iterator[tuple]:
         fs, _ = pafs.FileSystem.from_uri(self.root)
+        for part in parts.parts:
+            yield from self._range(fs, part)
+
+    def _range(self, fs: pafs.FileSystem, part: _Part) -> Iterator[tuple]:
         with fs.open_input_file(part.path) as f:
             begin = line_start(f, part.start)
             f.seek(begin)
