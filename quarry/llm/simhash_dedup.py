@@ -10,10 +10,10 @@ large to compare inside one task go that way, so no bucket is cut short.
 Everything runs on distinct fingerprints, so copies cost one row each. A bucket's links are reduced to a
 spanning tree before they leave the task: output is linear in the bucket.
 
-``deduplicate`` asks for more than RADIUS finds: texts link there if the Jaccard similarity of their shingle
-sets is SIMILARITY or more, at which fingerprints differ in about ten bits. Candidates share one of BANDS keys
-of ROWS minimum hashes each (a pair at 0.8 does with probability 0.9999, a more similar one almost surely) and
-are verified on their whole shingle sets. Equal sets are one class; buckets of the same members are compared once,
+``deduplicate`` links texts by the Jaccard similarity of their shingle sets, SIMILARITY or more. Candidates are the groups
+whose fingerprints hang together within RADIUS. As fingerprints at 0.8 differ in about ten bits, those that share one of BANDS keys
+of ROWS minimum hashes each (a pair at 0.8 does with probability 0.9999, a more similar one almost surely) are candidates too.
+All are verified on their whole shingle sets. Equal sets are one class; buckets of the same members are compared once,
 buckets over BLOCK members as pairs of blocks in tasks of their own, so no bucket is cut short.
 
 Defined results: a text without words (null, empty, blank) has fingerprint zero and links like any
@@ -237,20 +237,22 @@ def band_keys(x: np.ndarray) -> np.ndarray:
 
 
 def _sketch(width: int, sets: bool):
-    """(id, t, text) to (id, t, h, keys); with ``sets`` (cid, h, text) to (cid, shingle set) where the set's hash is h."""
+    """(id, t, text) to (id, t, h, fp, keys); with ``sets`` (cid, h, text) to (cid, shingle set) where the set's hash is h."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for at in range(0, rb.num_rows, 1024):
                 part = rb.slice(at, 1024)
-                xs = [np.unique(shingle_hashes(t.as_py(), width)) for t in part.column(part.num_columns - 1)]
+                every = [shingle_hashes(t.as_py(), width) for t in part.column(part.num_columns - 1)]
+                xs = [np.unique(x) for x in every]
                 digest = [xxhash.xxh3_128_digest(x.tobytes()) for x in xs]
                 if sets:
                     keep = [k for k, h in enumerate(part.column(1).to_pylist()) if h == digest[k]]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array([xs[k].tobytes() for k in keep], pa.binary())], names=["cid", "sh"])
                 else:
                     keys = pa.array([band_keys(x) for x in xs], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digest, pa.binary()), keys], names=["id", "t", "h", "keys"])
+                    fp = pa.array(np.array([simhash(x) for x in every], np.uint64).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digest, pa.binary()), fp, keys], names=["id", "t", "h", "fp", "keys"])
 
     return go
 
@@ -303,19 +305,27 @@ def _alike(least: float):
     return go
 
 
+def _near_fingerprints(one: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, cid) of (fp, cid): one key for all whose fingerprints hang together by RADIUS."""
+    distinct = scratch.cut(one.groupBy("fp").agg(F.count(F.lit(1)).alias("m")), "fps")
+    comp = components(links(distinct.select("fp"), scratch), scratch)
+    placed = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "m", F.xxhash64(F.lit("near"), F.coalesce("root", "fp")).alias("key"))
+    return many_to_one(one.select("fp", "cid"), scratch.cut(placed, "near"), "fp", "m", one.count()).select("key", "cid")
+
+
 def _similar(df: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
     """(id, t, h, head) per row with an id: the hashes of its text and of its shingle set, and (id, h) of its group's first."""
     scratch = Scratch(df.sparkSession, "similar")
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    rows = scratch.cut(docs.mapInArrow(tidy(_sketch(width, False)), f"id {kind}, t long, h binary, keys array<bigint>"), "sketches")
-    one = rows.groupBy("h").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows"))
+    rows = scratch.cut(docs.mapInArrow(tidy(_sketch(width, False)), f"id {kind}, t long, h binary, fp long, keys array<bigint>"), "sketches")
+    one = rows.groupBy("h").agg(F.min("id").alias("first"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows"))
     # The class number is the place in a written table, so it stays the same for all that read it.
     one = scratch.cut(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    keyed = one.select(F.explode("keys").alias("key"), "cid")
+    keyed = scratch.cut(_near_fingerprints(one, scratch), "close").unionByName(one.select(F.explode("keys").alias("key"), "cid"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cid")).alias("who")).where("n > 1")
     buckets = scratch.cut(shared.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
-    members = scratch.cut(many_to_one(keyed, buckets, "key", "n", one.count() * BANDS), "members")
+    members = scratch.cut(many_to_one(keyed, buckets, "key", "n", one.count() * (BANDS + 1)), "members")
     need = members.select("cid").distinct().join(one.select("cid", "h", "first"), "cid")
     # A repeated id may bring other texts along; a set that is not of hash h is left out again.
     texts = docs.join(need.withColumnRenamed("first", "id"), "id").select("cid", "h", "text")

@@ -119,3 +119,24 @@ def test_deduplicate_links_by_shingle_similarity(spark, monkeypatch, block):
     assert [got[i] for i, _ in docs] == root
     kept = sd.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
+def test_fingerprints_alone_lead_to_links(spark, monkeypatch):
+    """Without a key of minimum hashes the texts within RADIUS bits are candidates still, and are verified."""
+    rng = random.Random(3)
+    docs = []
+    for _ in range(12):
+        ws = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        docs += [(len(docs) + k, " ".join(ws[: 600 - k])) for k in range(3)]
+    fps = [brute_fp(t, 5) for _, t in docs]
+    want = brute_components([i for i, _ in docs], fps)
+    assert sum(i != c for (i, _), c in zip(docs, want)) > 15
+    cut = sd.Scratch.cut
+
+    def without_keys(self, df, name="t"):
+        df = df.withColumn("keys", sd.F.array().cast("array<bigint>")) if name == "sketches" else df
+        return cut(self, df, name)
+
+    monkeypatch.setattr(sd.Scratch, "cut", without_keys)
+    got = {r.doc_id: r.component_id for r in sd.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in docs] == want
