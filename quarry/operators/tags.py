@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as T
+from quarry.operators import words
 
 # Fixed values.
 EXTENSIONS = """
@@ -31,14 +32,14 @@ def derive(turns: DataFrame) -> DataFrame:
     tools = d.select("session_id", F.explode(F.array_distinct(F.transform(found("⚙ ([A-Za-z0-9_]+)"), lambda x: F.lower(x)))).alias("value")).distinct()
     exts = d.select("session_id", F.explode(F.transform(found(r"\.([A-Za-z0-9]{1,8})"), lambda x: F.lower(x))).alias("value"))
     exts = exts.where(F.col("value").isin(EXTENSIONS)).groupBy("session_id", "value").agg(F.count(F.lit(1)).alias("n"))
-    words = d.select("session_id", "seq", F.posexplode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9][A-Za-z0-9._-]*"), 0)).alias("pos", "word"))
     # Frequencies count trimmed words; candidates are untrimmed words, one per lower-case form, with their first casing.
     trim = lambda c: F.regexp_replace(c, "^[._-]+|[._-]+$", "")
-    per = words.groupBy("session_id", F.lower("word").alias("low")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "pos")).alias("first"), F.min_by("word", F.struct("seq", "pos")).alias("word"))
-    per = per.withColumn("value", F.lower(trim(F.col("word"))))
-    freq = per.groupBy("session_id", "value").agg(F.sum("n").alias("freq"))
-    ok = T.is_distinctive(F.col("word")) & T.is_anchor(trim(F.col("word"))) & F.col("value").rlike("[a-z]") & ~F.col("value").startswith("redacted")
-    cands = per.where(ok & (F.col("value") != "")).join(freq, ["session_id", "value"])
+    # Dealt out before it is grouped: a grouping before the shuffle would sort all words of a task's rows and give as many.
+    per = words.counted(d).repartition("session_id", "low").groupBy("session_id", "low").agg(F.sum("n").alias("n"), F.min(F.struct("seq", "pos", "word")).alias("x"))
+    per = per.select("session_id", "n", F.struct("x.seq", "x.pos").alias("first"), F.col("x.word").alias("word"), F.lower(trim(F.col("x.word"))).alias("value"))
+    per = per.where((F.col("value") != "") & F.col("value").rlike("[a-z]") & ~F.col("value").startswith("redacted"))
+    ok = T.is_distinctive(F.col("word")) & T.is_anchor(trim(F.col("word")))
+    cands = per.withColumn("freq", F.sum("n").over(Window.partitionBy("session_id", "value"))).where(ok)
     topics = _ranked(cands, "topic", F.col("freq").desc(), "first", "value")
     # Two spellings may give one topic; the better rank stays and the other leaves a gap.
     topics = topics.groupBy("session_id", "ns", "tag").agg(F.min("rank").alias("rank"))
