@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, let, words
+from .common import let, words
 
 #: Rule names in bit order; a released rule never changes its bit.
 RULES = ("few_words", "repeated_words", "symbols", "repeated_lines", "word_length", "capitals")
@@ -34,14 +34,19 @@ def mask(names) -> int:
 def repeat_words(w: Column) -> Column:
     """Words covered by three-word windows that occur twice or more in ``w``.
 
-    The windows are sorted by hash and position, so equal ones are neighbours, and neighbours of one hash are compared word by word;
-    the positions of equal ones are sorted again and each adds the words up to the next one, three at most. O(n log n) per text.
+    Where all hashes of windows differ nothing is repeated. Else the windows are sorted by hash and position, so equal ones are
+    neighbours, and neighbours of one hash are compared word by word; the positions of equal ones are sorted again and each adds the
+    words up to the next one, three at most. O(n log n) per text.
     """
     n = F.size(w)
-    wins = F.transform(
-        F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("p"))
-    )
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(_covered(F.sort_array(wins), w))
+    none = F.lit(0).cast("long")
+    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+    def covered(hs: Column) -> Column:
+        wins = F.transform(hs, lambda g, i: F.struct(g.alias("g"), i.alias("p")))
+        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), none).otherwise(_covered(F.sort_array(wins), w))
+
+    return F.when(n < 4, none).otherwise(let(hashes, covered))
 
 
 def _covered(wins: Column, w: Column) -> Column:
@@ -74,13 +79,13 @@ def ledger(df: DataFrame, text_col: str = "text") -> DataFrame:
     # With the words as an array column below, each measurement reads text or array once.
     df = df.drop(*(c for c in df.columns if c in (*MEASURES, "failed", "_w", "_ln") and c != text_col))
     d = df.withColumn("_w", words(text)).withColumn(
-        "_ln", F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")
+        "_ln", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09\x0B-\x0D]"))
     )
     d = d.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.regexp_replace(text, GAP, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+            "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
             "n_dup_lines": (F.size("_ln") - F.size(F.array_distinct("_ln"))).cast("long"),
             "n_repeat_words": repeat_words(F.col("_w")),
             "n_lines": F.size("_ln").cast("long"),

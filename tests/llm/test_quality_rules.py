@@ -31,3 +31,13 @@ def test_long_text(spark):
     text = " ".join(f"w{i % 5000}" for i in range(20000))
     r = qr.ledger(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (r.n_words, r.n_repeat_words) == (20000, 20000)
+
+
+def test_texts_without_repeats_are_not_sorted(spark):
+    """All windows differ: their hashes tell, and nothing else is built."""
+    rows = [(1, " ".join(f"w{i}" for i in range(300))), (2, "a b c d a b c"), (3, "a b c d"), (4, "a\x0bb \x0b\n\x0b\n\x0c\nc\x85d # |")]
+    led = qr.ledger(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "array_distinct(lambda " in led._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: r for r in led.collect()}
+    assert [got[i].n_repeat_words for i in (1, 2, 3, 4)] == [0, 6, 0, 0]
+    assert (got[4].n_words, got[4].word_chars, got[4].n_symbols, got[4].n_lines) == (5, 7, 2, 2)
